@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from driftline.plans import clean_queries, feature_queries  # noqa: F401
+from driftline.plans import (clean_queries, feature_queries, metric_queries, product_queries,  # noqa: F401
+                             validate_queries)
 from driftline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

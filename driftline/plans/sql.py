@@ -171,3 +171,55 @@ def columns(names, digits: int = 6) -> str:
     plain = (*INT_FEATURES, "SID", "SEGMENT_ID", "ISO_TIME", "SEASON", "BASIN", "SUBBASIN",
              "NATURE", "TRACK_TYPE", "split", "model", "horizon", "LEAD_HOURS", "POSITION", "FROM_END")
     return ", ".join(c if c in plain else f"{r(c, digits)} AS {c}" for c in names)
+
+
+_ALL_FEATURES = " AND ".join(f"{c} IS NOT NULL" for c in K.FEATURES)
+
+
+def prepared(horizon: int) -> str:
+    """Predicate: complete features and both targets of a horizon."""
+    return _ALL_FEATURES + "".join(f" AND {c} IS NOT NULL" for c in K.target_columns(horizon))
+
+
+_ROW = "SID, SEGMENT_ID, ISO_TIME, SEASON, BASIN, LAT, LON, DELTA_LAT, DELTA_LON, INTENSITY_CATEGORY"
+
+SPLIT = f"""
+split AS MATERIALIZED (SELECT SID, CASE WHEN min(SEASON) <= 2014 THEN 'train' WHEN min(SEASON) <= 2018 THEN 'val'
+  ELSE 'test' END AS split FROM features WHERE {prepared(6)} GROUP BY SID)"""
+
+ROWS = "rows_all AS MATERIALIZED (" + " UNION ALL ".join(
+    f"""SELECT {_ROW}, {h} AS horizon, TARGET_DLAT_{h}H AS Y_LAT, TARGET_DLON_{h}H AS Y_LON
+    FROM features WHERE {prepared(h)}""" for h in K.HORIZONS) + """),
+rows_split AS MATERIALIZED (SELECT r.*, s.split FROM rows_all r JOIN split s USING (SID))"""
+
+CLIMATOLOGY = """
+clim AS (SELECT horizon, BASIN, avg(Y_LAT) AS b_lat, avg(Y_LON) AS b_lon FROM rows_split
+  WHERE split = 'train' AND BASIN IS NOT NULL GROUP BY ALL),
+clim_all AS (SELECT horizon, avg(Y_LAT) AS g_lat, avg(Y_LON) AS g_lon FROM rows_split
+  WHERE split = 'train' GROUP BY ALL)"""
+
+_TRUE = clamp_lat("(LAT + Y_LAT)"), wrap("LON + Y_LON")
+_PRED = clamp_lat("(LAT + PRED_Y_LAT)"), wrap("LON + PRED_Y_LON")
+_POS = ("TRUE_LAT", "TRUE_LON", "PRED_LAT", "PRED_LON")
+_THETA = f"radians({diff('hb', 'mb')})"
+
+BASELINES = f"""
+b_test AS (SELECT t.*, coalesce(b_lat, g_lat) AS c_lat, coalesce(b_lon, g_lon) AS c_lon FROM rows_split t
+  LEFT JOIN clim c ON t.horizon = c.horizon AND t.BASIN = c.BASIN
+  LEFT JOIN clim_all g ON t.horizon = g.horizon WHERE split = 'test'),
+b_pred AS (SELECT *, 'Persistence' AS model, CAST(0 AS DOUBLE) AS PRED_Y_LAT, CAST(0 AS DOUBLE) AS PRED_Y_LON FROM b_test
+  UNION ALL SELECT *, 'Linear Extrapolation', DELTA_LAT * horizon / 6, DELTA_LON * horizon / 6 FROM b_test
+  UNION ALL SELECT *, 'Climatology', c_lat, c_lon FROM b_test),
+b_pos AS (SELECT *, {_TRUE[0]} AS TRUE_LAT, {_TRUE[1]} AS TRUE_LON, {_PRED[0]} AS PRED_LAT, {_PRED[1]} AS PRED_LON FROM b_pred),
+b_err AS (SELECT *, {hav(*_POS)} AS ERROR_KM, {bearing(*_POS, null=False)} AS hb,
+  {bearing('LAT', 'LON', 'TRUE_LAT', 'TRUE_LON')} AS mb FROM b_pos),
+scored AS MATERIALIZED (SELECT * EXCLUDE (hb, mb, c_lat, c_lon), ERROR_KM * cos({_THETA}) AS ALONG_TRACK_KM,
+  ERROR_KM * sin({_THETA}) AS CROSS_TRACK_KM FROM b_err)"""
+
+
+def with_split(select: str, *more: str) -> str:
+    return with_features(select, SPLIT, ROWS, *more)
+
+
+def with_scored(select: str, *more: str) -> str:
+    return with_split(select, CLIMATOLOGY, BASELINES, *more)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline import constants as K
+from driftline.operators import baselines as B
 from driftline.operators import clean as C
 from driftline.operators import features as E
+from driftline.operators import metrics as M
+from driftline.operators import split as S
 from driftline.plans.stages import stage
 from driftline.sources.synthetic import raw_tracks
 
@@ -21,3 +25,21 @@ def clean_table(spark, sf):
 
 def feature_table(spark, sf):
     return stage(spark, sf, "features", lambda: E.build_features(clean_table(spark, sf)))
+
+
+def split_table(spark, sf):
+    """Season split of the storms that have complete rows at the shortest horizon."""
+    return stage(spark, sf, "split", lambda: S.season_split(
+        S.prepare_training(feature_table(spark, sf), min(K.HORIZONS))))
+
+
+def forecast_row_table(spark, sf):
+    return stage(spark, sf, "forecast_rows", lambda: S.assign_split_rows(
+        S.forecast_rows(feature_table(spark, sf)), split_table(spark, sf)))
+
+
+def baseline_table(spark, sf):
+    """Scored predictions of the three closed-form baselines, all horizons."""
+    return stage(spark, sf, "baselines", lambda: M.score(
+        B.run_baselines(forecast_row_table(spark, sf))).withColumn("LEAD_HOURS", F.col("horizon")),
+        partition_by=("LEAD_HOURS",))
