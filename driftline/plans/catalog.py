@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from driftline.plans import (clean_queries, feature_queries, metric_queries, product_queries,  # noqa: F401
+from driftline.plans import (clean_queries, feature_queries, metric_queries, model_queries,  # noqa: F401
+                             product_queries, store_queries,
                              validate_queries)
 from driftline.plans.registry import ORACLES, QUERIES
 
