@@ -79,12 +79,14 @@ def segment_length_distribution(df: DataFrame, bins: int = 40) -> DataFrame:
 
 def displacements_by_lead(df: DataFrame, horizons=K.HORIZONS) -> DataFrame:
     """Distance travelled per row and horizon (one scan, horizons melted)."""
-    per_horizon = [F.struct(
-        F.lit(h).alias("horizon"),
-        geo.haversine_km("LAT", "LON", F.col("LAT") + F.col(lat), F.col("LON") + F.col(lon)).alias("km"))
-        for h in horizons for lat, lon in [K.target_columns(h)]]
-    melted = df.select("SID", "ISO_TIME", F.explode(F.array(*per_horizon)).alias("m"))
-    return melted.select("SID", "ISO_TIME", "m.horizon", "m.km").where("km IS NOT NULL")
+    moves = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(lat).alias("dlat"),
+                               F.col(lon).alias("dlon"))
+                      for h in horizons for lat, lon in [K.target_columns(h)]])
+    melted = df.select("SID", "ISO_TIME", "LAT", "LON", F.explode(moves).alias("m")) \
+               .where("m.dlat IS NOT NULL AND m.dlon IS NOT NULL")
+    # one distance expression after the melt: five of them in one method would not be compiled
+    km = geo.haversine_km("LAT", "LON", F.col("LAT") + F.col("m.dlat"), F.col("LON") + F.col("m.dlon"))
+    return melted.select("SID", "ISO_TIME", "m.horizon", km.alias("km"))
 
 
 def displacement_by_lead(df: DataFrame, horizons=K.HORIZONS) -> DataFrame:

@@ -15,85 +15,142 @@ from driftline.functions.times import hours_between, plus_hours
 from driftline.operators.windows import by_segment, whole_segment
 
 
-def temporal_features(df: DataFrame) -> DataFrame:
-    """Calendar parts and their cyclic encodings."""
+# Each layer is a dict of columns that depend on earlier layers only. The public
+# operators attach one layer; ``build_features`` merges the layers that share a
+# window, so the whole table needs three Window nodes.
+
+
+def _temporal() -> dict[str, Column]:
     t = F.col("ISO_TIME")
     month, hour, doy = F.month(t), F.hour(t), F.dayofyear(t)
     month_sin, month_cos = geo.cyclic(month, 12)
     hour_sin, hour_cos = geo.cyclic(hour, 24)
     doy_sin, doy_cos = geo.cyclic(doy, 365.25)
-    return df.withColumns({
-        "MONTH": month, "DAY": F.dayofmonth(t), "HOUR": hour, "DAY_OF_YEAR": doy,
-        "MONTH_SIN": month_sin, "MONTH_COS": month_cos,
-        "HOUR_SIN": hour_sin, "HOUR_COS": hour_cos,
-        "DOY_SIN": doy_sin, "DOY_COS": doy_cos})
+    return {"MONTH": month, "DAY": F.dayofmonth(t), "HOUR": hour, "DAY_OF_YEAR": doy,
+            "MONTH_SIN": month_sin, "MONTH_COS": month_cos,
+            "HOUR_SIN": hour_sin, "HOUR_COS": hour_cos,
+            "DOY_SIN": doy_sin, "DOY_COS": doy_cos}
 
 
-def lag_features(df: DataFrame, n_lags: int = K.N_LAGS) -> DataFrame:
+def _lags(n_lags: int = K.N_LAGS) -> dict[str, Column]:
     w = by_segment()
-    return df.withColumns({f"{prefix}_LAG_{k}": F.lag(source, k).over(w)
-                           for source, prefix in K.LAG_SOURCES.items()
-                           for k in range(1, n_lags + 1)})
+    return {f"{prefix}_LAG_{k}": F.lag(source, k).over(w)
+            for source, prefix in K.LAG_SOURCES.items() for k in range(1, n_lags + 1)}
 
 
-def motion_features(df: DataFrame) -> DataFrame:
-    """First differences, distance and heading. NULL, not 0, at a segment head."""
+def _motion() -> dict[str, Column]:
     step = ("LAT_LAG_1", "LON_LAG_1", "LAT", "LON")
-    bearing = geo.bearing_deg(*step)
     known = F.col("LAT_LAG_1").isNotNull() & F.col("LON_LAG_1").isNotNull()
-    df = df.withColumns({
-        "DELTA_LAT": F.when(known, F.col("LAT") - F.col("LAT_LAG_1")),
-        "DELTA_LON": F.when(known, geo.angular_difference("LON", "LON_LAG_1")),
-        "DELTA_WIND": F.col("WMO_WIND") - F.col("WIND_LAG_1"),
-        "DELTA_PRESSURE": F.col("WMO_PRES") - F.col("PRESSURE_LAG_1"),
-        "MOVEMENT_DISTANCE": geo.haversine_km(*step),
-        "BEARING": bearing})
-    return df.withColumns({"BEARING_SIN": geo.direction_sin("BEARING"),
-                           "BEARING_COS": geo.direction_cos("BEARING")})
+    return {"DELTA_LAT": F.when(known, F.col("LAT") - F.col("LAT_LAG_1")),
+            "DELTA_LON": F.when(known, geo.angular_difference("LON", "LON_LAG_1")),
+            "DELTA_WIND": F.col("WMO_WIND") - F.col("WIND_LAG_1"),
+            "DELTA_PRESSURE": F.col("WMO_PRES") - F.col("PRESSURE_LAG_1"),
+            "MOVEMENT_DISTANCE": geo.haversine_km(*step),
+            "BEARING": geo.bearing_deg(*step)}
+
+
+def _bearing_parts() -> dict[str, Column]:
+    return {"BEARING_SIN": geo.direction_sin("BEARING"), "BEARING_COS": geo.direction_cos("BEARING")}
+
+
+def _velocity(columns) -> dict[str, Column]:
+    hours, per_degree = F.lit(float(K.CADENCE_HOURS)), F.lit(K.KM_PER_DEGREE_LAT)
+    out = {"VELOCITY_U": F.col("DELTA_LON") * per_degree * F.cos(F.radians("LAT")) / hours,
+           "VELOCITY_V": F.col("DELTA_LAT") * per_degree / hours,
+           "TRANSLATION_SPEED": F.col("MOVEMENT_DISTANCE") / hours}
+    if "STORM_DIR" in columns:
+        out.update(STORM_DIR_SIN=geo.direction_sin("STORM_DIR"),
+                   STORM_DIR_COS=geo.direction_cos("STORM_DIR"))
+    return out
+
+
+def _turning() -> dict[str, Column]:
+    w = by_segment()
+    return {f"BEARING_CHANGE_{k}": geo.angular_difference("BEARING", F.lag("BEARING", k).over(w))
+            for k in (1, 2)}
+
+
+ROLLING = {"DELTA_LAT": "DELTA_LAT_MEAN", "DELTA_LON": "DELTA_LON_MEAN",
+           "DELTA_WIND": "DELTA_WIND_MEAN", "TRANSLATION_SPEED": "SPEED_MEAN"}
+
+
+def _rolling(rows: int = K.ROLLING_ROWS) -> dict[str, Column]:
+    frame = by_segment().rowsBetween(-(rows - 1), 0)
+    hours = rows * K.CADENCE_HOURS
+    return {f"{stem}_{hours}H": F.when(F.count(c).over(frame) == rows, F.avg(c).over(frame))
+            for c, stem in ROLLING.items()}
+
+
+def _acceleration() -> dict[str, Column]:
+    w = by_segment()
+    return {out: F.col(c) - F.lag(c).over(w)
+            for out, c in {"ACCEL_LAT": "DELTA_LAT", "ACCEL_LON": "DELTA_LON",
+                           "WIND_TREND": "DELTA_WIND"}.items()}
+
+
+def _context(columns) -> dict[str, Column]:
+    out = {"INTENSITY_CATEGORY": geo.intensity_category("WMO_WIND"),
+           "ABS_LAT": F.abs("LAT"), "CORIOLIS_SIN_LAT": F.sin(F.radians("LAT"))}
+    if "BASIN" in columns:
+        out["BASIN_CODE"] = geo.basin_code("BASIN")
+    if "DIST2LAND" in columns:
+        out["DELTA_DIST2LAND"] = F.col("DIST2LAND") - F.lag("DIST2LAND").over(by_segment())
+    return out
+
+
+def _future() -> dict[str, Column]:
+    w = by_segment()
+    return {c: F.lead(source, K.steps(h)).over(w) for h in K.HORIZONS
+            for source, c in zip(("LAT", "LON"), K.target_columns(h, "absolute"))}
+
+
+def _moves() -> dict[str, Column]:
+    out = {}
+    for h in K.HORIZONS:
+        (lat, lon), (dlat, dlon) = (K.target_columns(h, m) for m in ("absolute", "displacement"))
+        out[dlat] = F.col(lat) - F.col("LAT")
+        out[dlon] = geo.angular_difference(lon, "LON")
+    return out
+
+
+# --------------------------------------------------------------------- operators
+def temporal_features(df: DataFrame) -> DataFrame:
+    """Calendar parts and their cyclic encodings."""
+    return df.withColumns(_temporal())
+
+
+def lag_features(df: DataFrame, n_lags: int = K.N_LAGS) -> DataFrame:
+    """Position, wind and pressure of the rows before, inside the segment."""
+    return df.withColumns(_lags(n_lags))
+
+
+def motion_features(df: DataFrame) -> DataFrame:
+    """First differences, distance and heading. NULL, not 0, at a segment head."""
+    return df.withColumns(_motion()).withColumns(_bearing_parts())
 
 
 def velocity_features(df: DataFrame) -> DataFrame:
     """Eastward and northward speed in km/h, and the reported direction as sin/cos."""
-    hours = F.lit(float(K.CADENCE_HOURS))
-    per_degree = F.lit(K.KM_PER_DEGREE_LAT)
-    columns = {
-        "VELOCITY_U": F.col("DELTA_LON") * per_degree * F.cos(F.radians("LAT")) / hours,
-        "VELOCITY_V": F.col("DELTA_LAT") * per_degree / hours,
-        "TRANSLATION_SPEED": F.col("MOVEMENT_DISTANCE") / hours}
-    if "STORM_DIR" in df.columns:
-        columns["STORM_DIR_SIN"] = geo.direction_sin("STORM_DIR")
-        columns["STORM_DIR_COS"] = geo.direction_cos("STORM_DIR")
-    return df.withColumns(columns)
+    return df.withColumns(_velocity(df.columns))
 
 
 def turning_features(df: DataFrame) -> DataFrame:
     """Change of heading against one and two rows before, wrapped."""
-    w = by_segment()
-    turns = {f"BEARING_CHANGE_{k}": geo.angular_difference("BEARING", F.lag("BEARING", k).over(w))
-             for k in (1, 2)}
-    return df.withColumns(turns).withColumn("TURN_MAGNITUDE", F.abs("BEARING_CHANGE_1"))
+    return _with_turn(df.withColumns(_turning()))
 
 
-ROLLING = {"DELTA_LAT": "DELTA_LAT_MEAN", "DELTA_LON": "DELTA_LON_MEAN",
-           "DELTA_WIND": "DELTA_WIND_MEAN", "TRANSLATION_SPEED": "SPEED_MEAN"}
+def _with_turn(df: DataFrame) -> DataFrame:
+    return df.withColumn("TURN_MAGNITUDE", F.abs("BEARING_CHANGE_1"))
 
 
 def rolling_features(df: DataFrame, rows: int = K.ROLLING_ROWS) -> DataFrame:
     """Trailing means over complete frames of ``rows`` values."""
-    frame = by_segment().rowsBetween(-(rows - 1), 0)
-    hours = rows * K.CADENCE_HOURS
-    return df.withColumns({
-        f"{stem}_{hours}H": F.when(F.count(c).over(frame) == rows, F.avg(c).over(frame))
-        for c, stem in ROLLING.items()})
+    return df.withColumns(_rolling(rows))
 
 
 def acceleration_features(df: DataFrame) -> DataFrame:
     """Second differences; the longitude one is a plain difference of wrapped steps."""
-    w = by_segment()
-    return df.withColumns({
-        out: F.col(c) - F.lag(c).over(w)
-        for out, c in {"ACCEL_LAT": "DELTA_LAT", "ACCEL_LON": "DELTA_LON",
-                       "WIND_TREND": "DELTA_WIND"}.items()})
+    return df.withColumns(_acceleration())
 
 
 def storm_age(df: DataFrame) -> DataFrame:
@@ -106,14 +163,26 @@ def context_features(df: DataFrame) -> DataFrame:
     """Age, intensity class, latitude terms, basin code, change of land distance."""
     if "STORM_AGE" not in df.columns:
         df = storm_age(df)
-    columns = {"INTENSITY_CATEGORY": geo.intensity_category("WMO_WIND"),
-               "ABS_LAT": F.abs("LAT"),
-               "CORIOLIS_SIN_LAT": F.sin(F.radians("LAT"))}
-    if "BASIN" in df.columns:
-        columns["BASIN_CODE"] = geo.basin_code("BASIN")
-    if "DIST2LAND" in df.columns:
-        columns["DELTA_DIST2LAND"] = F.col("DIST2LAND") - F.lag("DIST2LAND").over(by_segment())
-    return df.withColumns(columns)
+    return df.withColumns(_context(df.columns))
+
+
+def targets(df: DataFrame) -> DataFrame:
+    """Future position and displacement at every horizon."""
+    return df.withColumns(_future()).withColumns(_moves())
+
+
+def _all_features(df: DataFrame, with_targets: bool) -> DataFrame:
+    df = storm_age(df)
+    first = {**_temporal(), **_lags(), **_context(df.columns)}
+    df = df.withColumns({**first, **_future()} if with_targets else first)
+    df = df.withColumns({**_motion(), **_moves()} if with_targets else _motion())
+    df = df.withColumns({**_bearing_parts(), **_velocity(df.columns)})
+    return _with_turn(df.withColumns({**_turning(), **_rolling(), **_acceleration()}))
+
+
+def build_features(cleaned: DataFrame) -> DataFrame:
+    """All feature and target columns; the number of rows does not change."""
+    return _all_features(cleaned, with_targets=True)
 
 
 def unmapped_basins(df: DataFrame) -> DataFrame:
@@ -122,22 +191,6 @@ def unmapped_basins(df: DataFrame) -> DataFrame:
               .groupBy("BASIN").agg(F.count("*").alias("n")))
 
 
-def targets(df: DataFrame) -> DataFrame:
-    """Future position and displacement at every horizon."""
-    w = by_segment()
-    future = df.withColumns({c: F.lead(source, K.steps(h)).over(w)
-                             for h in K.HORIZONS
-                             for source, c in zip(("LAT", "LON"),
-                                                  K.target_columns(h, "absolute"))})
-    moves = {}
-    for h in K.HORIZONS:
-        lat, lon = K.target_columns(h, "absolute")
-        dlat, dlon = K.target_columns(h, "displacement")
-        moves[dlat] = F.col(lat) - F.col("LAT")
-        moves[dlon] = geo.angular_difference(lon, "LON")
-    return future.withColumns(moves)
-
-
 def target_counts(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count(K.target_columns(h, "absolute")[0]).alias(str(h))
                       for h in K.HORIZONS])
@@ -145,14 +198,6 @@ def target_counts(df: DataFrame) -> DataFrame:
     return long.select(F.col("h").cast("int").alias("horizon"), "n_targets")
 
 
-def build_features(cleaned: DataFrame) -> DataFrame:
-    """All feature and target columns; the number of rows does not change."""
-    df = lag_features(storm_age(temporal_features(cleaned)))
-    df = velocity_features(motion_features(df))
-    df = acceleration_features(rolling_features(turning_features(df)))
-    return targets(context_features(df))
-
-
 def feature_summary(df: DataFrame) -> DataFrame:
     """Size of the feature table in one row."""
     per_segment = df.groupBy("SID", "SEGMENT_ID").agg(F.count("*").alias("n"))
@@ -217,11 +262,8 @@ def live_features(requests: DataFrame, reference_time: Column) -> DataFrame:
     ``requests`` holds ``request_id`` and ``observations``, an array of structs
     (latitude, longitude, wind_speed, pressure), oldest first.
     """
-    df = storm_kinematics(request_observations(requests, reference_time))
-    df = lag_features(storm_age(temporal_features(df)))
-    df = velocity_features(motion_features(df))
-    df = acceleration_features(rolling_features(turning_features(df)))
-    df = context_features(df).where("_latest")
+    observed = storm_kinematics(request_observations(requests, reference_time))
+    df = _all_features(observed, with_targets=False).where("_latest")
     missing = [c for c in K.FEATURES if c not in df.columns]
     return df.select("request_id", *[F.lit(None).cast("double").alias(c) if c in missing
                                      else F.col(c) for c in K.FEATURES])

@@ -144,8 +144,12 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
             raise ValueError("no training rows")
 
         def fit_pair(p):
-            return [ESTIMATORS[model](p, seed).setFeaturesCol("_x").setLabelCol(t)
-                    .setPredictionCol("_p").fit(train) for t in targets]
+            def one(target):
+                return ESTIMATORS[model](p, seed).setFeaturesCol("_x").setLabelCol(target) \
+                    .setPredictionCol("_p").fit(train)
+
+            with ThreadPoolExecutor(2) as pool:  # both outputs at the same time
+                return list(pool.map(one, targets))
 
         pair, best = fit_pair(params), None
         if model == "xgboost" and early_stopping and sizes.get("val"):
