@@ -103,6 +103,24 @@ def hash_rank(df: DataFrame, keys, seed: int, buckets: int = 1024) -> DataFrame:
                 .drop("_h", "_bucket", "_inside", "_before"))
 
 
+def ordered_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Exact global rank (0-based) in sort order, without one task for all rows.
+
+    A range partitioning puts whole ranges into partitions; the partition number
+    is checkpointed with the rows, so it cannot change under a retry. The rank is
+    the number of rows in lower partitions plus the position inside.
+    """
+    rows = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (rows.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
+                .withColumn(name, F.col("_before") + F.col("_inside"))
+                .drop("_part", "_inside", "_before"))
+
+
 def hash_fraction(keys, seed: int) -> Column:
     """A uniform number in [0, 1) per row that depends on its key and the seed only."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from driftline import constants as K
 from driftline.functions import geo
-from driftline.functions.order_stats import exact_percentiles, hash_order, same_keys
+from driftline.functions.order_stats import (exact_percentiles, hash_order, ordered_rank,
+                                             same_keys)
 from driftline.functions.times import hours_between
 from driftline.operators.metrics import with_percentiles
 
@@ -199,23 +200,11 @@ def residuals(rows: DataFrame, bins: int = 60) -> DataFrame:
 
 
 def middle_storm(rows: DataFrame, min_rows: int = 8) -> DataFrame:
-    """The storm in the middle of those with enough rows, ordered by row count.
-
-    Storms with equal counts are ordered by SID. Counts are histogrammed first,
-    so no window holds all storms.
-    """
+    """The storm in the middle of those with enough rows, by row count, then SID."""
     counts = rows.groupBy("SID").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
-    sizes = counts.groupBy("n").agg(F.count("*").alias("storms"))  # one row per distinct count
-    upto = F.sum("storms").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))
-                                .rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("storms").over(Window.partitionBy(F.lit(0)))
-    at = sizes.select("n", (upto - F.col("storms")).alias("before"), upto.alias("upto"),
-                      F.floor(total / 2).alias("middle")) \
-              .where("middle >= before AND middle < upto")
-    pick = counts.join(F.broadcast(at), "n")
-    order = Window.partitionBy("n").orderBy("SID")
-    ranked = pick.withColumn("_rn", F.row_number().over(order) - 1)
-    return ranked.where(F.col("_rn") == F.col("middle") - F.col("before")).select("SID")
+    ranked = ordered_rank(counts, F.desc("n"), F.col("SID"))
+    middle = F.floor(ranked.agg(F.count("*")).scalar() / 2)
+    return ranked.where(F.col("rank") == middle).select("SID")
 
 
 def storm_lifecycle(rows: DataFrame, sid: str | None = None, min_rows: int = 8) -> DataFrame:
@@ -239,7 +228,7 @@ def choose_storms(rows: DataFrame, n: int = 6, min_rows: int = 10, seed: int = K
 
 def observed_vs_forecast(rows: DataFrame, storms: DataFrame) -> DataFrame:
     """Rows of chosen storms; CONNECT is false where a connector would span the date line."""
-    chosen = rows.join(F.broadcast(storms.select("SID")), "SID", "left_semi")  # a handful of storms
+    chosen = rows.join(storms.select("SID"), "SID", "left_semi")
     first = F.min("ISO_TIME").over(Window.partitionBy("model", "SID", "LEAD_HOURS"))
     return chosen.withColumns({
         "CONNECT": F.abs(F.col("PRED_LON") - F.col("TRUE_LON")) <= 180,

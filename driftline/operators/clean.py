@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline import constants as K
 from driftline.functions import geo
 from driftline.functions.times import epoch_seconds, plus_hours
+from driftline.operators.tiles import carried, drop_halo, with_halo, with_tile
 from driftline.operators.windows import by_segment, by_storm, whole_segment
 
 
@@ -108,8 +109,11 @@ def nature_distribution(df: DataFrame) -> DataFrame:
 
 
 def sort_storms(df: DataFrame) -> DataFrame:
-    """Storm rows together and in time order inside each file, without a global sort."""
-    return df.repartition("SID").sortWithinPartitions("SID", "ISO_TIME")
+    """Rows in (SID, ISO_TIME) order inside and across files.
+
+    The range includes the time, so a long storm spreads over several partitions.
+    """
+    return df.repartitionByRange("SID", "ISO_TIME").sortWithinPartitions("SID", "ISO_TIME")
 
 
 def dedupe_most_complete(df: DataFrame, input_order: str | None = None) -> DataFrame:
@@ -139,14 +143,19 @@ def hour_distribution(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- fill
-def ffill_causal(df: DataFrame, limit: int = K.FILL_LIMIT) -> DataFrame:
+def ffill_causal(df: DataFrame, limit: int = K.FILL_LIMIT,
+                 tile_hours: int | None = None) -> DataFrame:
     """Forward fill by storm, at most ``limit`` rows back, never backward.
 
     The limit counts rows of the storm, so a value may cross a time gap.
+    ``tile_hours`` cuts long storms into tiles.
     """
-    recent = by_storm().rowsBetween(-limit, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(recent)
-                           for c in K.FILL_COLUMNS if c in df.columns})
+    tiled = tile_hours is not None
+    rows = with_halo(df, limit, tile_hours=tile_hours) if tiled else df
+    recent = by_storm(tiled).rowsBetween(-limit, 0)
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(recent)
+                               for c in K.FILL_COLUMNS if c in df.columns})
+    return drop_halo(filled) if tiled else filled
 
 
 def fill_report(df: DataFrame, limit: int = K.FILL_LIMIT) -> DataFrame:
@@ -168,14 +177,26 @@ def drop_missing_intensity(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ segments
-def assign_segments(df: DataFrame, cadence_hours: int = K.CADENCE_HOURS) -> DataFrame:
-    """Gaps and islands: a new segment at every gap other than the cadence."""
-    w = by_storm()
+def assign_segments(df: DataFrame, cadence_hours: int = K.CADENCE_HOURS,
+                    tile_hours: int | None = None) -> DataFrame:
+    """Gaps and islands: a new segment at every gap other than the cadence.
+
+    With ``tile_hours`` the breaks of earlier tiles are carried over as one
+    number per (SID, tile).
+    """
+    tiled = tile_hours is not None
+    rows = with_halo(df, 1, tile_hours=tile_hours) if tiled else df
+    w = by_storm(tiled)
     expected = plus_hours(F.lag("ISO_TIME").over(w), cadence_hours)
-    flagged = df.withColumn("_break", F.when(F.col("ISO_TIME") == expected, 0).otherwise(1))
+    flagged = rows.withColumn("_break", F.when(F.col("ISO_TIME") == expected, 0).otherwise(1))
+    if tiled:
+        flagged = carried(flagged, F.col("_break"), F.sum, "_before", before_only=True) \
+            .where(~F.col("IS_HALO"))
     number = F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("SEGMENT_ID", F.format_string("%s_S%02d", "SID", number)) \
-                  .drop("_break")
+    if tiled:
+        number = number + F.coalesce("_before", F.lit(0))
+    named = flagged.withColumn("SEGMENT_ID", F.format_string("%s_S%02d", "SID", number))
+    return named.drop("_break", "_before", "TILE", "IS_HALO")
 
 
 def segment_counts(df: DataFrame) -> DataFrame:
@@ -201,9 +222,17 @@ def check_spacing_strict(df: DataFrame, cadence_hours: int = K.CADENCE_HOURS) ->
                              f"{[(r.gap_hours, r.n) for r in bad]}")
 
 
-def filter_short_segments(df: DataFrame, min_rows: int = K.MIN_SEGMENT_ROWS) -> DataFrame:
-    size = F.count("*").over(whole_segment())
-    return df.withColumn("_rows", size).where(F.col("_rows") >= min_rows).drop("_rows")
+def filter_short_segments(df: DataFrame, min_rows: int = K.MIN_SEGMENT_ROWS,
+                          tile_hours: int | None = None) -> DataFrame:
+    if tile_hours is None:
+        size = F.count("*").over(whole_segment())
+        return df.withColumn("_rows", size).where(F.col("_rows") >= min_rows).drop("_rows")
+    # sizes per (segment, tile), summed per segment, joined back by segment and tile
+    rows = with_tile(df, tile_hours)
+    keys = ["SID", "SEGMENT_ID", "TILE"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    whole = sizes.select(*keys, F.sum("_n").over(whole_segment()).alias("_rows"))
+    return rows.join(whole.where(F.col("_rows") >= min_rows).drop("_rows"), keys, "left_semi").drop("TILE")
 
 
 # ------------------------------------------------------------------ the chain
@@ -215,21 +244,25 @@ def to_unique_observations(raw: DataFrame, start_year: int = K.START_YEAR,
     return dedupe_most_complete(filter_nature(drop_invalid_coordinates(df), natures))
 
 
-def to_segments(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES) -> DataFrame:
+def to_segments(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES,
+                tile_hours: int | None = None) -> DataFrame:
     """All steps up to segment ids; short segments still inside."""
     df = filter_synoptic(to_unique_observations(raw, start_year, natures))
-    return assign_segments(drop_missing_intensity(ffill_causal(df)))
+    filled = drop_missing_intensity(ffill_causal(df, tile_hours=tile_hours))
+    return assign_segments(filled, tile_hours=tile_hours)
 
 
 def clean(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES,
-          min_rows: int = K.MIN_SEGMENT_ROWS) -> DataFrame:
+          min_rows: int = K.MIN_SEGMENT_ROWS, tile_hours: int | None = None) -> DataFrame:
     """The whole cleaning chain: raw observations to segments of >= ``min_rows``.
 
     Two shuffles: the de-duplicating aggregate and one hash by SID that serves
     fill, segmentation and the length filter. The synoptic filter is a
     predicate on an aggregate key, so Catalyst runs it below the aggregate.
+    ``tile_hours`` keeps every task to one tile of a key, for more shuffles.
     """
-    return filter_short_segments(to_segments(raw, start_year, natures), min_rows)
+    segments = to_segments(raw, start_year, natures, tile_hours)
+    return filter_short_segments(segments, min_rows, tile_hours)
 
 
 # ------------------------------------------------------------------ summaries

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftline import constants as K
 from driftline.functions import geo
 from driftline.functions.times import hours_between, plus_hours
+from driftline.operators.tiles import carried, drop_halo, with_halo
 from driftline.operators.windows import by_segment, whole_segment
 
 
@@ -32,8 +33,7 @@ def _temporal() -> dict[str, Column]:
             "DOY_SIN": doy_sin, "DOY_COS": doy_cos}
 
 
-def _lags(n_lags: int = K.N_LAGS) -> dict[str, Column]:
-    w = by_segment()
+def _lags(w, n_lags: int = K.N_LAGS) -> dict[str, Column]:
     return {f"{prefix}_LAG_{k}": F.lag(source, k).over(w)
             for source, prefix in K.LAG_SOURCES.items() for k in range(1, n_lags + 1)}
 
@@ -64,8 +64,7 @@ def _velocity(columns) -> dict[str, Column]:
     return out
 
 
-def _turning() -> dict[str, Column]:
-    w = by_segment()
+def _turning(w) -> dict[str, Column]:
     return {f"BEARING_CHANGE_{k}": geo.angular_difference("BEARING", F.lag("BEARING", k).over(w))
             for k in (1, 2)}
 
@@ -74,32 +73,30 @@ ROLLING = {"DELTA_LAT": "DELTA_LAT_MEAN", "DELTA_LON": "DELTA_LON_MEAN",
            "DELTA_WIND": "DELTA_WIND_MEAN", "TRANSLATION_SPEED": "SPEED_MEAN"}
 
 
-def _rolling(rows: int = K.ROLLING_ROWS) -> dict[str, Column]:
-    frame = by_segment().rowsBetween(-(rows - 1), 0)
+def _rolling(w, rows: int = K.ROLLING_ROWS) -> dict[str, Column]:
+    frame = w.rowsBetween(-(rows - 1), 0)
     hours = rows * K.CADENCE_HOURS
     return {f"{stem}_{hours}H": F.when(F.count(c).over(frame) == rows, F.avg(c).over(frame))
             for c, stem in ROLLING.items()}
 
 
-def _acceleration() -> dict[str, Column]:
-    w = by_segment()
+def _acceleration(w) -> dict[str, Column]:
     return {out: F.col(c) - F.lag(c).over(w)
             for out, c in {"ACCEL_LAT": "DELTA_LAT", "ACCEL_LON": "DELTA_LON",
                            "WIND_TREND": "DELTA_WIND"}.items()}
 
 
-def _context(columns) -> dict[str, Column]:
+def _context(columns, w) -> dict[str, Column]:
     out = {"INTENSITY_CATEGORY": geo.intensity_category("WMO_WIND"),
            "ABS_LAT": F.abs("LAT"), "CORIOLIS_SIN_LAT": F.sin(F.radians("LAT"))}
     if "BASIN" in columns:
         out["BASIN_CODE"] = geo.basin_code("BASIN")
     if "DIST2LAND" in columns:
-        out["DELTA_DIST2LAND"] = F.col("DIST2LAND") - F.lag("DIST2LAND").over(by_segment())
+        out["DELTA_DIST2LAND"] = F.col("DIST2LAND") - F.lag("DIST2LAND").over(w)
     return out
 
 
-def _future() -> dict[str, Column]:
-    w = by_segment()
+def _future(w) -> dict[str, Column]:
     return {c: F.lead(source, K.steps(h)).over(w) for h in K.HORIZONS
             for source, c in zip(("LAT", "LON"), K.target_columns(h, "absolute"))}
 
@@ -121,7 +118,7 @@ def temporal_features(df: DataFrame) -> DataFrame:
 
 def lag_features(df: DataFrame, n_lags: int = K.N_LAGS) -> DataFrame:
     """Position, wind and pressure of the rows before, inside the segment."""
-    return df.withColumns(_lags(n_lags))
+    return df.withColumns(_lags(by_segment(), n_lags))
 
 
 def motion_features(df: DataFrame) -> DataFrame:
@@ -136,7 +133,7 @@ def velocity_features(df: DataFrame) -> DataFrame:
 
 def turning_features(df: DataFrame) -> DataFrame:
     """Change of heading against one and two rows before, wrapped."""
-    return _with_turn(df.withColumns(_turning()))
+    return _with_turn(df.withColumns(_turning(by_segment())))
 
 
 def _with_turn(df: DataFrame) -> DataFrame:
@@ -145,12 +142,12 @@ def _with_turn(df: DataFrame) -> DataFrame:
 
 def rolling_features(df: DataFrame, rows: int = K.ROLLING_ROWS) -> DataFrame:
     """Trailing means over complete frames of ``rows`` values."""
-    return df.withColumns(_rolling(rows))
+    return df.withColumns(_rolling(by_segment(), rows))
 
 
 def acceleration_features(df: DataFrame) -> DataFrame:
     """Second differences; the longitude one is a plain difference of wrapped steps."""
-    return df.withColumns(_acceleration())
+    return df.withColumns(_acceleration(by_segment()))
 
 
 def storm_age(df: DataFrame) -> DataFrame:
@@ -163,26 +160,40 @@ def context_features(df: DataFrame) -> DataFrame:
     """Age, intensity class, latitude terms, basin code, change of land distance."""
     if "STORM_AGE" not in df.columns:
         df = storm_age(df)
-    return df.withColumns(_context(df.columns))
+    return df.withColumns(_context(df.columns, by_segment()))
 
 
 def targets(df: DataFrame) -> DataFrame:
     """Future position and displacement at every horizon."""
-    return df.withColumns(_future()).withColumns(_moves())
+    return df.withColumns(_future(by_segment())).withColumns(_moves())
 
 
-def _all_features(df: DataFrame, with_targets: bool) -> DataFrame:
-    df = storm_age(df)
-    first = {**_temporal(), **_lags(), **_context(df.columns)}
-    df = df.withColumns({**first, **_future()} if with_targets else first)
+# Deepest look back: the rolling mean of 4 differences needs 4 earlier rows.
+ROWS_BACK = K.ROLLING_ROWS
+ROWS_AHEAD = max(K.steps(h) for h in K.HORIZONS)
+
+
+def _all_features(df: DataFrame, with_targets: bool, tiled: bool = False) -> DataFrame:
+    w = by_segment(tiled)
+    first = {**_temporal(), **_lags(w), **_context(df.columns, w)}
+    df = df.withColumns({**first, **_future(w)} if with_targets else first)
     df = df.withColumns({**_motion(), **_moves()} if with_targets else _motion())
     df = df.withColumns({**_bearing_parts(), **_velocity(df.columns)})
-    return _with_turn(df.withColumns({**_turning(), **_rolling(), **_acceleration()}))
+    return _with_turn(df.withColumns({**_turning(w), **_rolling(w), **_acceleration(w)}))
 
 
-def build_features(cleaned: DataFrame) -> DataFrame:
-    """All feature and target columns; the number of rows does not change."""
-    return _all_features(cleaned, with_targets=True)
+def build_features(cleaned: DataFrame, tile_hours: int | None = None) -> DataFrame:
+    """All feature and target columns; the number of rows does not change.
+
+    ``tile_hours`` cuts long storms into tiles with a halo of 4 rows back and 12
+    ahead; the result is the same.
+    """
+    if tile_hours is None:
+        return _all_features(storm_age(cleaned), with_targets=True)
+    rows = with_halo(cleaned, ROWS_BACK, ROWS_AHEAD, tile_hours)
+    rows = carried(rows, F.col("ISO_TIME"), F.min, "_genesis", before_only=False)
+    rows = rows.withColumn("STORM_AGE", hours_between(F.col("_genesis"), F.col("ISO_TIME")))
+    return drop_halo(_all_features(rows.drop("_genesis"), with_targets=True, tiled=True))
 
 
 def unmapped_basins(df: DataFrame) -> DataFrame:
@@ -263,7 +274,7 @@ def live_features(requests: DataFrame, reference_time: Column) -> DataFrame:
     (latitude, longitude, wind_speed, pressure), oldest first.
     """
     observed = storm_kinematics(request_observations(requests, reference_time))
-    df = _all_features(observed, with_targets=False).where("_latest")
+    df = _all_features(storm_age(observed), with_targets=False).where("_latest")
     missing = [c for c in K.FEATURES if c not in df.columns]
     return df.select("request_id", *[F.lit(None).cast("double").alias(c) if c in missing
                                      else F.col(c) for c in K.FEATURES])

@@ -201,6 +201,11 @@ def _(spark, sf):
     return rounded(cleaned(spark, sf))
 
 
+@query("clean_tiled", with_clean(f"{TYPED_SELECT}, SEGMENT_ID FROM clean"))
+def _(spark, sf):
+    return rounded(C.clean(raw_tracks(spark, sf), tile_hours=24 * 4))
+
+
 @query("missing_counts", with_clean(
     "SELECT * FROM (" + "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM s_typed"

@@ -153,8 +153,10 @@ feature_query("acceleration_features", lambda df: E.acceleration_features(_motio
 feature_query("storm_age", E.storm_age, ("STORM_AGE",))
 feature_query("context_features", E.context_features, K.FEATURE_GROUPS["context"])
 feature_query("targets", E.targets, TARGETS)
-feature_query("build_features", E.build_features,
-              (*[c for c in K.ID_COLUMNS if c not in KEYS], *K.FEATURES, "BEARING", *TARGETS))
+_ALL = (*[c for c in K.ID_COLUMNS if c not in KEYS], *K.FEATURES, "BEARING", *TARGETS)
+feature_query("build_features", E.build_features, _ALL)
+# tiles of four days, so that most segments span several
+feature_query("build_features_tiled", lambda df: E.build_features(df, tile_hours=24 * 4), _ALL)
 
 
 @query("target_counts", with_features("\nUNION ALL ".join(
