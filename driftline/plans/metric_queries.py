@@ -26,8 +26,8 @@ def baseline(name, pair, lat, lon):
 
 
 baseline("persistence", B.persistence, "0", "0")
-baseline("linear_extrapolation", B.linear_extrapolation, "DELTA_LAT * horizon / 6",
-         "DELTA_LON * horizon / 6")
+baseline("linear_extrapolation", B.linear_extrapolation, "DELTA_LAT * (horizon / 6)",
+         "DELTA_LON * (horizon / 6)")
 
 
 @query("basin_lookup", with_scored(
@@ -48,9 +48,9 @@ def _(spark, sf):
 
 
 @query("to_target_space", with_split(
-    f"""SELECT {columns(KEYS)}, {r('LAT + DELTA_LAT * horizon / 6')} AS ABS_LAT,
-    {r(wrap('LON + DELTA_LON * horizon / 6'))} AS ABS_LON, {r('DELTA_LAT * horizon / 6')} AS BACK_DLAT,
-    {r(diff(wrap('LON + DELTA_LON * horizon / 6'), 'LON'))} AS BACK_DLON FROM rows_split WHERE split = 'test'"""))
+    f"""SELECT {columns(KEYS)}, {r('LAT + DELTA_LAT * (horizon / 6)')} AS ABS_LAT,
+    {r(wrap('LON + DELTA_LON * (horizon / 6)'))} AS ABS_LON, {r('DELTA_LAT * (horizon / 6)')} AS BACK_DLAT,
+    {r(diff(wrap('LON + DELTA_LON * (horizon / 6)'), 'LON'))} AS BACK_DLON FROM rows_split WHERE split = 'test'"""))
 def _(spark, sf):
     lat, lon = B.to_target_space(*B.linear_extrapolation(), mode="absolute")
     rows = test_rows(spark, sf).withColumns({"ABS_LAT": lat, "ABS_LON": lon})

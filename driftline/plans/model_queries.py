@@ -103,9 +103,9 @@ def _(spark, sf):
     f"""SELECT s.*, {r('ratio')} AS test_train_ratio, coalesce(ratio > 2, false) AS overfit FROM per s
     JOIN (SELECT horizon, max(rmse_deg) FILTER (WHERE split = 'test') / max(rmse_deg) FILTER (WHERE split = 'train')
     AS ratio FROM per GROUP BY 1) q USING (horizon)""",
-    f"""per AS (SELECT 'constant motion' AS model, horizon, split, {r('''sqrt((avg((DELTA_LAT * horizon / 6 - Y_LAT)
-    * (DELTA_LAT * horizon / 6 - Y_LAT)) + avg((DELTA_LON * horizon / 6 - Y_LON)
-    * (DELTA_LON * horizon / 6 - Y_LON))) / 2)''', 5)} AS rmse_deg FROM rows_split GROUP BY horizon, split)"""))
+    f"""per AS (SELECT 'constant motion' AS model, horizon, split, {r('''sqrt((avg((DELTA_LAT * (horizon / 6) - Y_LAT)
+    * (DELTA_LAT * (horizon / 6) - Y_LAT)) + avg((DELTA_LON * (horizon / 6) - Y_LON)
+    * (DELTA_LON * (horizon / 6) - Y_LON))) / 2)''', 5)} AS rmse_deg FROM rows_split GROUP BY horizon, split)"""))
 def _(spark, sf):
     from driftline.operators.baselines import linear_extrapolation
     from driftline.plans.tables import forecast_row_table

@@ -208,7 +208,7 @@ b_test AS (SELECT t.*, coalesce(b_lat, g_lat) AS c_lat, coalesce(b_lon, g_lon) A
   LEFT JOIN clim c ON t.horizon = c.horizon AND t.BASIN = c.BASIN
   LEFT JOIN clim_all g ON t.horizon = g.horizon WHERE split = 'test'),
 b_pred AS (SELECT *, 'Persistence' AS model, CAST(0 AS DOUBLE) AS PRED_Y_LAT, CAST(0 AS DOUBLE) AS PRED_Y_LON FROM b_test
-  UNION ALL SELECT *, 'Linear Extrapolation', DELTA_LAT * horizon / 6, DELTA_LON * horizon / 6 FROM b_test
+  UNION ALL SELECT *, 'Linear Extrapolation', DELTA_LAT * (horizon / 6), DELTA_LON * (horizon / 6) FROM b_test
   UNION ALL SELECT *, 'Climatology', c_lat, c_lon FROM b_test),
 b_pos AS (SELECT *, {_TRUE[0]} AS TRUE_LAT, {_TRUE[1]} AS TRUE_LON, {_PRED[0]} AS PRED_LAT, {_PRED[1]} AS PRED_LON FROM b_pred),
 b_err AS (SELECT *, {hav(*_POS)} AS ERROR_KM, {bearing(*_POS, null=False)} AS hb,

@@ -21,7 +21,7 @@ def raw_csv(spark, sf) -> str:
     path = stage_path(spark, sf, "raw.csv")
     df = raw_tracks(spark, sf)
     marked = df.withColumns({
-        "ISO_TIME": F.date_format("ISO_TIME", "yyyy-MM-dd HH:mm:ss"),
+        "ISO_TIME": F.col("ISO_TIME").cast("string"),
         "STORM_SPEED": F.when(F.col("STORM_SPEED") == "7", "#N/A").when(F.col("STORM_SPEED") == "8", "null")
                         .otherwise(F.col("STORM_SPEED")),
         "SUBBASIN": F.when(F.col("STORM_SPEED") == "9", "N/A").otherwise(F.col("SUBBASIN"))})
