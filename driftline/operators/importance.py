@@ -14,7 +14,7 @@ from driftline import constants as K
 from driftline.operators import metrics as M
 from driftline.operators.models import PairModel, fit, mean_error_km
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 def impurity_importance(spark: SparkSession, model: PairModel) -> DataFrame:
@@ -32,7 +32,7 @@ def impurity_importance(spark: SparkSession, model: PairModel) -> DataFrame:
 def shuffled_copies(rows: DataFrame, repeats: int, seed: int, n_rows: int) -> DataFrame:
     """Each row ``repeats`` times, with the feature array of a random other row in ``_xs``.
 
-    Rows are cut into random buckets of about 50,000 by a seeded hash. Inside a
+    Rows are cut into random buckets of about 2,000 by a seeded hash. Inside a
     bucket they are put in a random order and everyone takes the array of the next
     one (the last takes the first). That permutes the table, keeps every value
     exactly once, and needs no global row number.
@@ -48,9 +48,9 @@ def shuffled_copies(rows: DataFrame, repeats: int, seed: int, n_rows: int) -> Da
                  .drop("_h", "_bucket")
 
 
-def _permutation(model: PairModel, rows: DataFrame, variants: dict[str, list[int]], repeats: int,
-                 seed: int) -> DataFrame:
-    """Error rise per variant, where a variant names the positions that are shuffled.
+def _permutation(model: PairModel, rows: DataFrame, variants: dict[str, tuple[int, int]],
+                 repeats: int, seed: int) -> DataFrame:
+    """Error rise per variant: the first position and the number of shuffled features.
 
     Variants are exploded after the shuffle, so the data moves once per repeat
     and the aggregate is combined map-side. Positions come from the row itself,
@@ -67,11 +67,12 @@ def _permutation(model: PairModel, rows: DataFrame, variants: dict[str, list[int
         return scored.groupBy(*groups).agg(F.avg("ERROR_KM").alias("km"))
 
     whole = errors(base.withColumn("_xv", F.col("_xa")), []).first()["km"]
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(i) for i in at]).alias("at"))
-                      for name, at in variants.items()])
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(start).alias("start"),
+                               F.lit(size).alias("size")) for name, (start, size) in variants.items()])
     mixed = shuffled_copies(base, repeats, seed, n_rows).withColumn("_v", F.explode(table))
-    value = F.transform("_xa", lambda x, i: F.when(F.array_contains(F.col("_v.at"), i),
-                                                   F.get("_xs", i)).otherwise(x))
+    start, size = F.col("_v.start"), F.col("_v.size")
+    value = F.concat(F.slice("_xa", F.lit(1), start), F.slice("_xs", start + 1, size),
+                     F.slice("_xa", start + size + 1, F.lit(len(model.features))))
     per_repeat = errors(mixed.withColumn("_xv", value).withColumn("variant", F.col("_v.name")),
                         ["variant", "repeat"])
     rise = F.col("km") - F.lit(whole)
@@ -82,7 +83,7 @@ def _permutation(model: PairModel, rows: DataFrame, variants: dict[str, list[int
 def permutation_importance(model: PairModel, rows: DataFrame, repeats: int = K.IMPORTANCE_REPEATS,
                            seed: int = K.SEED) -> DataFrame:
     """Rise of the mean error in km when one feature is shuffled."""
-    variants = {c: [i] for i, c in enumerate(model.features)}
+    variants = {c: (i, 1) for i, c in enumerate(model.features)}
     out = _permutation(model, rows, variants, repeats, seed)
     return out.withColumnRenamed("variant", "feature").orderBy(F.desc("importance_km"), "feature")
 
@@ -91,10 +92,15 @@ def grouped_permutation(model: PairModel, rows: DataFrame, repeats: int = K.IMPO
                         seed: int = K.SEED) -> DataFrame:
     """The same with all features of a group moved together."""
     place = {c: i for i, c in enumerate(model.features)}
-    variants = {g: [place[c] for c in cols if c in place] for g, cols in K.FEATURE_GROUPS.items()}
-    variants = {g: at for g, at in variants.items() if at}
+    variants = {}
+    for group, columns in K.FEATURE_GROUPS.items():
+        at = sorted(place[c] for c in columns if c in place)
+        if at and at != list(range(at[0], at[0] + len(at))):
+            raise ValueError(f"the features of group {group} are not side by side")
+        if at:
+            variants[group] = (at[0], len(at))
     out = _permutation(model, rows, variants, repeats, seed)
-    sizes = F.create_map(*[F.lit(x) for g, at in variants.items() for x in (g, len(at))])
+    sizes = F.create_map(*[F.lit(x) for g, (_, n) in variants.items() for x in (g, n)])
     return out.select(F.col("variant").alias("group"), sizes[F.col("variant")].alias("n_features"),
                       "importance_km", "std_km").orderBy(F.desc("importance_km"), "group")
 
