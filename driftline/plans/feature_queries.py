@@ -16,6 +16,9 @@ from driftline.sources.synthetic import raw_tracks
 KEYS = ("SID", "SEGMENT_ID", "ISO_TIME")
 ABS24 = K.target_columns(24, "absolute")
 MOVE24 = ("LAT", "LON", *ABS24)
+TARGETS = tuple(c for h in K.HORIZONS for mode in ("absolute", "displacement")
+                for c in K.target_columns(h, mode))
+CLEAN_COLUMNS = {*K.REQUIRED_COLUMNS, "SEGMENT_ID"}
 
 
 def scalar(spark, sf, **columns_):
@@ -135,9 +138,6 @@ def _velocity(df):
     return E.velocity_features(_motion(df))
 
 
-TARGETS = tuple(c for h in K.HORIZONS for mode in ("absolute", "displacement")
-                for c in K.target_columns(h, mode))
-
 feature_query("temporal_features", E.temporal_features,
               K.FEATURE_GROUPS["temporal"] + K.FEATURE_GROUPS["cyclic"])
 feature_query("lag_features", E.lag_features,
@@ -167,7 +167,7 @@ def _(spark, sf):
 
 
 @query("feature_summary", with_features(
-    f"""SELECT count(*) AS n_rows, {15 + 1 + 55 + 20 - 8 + 3} AS n_columns, count(DISTINCT SID) AS storms,
+    f"""SELECT count(*) AS n_rows, {len(CLEAN_COLUMNS | set(K.FEATURES) | {'BEARING'} | set(TARGETS))} AS n_columns, count(DISTINCT SID) AS storms,
     count(DISTINCT SEGMENT_ID) AS segments, 12 AS lag_columns, 20 AS target_columns FROM features"""))
 def _(spark, sf):
     return E.feature_summary(feature_table(spark, sf))
