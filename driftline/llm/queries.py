@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import host_rules
+from driftline.llm import byte_bpe, host_rules, token_counts
 from driftline.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,20 @@ def _(spark, sf):
     return measured.select(
         "row.doc_id", *host_rules.MEASURES, "base_failed", "kept",
         "host_docs", "host_failures", F.round("host_rate", 6).alias("host_rate"))
+
+
+@query("op5_token_counts")
+def _(spark, sf):
+    path, pattern = byte_bpe.public_vocabulary("byte_bpe_50k.json")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    counted = token_counts.prefix_counts(docs, path, pattern)
+    return counted.withColumn("answer", token_counts.budget(F.col("prefixes"), 512)).select(
+        "row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "answer.n_tokens", (F.col("answer.n_tokens") > 512).alias("over_limit"), "answer.fitting_chars")
+
+
+@query("op7_byte_bpe")
+def _(spark, sf):
+    path, pattern = byte_bpe.public_vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path), "doc_id")
