@@ -29,11 +29,16 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of this application."""
+    return (f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
+            f"/llm/{name}-{uuid.uuid4().hex[:12]}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = (f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
-            f"/llm/{name}-{uuid.uuid4().hex[:12]}")
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
