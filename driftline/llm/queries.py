@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, chat, host_rules, mixing, token_counts, warc_archive
+from driftline.llm import (byte_bpe, chat, host_rules, mixing, quality, token_counts, toxicity,
+                           warc_archive)
 from driftline.llm.tables import fresh_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +170,18 @@ def _(spark, sf):
     warc_archive.write_archive(read(spark, sf, "pages").select("page_id", "url", "html"), folder)
     return warc_archive.read_archive(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_quality")
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    weights, cut = quality.fit(docs, read(spark, sf, "labels"))
+    return quality.score(docs, weights, cut).select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_toxicity")
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    weights, thresholds = toxicity.fit(docs, read(spark, sf, "labels"))
+    return toxicity.score(docs, weights, thresholds).select(
+        "row.doc_id", "severity", "grade", "p_toxic", "toxic")
