@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import (byte_bpe, chat, host_rules, mixing, quality, token_counts, toxicity,
+from driftline.llm import (byte_bpe, chat, host_rules, mixing, multi_index, quality, token_counts, toxicity,
                            warc_archive)
 from driftline.llm.tables import fresh_folder, read
 
@@ -185,3 +185,9 @@ def _(spark, sf):
     weights, thresholds = toxicity.fit(docs, read(spark, sf, "labels"))
     return toxicity.score(docs, weights, thresholds).select(
         "row.doc_id", "severity", "grade", "p_toxic", "toxic")
+
+
+@query("op3_multi_index")
+def _(spark, sf):
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return multi_index.near_duplicates(vectors).select("row.vec_id", "n_links", "component_id", "kept")

@@ -43,7 +43,7 @@ MAX_FEATURES = 4096
 PREFIXES = (4, 5, 6, 8)
 MIN_DOCS = 3
 GRADES = 3
-RIDGE = 1e-3
+RIDGE = 1e-4
 TOKEN = re.compile(r"\w+")
 
 
