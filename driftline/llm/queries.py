@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import (byte_bpe, chat, host_rules, mixing, multi_index, quality, token_counts, toxicity,
-                           warc_archive)
+                           warc_archive, weighted_minhash)
 from driftline.llm.tables import fresh_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,9 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = read(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     return multi_index.near_duplicates(vectors).select("row.vec_id", "n_links", "component_id", "kept")
+
+
+@query("op4_weighted_minhash")
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return weighted_minhash.near_duplicates(docs).select("row.doc_id", "class_id", "kept")
