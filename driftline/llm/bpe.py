@@ -9,22 +9,31 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 
-#: Entries a memo may hold; a full memo is emptied, so memory is bounded.
-MEMO = 400_000
+#: Entries of a memo's generation.
+MEMO = 300_000
 
 
 class Memo(dict):
-    """``memo[key]`` computes and keeps ``fn(key)``; emptied when full."""
+    """``memo[key]`` computes and keeps ``fn(key)``.
+
+    A full memo becomes the old generation, from which keys that are asked for
+    again return; so memory is bounded by twice ``size`` entries.
+    """
 
     def __init__(self, fn, size: int = MEMO):
         super().__init__()
-        self.fn, self.size = fn, size
+        self.fn, self.size, self.old = fn, size, {}
 
     def __missing__(self, key):
         if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value
 
 
@@ -40,6 +49,8 @@ class Vocabulary:
         self.ids = tokens
         self.bytes = {i: t for t, i in tokens.items()}
         self.pairs = pairs
+        self.letters = {t.decode("latin-1"): i for t, i in tokens.items()}
+        self.longest = max(map(len, tokens))
         self.matcher = ahocorasick.Automaton()
         for token, i in tokens.items():
             self.matcher.add_word(token.decode("latin-1"), (i, len(token)))
@@ -55,8 +66,8 @@ class Vocabulary:
     def _chains(self, token: int):
         """The tokens that stand at the left and at the right edge of ``token`` while it forms.
 
-        Each chain runs from a byte to the token: (id, rank of the merge that
-        ends it, time of that merge). Time is the highest rank seen so far,
+        Each chain runs from a byte to the token: (id, bytes, rank of the
+        merge that ends it, time of that merge). Time is the highest rank seen so far,
         since a merge of lower rank follows at once when it becomes possible.
         """
         data = self.bytes[token]
@@ -70,12 +81,12 @@ class Vocabulary:
             r, i = min(ranks)
             time = max(time, r)
             if i == 0:
-                left.append((parts[0], r, time))
+                left.append((parts[0], self.bytes[parts[0]], r, time))
             if i == len(parts) - 2:
-                right.append((parts[-1], r, time))
+                right.append((parts[-1], self.bytes[parts[-1]], r, time))
             parts[i:i + 2] = [self.ids[self.bytes[parts[i]] + self.bytes[parts[i + 1]]]]
-        end = 1 << 60
-        return left + [(token, end, end)], right + [(token, end, end)]
+        whole = (token, data, 1 << 60, 1 << 60)
+        return [*left, whole], [*right, whole]
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether two tokens stay apart when their joined bytes are merged.
@@ -88,18 +99,22 @@ class Vocabulary:
         a, b = self.chains[pair[0]], self.chains[pair[1]]
         if a is None or b is None:
             return False
-        right, left, i, j = a[1], b[0], 0, 0
+        right, left, ids, pairs = a[1], b[0], self.ids, self.pairs
+        i, j, last_i, last_j = 0, 0, len(right) - 1, len(left) - 1
+        u, data_u, rank_u, time_u = right[0]
+        v, data_v, rank_v, time_v = left[0]
         while True:
-            (u, rank_u, time_u), (v, rank_v, time_v) = right[i], left[j]
-            r = self.rank(u, v)
+            r = ids.get(data_u + data_v) if pairs is None else pairs.get((u, v))
             if r is not None and r < rank_u and r <= rank_v:
                 return False
-            if i == len(right) - 1 and j == len(left) - 1:
-                return True
-            if time_u <= time_v:
+            if time_u <= time_v and i < last_i:
                 i += 1
-            else:
+                u, data_u, rank_u, time_u = right[i]
+            elif j < last_j:
                 j += 1
+                v, data_v, rank_v, time_v = left[j]
+            else:
+                return True
 
     def encode(self, data: bytes) -> list[int]:
         """Tokens of one piece by backtracking from longest matches.
@@ -109,34 +124,36 @@ class Vocabulary:
         end is not known as a dead end. Every place becomes dead at most
         once, so the work is linear in the length.
         """
-        whole = self.ids.get(data)
+        text = data.decode("latin-1")
+        whole = self.letters.get(text)
         if whole is not None and self.chains[whole] is not None:
             return [whole]
-        n, fits = len(data), self.fits
-        starts: list[list] = [[] for _ in range(n)]
-        for end, (token, length) in self.matcher.iter(data.decode("latin-1")):
-            starts[end + 1 - length].append((token, end + 1))  # ends ascend: the longest is last
-        dead, at, taken, tries = bytearray(n + 1), 0, [], [len(starts[0])]
+        find, known, fits, longest = self.letters.get, self.matcher.longest_prefix, self.fits, self.longest
+        n, at, before, tokens, ends, dead = len(text), 0, -1, [], [0], set()
+        window = text[:longest]
+        size = known(window)
         while at < n:
-            k = tries[-1]
-            while k:
-                k -= 1
-                token, end = starts[at][k]
-                if not dead[end] and (not taken or fits[taken[-1][0], token]) \
-                        and (taken or self.chains[token] is not None):
-                    tries[-1] = k
-                    taken.append((token, at))
-                    at = end
-                    if at < n:
-                        tries.append(len(starts[at]))
+            while size:
+                token = find(window[:size])
+                if token is not None and (before < 0 or fits[before, token]) and at + size not in dead:
                     break
+                size -= 1
+            if size:
+                at += size
+                before = token
+                tokens.append(token)
+                ends.append(at)
+                window = text[at:at + longest]
+                size = known(window)
             else:
-                if not taken:
+                if not tokens:
                     raise ValueError("no merges give this piece")
-                dead[at] = 1
-                tries.pop()
-                at = taken.pop()[1]
-        return [token for token, _ in taken]
+                dead.add(ends.pop())
+                tokens.pop()
+                size = at - ends[-1] - 1
+                at, before = ends[-1], tokens[-1] if tokens else -1
+                window = text[at:at + longest]
+        return tokens
 
     def prefix_counts(self, data: bytes) -> list[int]:
         """Number of tokens of every prefix of one piece, the empty one first.
@@ -146,16 +163,37 @@ class Vocabulary:
         """
         counts, last, fits = [0] * (len(data) + 1), [-1] * (len(data) + 1), self.fits
         for end, (token, length) in self.matcher.iter(data.decode("latin-1")):
-            start = end + 1 - length
-            if start == 0:
-                ok = self.chains[token] is not None
-            else:
-                ok = fits[last[start], token]
-            if ok:
-                last[end + 1], counts[end + 1] = token, counts[start] + 1
+            end += 1
+            if last[end] < 0:  # matches come longest first, and one is right
+                start = end - length
+                if fits[last[start], token] if start else self.chains[token] is not None:
+                    last[end], counts[end] = token, counts[start] + 1
         return counts
 
 
+# fixed value: classes of the splitting patterns, and the same classes within ASCII
+ASCII_CLASSES = (
+    (r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"),
+    (r"\s", r"[\t-\r ]"), (r"\S", r"[^\t-\r ]"))
+
+
+@functools.cache
+def splitter(pattern: str):
+    """Function from a text to its pieces.
+
+    An ASCII text is split by the same pattern with its classes written out
+    for ASCII, which the standard module matches faster.
+    """
+    import regex
+    anywhere, plain = regex.compile(pattern).findall, pattern
+    for name, members in ASCII_CLASSES:
+        plain = plain.replace(name, members)
+    if "\\p" in plain or "(?" in plain.replace("(?!", ""):
+        return anywhere
+    within_ascii = re.compile(plain).findall
+    return lambda text: within_ascii(text) if text.isascii() else anywhere(text)
+
+
 @functools.cache
 def from_ranks(path: str) -> Vocabulary:
     """A rank file: base64 of a token and its rank on each line."""

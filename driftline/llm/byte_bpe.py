@@ -18,6 +18,7 @@ Defined results:
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,8 @@ def public_vocabulary(name: str) -> tuple[str, str]:
 @functools.cache
 def piece_encoder(path: str, pattern: str):
     """The splitter, and a memo from a piece to its ids as 32-bit integers."""
-    import regex
     encode = bpe.from_ranks(path).encode
-    return (regex.compile(pattern).findall,
-            bpe.Memo(lambda piece: np.array(encode(piece.encode()), np.int32).tobytes()))
+    return bpe.splitter(pattern), bpe.Memo(lambda piece: array("i", encode(piece.encode())).tobytes())
 
 
 @functools.cache

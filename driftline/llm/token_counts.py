@@ -48,7 +48,7 @@ class PrefixCounter:
     def __init__(self, path: str, pattern: str):
         import regex
         self.vocabulary, special = bpe.from_json(path)
-        self.split = regex.compile(pattern).findall
+        self.split = bpe.splitter(pattern)
         self.run = regex.compile(r"\s{2,}(?=\S)")
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo = bpe.Memo(self.piece)

@@ -39,10 +39,10 @@ from driftline.llm.tables import packed, words, written
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-BANDS = 16
+BANDS = 20
 ROWS = 5
 SAMPLES = BANDS * ROWS
-IDF_BUCKETS = 1 << 18
+IDF_BUCKETS = 1 << 20
 SLOTS = 1 << 14
 CHUNK = 4096
 #: A member whose estimate to the head of its bucket is below this gets another head.
@@ -113,7 +113,7 @@ def idf_table(df: DataFrame) -> np.ndarray:
     docs = np.zeros(IDF_BUCKETS)
     # pmod of a negative hash is its unsigned value modulo a power of two
     docs[counts["bucket"].to_numpy(np.int64)] = counts["count"].to_numpy()
-    return 1.0 + np.log((n + 1) / (docs + 1))
+    return (1.0 + np.log((n + 1) / (docs + 1))).astype(np.float32)
 
 
 def prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
