@@ -82,15 +82,26 @@ def exact_percentiles(df: DataFrame, groups, value: str, quantiles: dict[str, fl
     return table.select(*groups, *out)
 
 
+def row_hash(keys, seed: int) -> Column:
+    """A seeded hash of 52 bits per row key: the first 13 hex digits of an md5.
+
+    The key is its columns as text and the seed, joined by ``|``, which any engine
+    can compute; times are written with seconds.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def hash_rank(df: DataFrame, keys, seed: int, buckets: int = 1024) -> DataFrame:
     """Exact global rank (0-based) of rows in the order of a seeded hash of ``keys``.
 
     A rank over everything would be one task. The hash cuts the rows into
-    ``buckets`` of nearly equal size; the order is (bucket, hash), and the rank is
-    the number of rows in lower buckets plus the position inside the bucket.
+    ``buckets`` of nearly equal size by its leading part; the order is that of the
+    hash, and the rank is the number of rows in lower buckets plus the position
+    inside the bucket.
     """
-    rows = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
-    rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    rows = df.withColumn("_h", row_hash(keys, seed))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_h") / F.lit((1 << 52) // buckets)))
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     # one row per bucket, at most ``buckets`` rows in this window
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")
@@ -123,9 +134,9 @@ def ordered_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
 
 def hash_fraction(keys, seed: int) -> Column:
     """A uniform number in [0, 1) per row that depends on its key and the seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return row_hash(keys, seed) / F.lit(float(1 << 52))
 
 
 def hash_order(keys, seed: int) -> list[Column]:
     """Sort columns of a seeded random order, with the key as tie-break."""
-    return [F.xxhash64(*keys, F.lit(seed)), *[F.col(k) for k in keys]]
+    return [row_hash(keys, seed), *[F.col(k) for k in keys]]

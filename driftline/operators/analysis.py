@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from driftline import constants as K
 from driftline.functions import geo
 from driftline.functions.order_stats import (exact_percentiles, hash_order, ordered_rank,
-                                             same_keys)
+                                             row_hash, same_keys)
 from driftline.functions.times import hours_between
 from driftline.operators.metrics import with_percentiles
 
+THIN_BUCKETS = 1024
+
 
 # ------------------------------------------------------------------- histogram
 def histogram(df: DataFrame, value: str, bins: int, groups=()) -> DataFrame:
@@ -189,11 +191,15 @@ def residual_rows(rows: DataFrame) -> DataFrame:
 
 
 def residuals(rows: DataFrame, bins: int = 60) -> DataFrame:
-    """Histogram of both residuals per model and lead time, with their means."""
+    """Histogram of both residuals per model and lead time, with their means.
+
+    Residuals are rounded to 9 digits first: means over rows differ in their last
+    bits with the order of summation, and a value on a bin edge must not.
+    """
     melted = residual_rows(rows).select("model", "LEAD_HOURS", F.explode(F.array(
         F.struct(F.lit("lat").alias("axis"), F.col("RESIDUAL_LAT").alias("v")),
         F.struct(F.lit("lon").alias("axis"), F.col("RESIDUAL_LON").alias("v")))).alias("m")) \
-        .select("model", "LEAD_HOURS", "m.axis", F.col("m.v").alias("residual"))
+        .select("model", "LEAD_HOURS", "m.axis", F.round("m.v", 9).alias("residual"))
     groups = ["model", "LEAD_HOURS", "axis"]
     means = melted.groupBy(*groups).agg(F.avg("residual").alias("mean_residual"))
     return histogram(melted, "residual", bins, groups).join(means, groups)
@@ -273,21 +279,16 @@ def error_map_by_lead(rows: DataFrame, max_points: int | None = None,
 def thin(rows: DataFrame, groups, n: int, seed: int) -> DataFrame:
     """The ``n`` rows of each group with the smallest seeded hash (all if fewer).
 
-    Hashes are uniform, so rows above ``4n + 1000`` of the group's size are cut
-    by value first; the ranking window then sees a few times ``n`` rows, not the
-    group.
+    Exact in two steps: the ``n`` smallest of each (group, hash bucket), where a
+    bucket holds a small part of the group, then the ``n`` smallest of those.
     """
-    h = F.pmod(F.xxhash64("SID", "ISO_TIME", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    hashed = rows.withColumn("_h", h)
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
-    pre = hashed.alias("r").join(F.broadcast(sizes).alias("s"), same_keys("r", "s", groups)) \
-                .select("r.*", "s._n")
-    # keep a generous share first, then rank only those rows in hash buckets
-    share = F.least(F.lit(1.0), F.lit(4.0 * n + 1000.0) / F.col("_n"))
-    few = pre.where(F.col("_h") <= share)
-    order = Window.partitionBy(*groups).orderBy("_h", "SID", "ISO_TIME")
-    return few.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n) \
-              .drop("_h", "_n", "_rn")
+    h = row_hash(["SID", "ISO_TIME"], seed)
+    order = ["_h", "SID", "ISO_TIME"]
+    hashed = rows.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(THIN_BUCKETS)))
+    for keys in ([*groups, "_bucket"], list(groups)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        hashed = hashed.withColumn("_rn", place).where(F.col("_rn") <= n).drop("_rn")
+    return hashed.drop("_h", "_bucket")
 
 
 def error_map(rows: DataFrame, horizon: int = K.DEFAULT_HORIZON,

@@ -225,9 +225,15 @@ def basin_rows(df: DataFrame) -> DataFrame:
     return df.groupBy("BASIN").agg(F.count("*").alias("n"))
 
 
+def columns_outside(dropped) -> list[str]:
+    """The feature columns, in table order, that belong to none of the dropped groups."""
+    gone = {column for group in dropped for column in K.FEATURE_GROUPS[group]}
+    return [column for column in K.FEATURES if column not in gone]
+
+
 def feature_group_select(df: DataFrame, *without: str, keep=K.ID_COLUMNS) -> DataFrame:
     """Ids plus the columns of all feature groups but the named ones."""
-    columns = K.feature_columns_without(*without)
+    columns = columns_outside(without)
     ids = [c for c in keep if c in df.columns and c not in columns]
     return df.select(*ids, *columns)
 

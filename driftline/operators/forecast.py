@@ -135,32 +135,37 @@ def first_usable_rows(rows: DataFrame) -> DataFrame:
 def score_requests(checked: DataFrame, features: DataFrame,
                    predict: dict[tuple[str, int], Callable[[DataFrame], DataFrame]],
                    published: DataFrame | None = None) -> DataFrame:
-    """Forecast positions for a batch of accepted requests.
+    """Forecast positions for a batch of accepted requests, one row for each.
 
     ``checked`` comes from ``validate_requests``, ``features`` from
     ``live_features``. Missing inputs stay missing; the prediction functions say
-    how they treat them. ``published`` (model, horizon, mean_km) adds the
-    measured error of the model that answered.
+    how they treat them. ``status`` is ``ok``, ``no features`` for a request
+    without a feature row, or ``no model`` where ``predict`` has none for its
+    model and horizon; positions are null then. ``published`` (model, horizon,
+    mean_km) adds the measured error of the model that answered.
     """
     accepted = checked.where("accepted").select(
         "request_id", "n_observations", "short_history", "forecast_horizon",
         F.col("model").alias("model_key"))
-    rows = accepted.join(features, "request_id")
-    out = None
+    rows = accepted.join(features.withColumn("_found", F.lit(True)), "request_id", "left")
+    wanted = F.concat_ws("@", "model_key", F.col("forecast_horizon").cast("string"))
+    answered = wanted.isin([f"{model}@{horizon}" for model, horizon in predict]) & F.col("_found").isNotNull()
+    warning = F.when(F.col("short_history"), F.format_string(
+        f"only %d of {K.FULL_HISTORY} observations: missing features were left unset", "n_observations"))
+    kept = ["request_id", "model_key", "forecast_horizon", "n_observations", warning.alias("warning")]
+    status = F.when(F.col("_found").isNull(), "no features").otherwise("no model")
+    nothing = F.lit(None).cast("double")
+    out = rows.where(~answered).select(*kept, status.alias("status"), nothing.alias("predicted_lat"),
+                                       nothing.alias("predicted_lon"))
+    lat, lon = geo.offset_position("LAT", "LON", "PRED_Y_LAT", "PRED_Y_LON")
     for (model, horizon), fn in predict.items():
-        part = rows.where((F.col("model_key") == model) & (F.col("forecast_horizon") == horizon))
-        lat, lon = geo.offset_position("LAT", "LON", "PRED_Y_LAT", "PRED_Y_LON")
-        part = fn(part).select(
-            "request_id", lat.alias("predicted_lat"), lon.alias("predicted_lon"),
-            "model_key", "forecast_horizon", "n_observations",
-            F.when(F.col("short_history"), F.format_string(
-                f"only %d of {K.FULL_HISTORY} observations: missing features were left unset",
-                "n_observations")).alias("warning"))
-        out = part if out is None else out.unionByName(part)
+        part = rows.where(answered & (F.col("model_key") == model) & (F.col("forecast_horizon") == horizon))
+        out = out.unionByName(fn(part.drop("_found")).select(
+            *kept, F.lit("ok").alias("status"), lat.alias("predicted_lat"), lon.alias("predicted_lon")))
     if published is None:
         return out.withColumn("track_error_km", F.lit(None).cast("double"))
     names = F.create_map(*[F.lit(x) for kv in K.MODEL_LABELS.items() for x in kv])
     table = published.select(F.col("model").alias("_label"), F.col("horizon").alias("forecast_horizon"),
                              F.round("mean_km", 1).alias("track_error_km"))
     return out.withColumn("_label", names[F.col("model_key")]) \
-              .join(F.broadcast(table), ["_label", "forecast_horizon"], "left").drop("_label")
+              .join(table, ["_label", "forecast_horizon"], "left").drop("_label")

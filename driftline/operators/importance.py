@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline import constants as K
+from driftline.functions.order_stats import row_hash
 from driftline.operators import metrics as M
+from driftline.operators.features import columns_outside
 from driftline.operators.models import PairModel, fit, mean_error_km
 
 ROWS_PER_BUCKET = 2_000
@@ -39,7 +41,7 @@ def shuffled_copies(rows: DataFrame, repeats: int, seed: int, n_rows: int) -> Da
     """
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     copies = rows.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    h = F.xxhash64("SID", "ISO_TIME", "repeat", F.lit(seed))
+    h = row_hash(["SID", "ISO_TIME", "repeat"], seed)
     copies = copies.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     group = Window.partitionBy("repeat", "_bucket")
     order = group.orderBy("_h", "SID", "ISO_TIME")
@@ -118,7 +120,7 @@ def group_ablation(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON
     full = error(K.FEATURES)
     out = [("(none)", len(K.FEATURES), round(full, 2), 0.0)]
     for group in groups:
-        left = K.feature_columns_without(group)
+        left = columns_outside([group])
         km = error(left)
         out.append((group, len(left), round(km, 2), round(km - full, 2)))
     schema = "removed_group string, n_features int, error_km double, delta_km double"

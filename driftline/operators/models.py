@@ -54,7 +54,7 @@ class PairModel:
     def predict_vectors(self, df: DataFrame) -> DataFrame:
         """Both predictions for a table with the vector ``_x``."""
         for fitted, out in ((self.lat, "PRED_Y_LAT"), (self.lon, "PRED_Y_LON")):
-            df = fitted.setFeaturesCol("_x").setPredictionCol(out).transform(df)
+            df = fitted.copy().setFeaturesCol("_x").setPredictionCol(out).transform(df)
         return df
 
     def predict(self, df: DataFrame, impute: bool = False) -> DataFrame:
@@ -82,9 +82,27 @@ def _subset_strategy(value) -> str:
     return "all" if float(value) >= 1.0 else str(float(value))
 
 
+#: Parameters each estimator honours; any other is an error.
+HONOURED = {
+    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features"},
+    "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree",
+                "min_child_weight", "gamma"},
+    "linear_regression": set()}
+MAX_DEPTH = 30  # of MLlib
+
+
+def check_params(model: str, params: dict) -> None:
+    """Raise for parameters that the estimator would ignore or cut."""
+    unknown = sorted(set(params) - HONOURED[model])
+    if unknown:
+        raise ValueError(f"{model} has no parameters {unknown}")
+    if int(params.get("max_depth", 1)) > MAX_DEPTH:
+        raise ValueError(f"max_depth is at most {MAX_DEPTH}")
+
+
 def _forest(params: dict, seed: int) -> RandomForestRegressor:
     return RandomForestRegressor(
-        numTrees=int(params["n_estimators"]), maxDepth=min(int(params["max_depth"]), 30),
+        numTrees=int(params["n_estimators"]), maxDepth=int(params["max_depth"]),
         minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
         featureSubsetStrategy=_subset_strategy(params.get("max_features", "sqrt")),
         maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, seed=seed)
@@ -92,7 +110,7 @@ def _forest(params: dict, seed: int) -> RandomForestRegressor:
 
 def _boosted(params: dict, seed: int) -> GBTRegressor:
     return GBTRegressor(
-        maxIter=int(params["n_estimators"]), maxDepth=min(int(params["max_depth"]), 30),
+        maxIter=int(params["n_estimators"]), maxDepth=int(params["max_depth"]),
         stepSize=float(params.get("learning_rate", 0.1)),
         subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=_subset_strategy(params.get("colsample_bytree", 1.0)),
@@ -131,6 +149,7 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
     if model not in ESTIMATORS:
         raise ValueError(f"unknown model {model!r}")
     params = dict(params if params is not None else K.DEFAULT_PARAMS.get(model, {}))
+    check_params(model, params)
     shared_dir(rows.sparkSession)  # MLlib checkpoints node ids there
     targets = K.target_columns(horizon, mode)
     started = time.time()
@@ -261,7 +280,6 @@ def candidates(model: str, n: int, seed: int = K.SEED) -> list[dict]:
     for _ in range(n):
         if model == "random_forest":
             out.append({"n_estimators": rng.randrange(100, 501, 50), "max_depth": rng.randint(6, 30),
-                        "min_samples_split": _log_int(rng, 2, 40),
                         "min_samples_leaf": _log_int(rng, 1, 20),
                         "max_features": rng.choice(["sqrt", "log2", 0.3, 0.5, 1.0])})
         elif model == "xgboost":

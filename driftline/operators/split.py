@@ -129,7 +129,7 @@ def resolve_split(df: DataFrame, path: str, strategy: str = "season",
     if stored is not None and validate_split(df, stored).where("n > 0").isEmpty():
         return stored
     fresh = generate_split(df, strategy)
-    problems = validate_split(df, fresh).where("n > 0").limit(10).collect()
+    problems = validate_split(df, fresh).where("n > 0").collect()  # one row per check
     if problems:
         raise ValueError("; ".join(f"{p['check']}: {p['message']}" for p in problems))
     save_split(fresh, path, config)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline import constants as K
@@ -178,7 +179,7 @@ def _(spark, sf):
     return E.basin_rows(feature_table(spark, sf))
 
 
-_KEPT = (*K.ID_COLUMNS, *K.feature_columns_without("acceleration", "cyclic"))
+_KEPT = (*K.ID_COLUMNS, *E.columns_outside(("acceleration", "cyclic")))
 
 
 @query("feature_group_select", with_features(f"SELECT {columns(_KEPT)} FROM features"))
@@ -196,26 +197,22 @@ def _(spark, sf):
 
 
 def requests_table(spark, sf):
-    """One request per segment: its first 1 to 7 observations, oldest first."""
+    """One request per observation: it and up to six before it in its segment, oldest first."""
     df = E.row_position(clean_table(spark, sf))
-    size = F.pmod(F.length("SID") + F.substring("SEGMENT_ID", -1, 1).cast("int")
-                  + F.substring("SID", -1, 1).cast("int"), F.lit(7)) + 1
-    head = df.where(F.col("POSITION") < size)
-    point = F.struct("POSITION", F.col("LAT").alias("latitude"), F.col("LON").alias("longitude"),
+    point = F.struct(F.col("LAT").alias("latitude"), F.col("LON").alias("longitude"),
                      F.col("WMO_WIND").alias("wind_speed"), F.col("WMO_PRES").alias("pressure"))
-    grouped = head.groupBy(F.col("SEGMENT_ID").alias("request_id")).agg(
-        F.sort_array(F.collect_list(point)).alias("points"))  # at most 7 points a request
-    return grouped.select("request_id", F.transform("points", lambda p: F.struct(
-        p["latitude"].alias("latitude"), p["longitude"].alias("longitude"),
-        p["wind_speed"].alias("wind_speed"), p["pressure"].alias("pressure"))).alias("observations"))
+    history = Window.partitionBy("SID", "SEGMENT_ID").orderBy("ISO_TIME").rowsBetween(-6, 0)
+    return df.select(F.concat_ws("@", "SEGMENT_ID", "POSITION").alias("request_id"),
+                     F.collect_list(point).over(history).alias("observations"))
 
 
 REFERENCE_TIME = "2024-09-01 12:00:00"
 
 REQUESTS_SQL = """
-q_pos AS (SELECT *, row_number() OVER (PARTITION BY SEGMENT_ID ORDER BY ISO_TIME) - 1 AS p,
-  (length(SID) + CAST(right(SEGMENT_ID, 1) AS INTEGER) + CAST(right(SID, 1) AS INTEGER)) % 7 + 1 AS n FROM clean),
-q_rows AS (SELECT SEGMENT_ID AS request_id, p, n, LAT, LON, WMO_WIND, WMO_PRES FROM q_pos WHERE p < n)"""
+q_pos AS (SELECT *, row_number() OVER (PARTITION BY SEGMENT_ID ORDER BY ISO_TIME) - 1 AS p FROM clean),
+q_rows AS (SELECT e.SEGMENT_ID || '@' || e.p AS request_id, r.p - greatest(e.p - 6, 0) AS p, least(e.p + 1, 7) AS n,
+  r.LAT, r.LON, r.WMO_WIND, r.WMO_PRES FROM q_pos e JOIN q_pos r
+  ON e.SEGMENT_ID = r.SEGMENT_ID AND r.p BETWEEN e.p - 6 AND e.p)"""
 
 _W = "OVER (PARTITION BY request_id ORDER BY p)"
 LIVE_SQL = f""",

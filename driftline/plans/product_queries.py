@@ -10,7 +10,7 @@ from driftline.operators import forecast as T
 from driftline.operators import metrics as M
 from driftline.plans.metric_queries import evaluation, with_evaluation
 from driftline.plans.registry import query, rounded
-from driftline.plans.sql import columns, diff, hav, r, with_clean, with_features, with_scored, wrap
+from driftline.plans.sql import columns, diff, hav, r, seeded, with_clean, with_features, with_scored, wrap
 from driftline.plans.tables import baseline_table, clean_table, feature_table, forecast_row_table
 
 PROD = """
@@ -189,14 +189,27 @@ def _(spark, sf):
                       F.round("density", 5).alias("density"))
 
 
-@query("displacement_sample")
+MIDDLE = K.HORIZONS[len(K.HORIZONS) // 2]
+_MIDDLE = ", ".join(f"{r(c)} AS {c}" for c in K.target_columns(MIDDLE))
+
+
+@query("displacement_sample", with_features(
+    f"""SELECT SID, ISO_TIME, {_MIDDLE} FROM features WHERE {K.target_columns(MIDDLE)[0]} IS NOT NULL
+    AND {K.target_columns(MIDDLE)[1]} IS NOT NULL ORDER BY {seeded('SID', 'ISO_TIME')}, SID, ISO_TIME LIMIT 400"""))
 def _(spark, sf):
-    return A.displacement_sample(feature_table(spark, sf))
+    return rounded(A.displacement_sample(feature_table(spark, sf), 400))
 
 
-@query("track_sample")
+@query("track_sample", with_features(
+    f"""SELECT SID, SEGMENT_ID, ISO_TIME, BASIN, {r('LAT')} AS LAT, {r('LON')} AS LON, PART FROM (
+      SELECT *, CAST(sum(jump) OVER (PARTITION BY SEGMENT_ID ORDER BY ISO_TIME ROWS UNBOUNDED PRECEDING) AS INTEGER) AS PART
+      FROM (SELECT *, CASE WHEN abs(LON - lag(LON) OVER (PARTITION BY SEGMENT_ID ORDER BY ISO_TIME)) > 180 THEN 1 ELSE 0
+      END AS jump FROM features WHERE (SID, SEGMENT_ID) IN (SELECT (SID, SEGMENT_ID) FROM (
+        SELECT DISTINCT SID, SEGMENT_ID FROM features) ORDER BY {seeded('SID', 'SEGMENT_ID')}, SID, SEGMENT_ID LIMIT 30)))
+    QUALIFY count(*) OVER (PARTITION BY SEGMENT_ID, PART) > 1"""))
 def _(spark, sf):
-    return A.track_sample(feature_table(spark, sf))
+    return rounded(A.track_sample(feature_table(spark, sf), 30).select(
+        "SID", "SEGMENT_ID", "ISO_TIME", "BASIN", "LAT", "LON", "PART"))
 
 
 @query("split_at_antimeridian", with_clean(
@@ -251,8 +264,8 @@ def _(spark, sf):
 @query("residuals", with_products(
     f"""SELECT h.*, {r('m')} AS mean_residual FROM hist h JOIN (SELECT {G}, axis, avg(residual) AS m FROM res
     GROUP BY ALL) s ON h.model = s.model AND h.LEAD_HOURS = s.LEAD_HOURS AND h.axis = s.axis""",
-    f"""res AS (SELECT {G}, 'lat' AS axis, TRUE_LAT - PRED_LAT AS residual FROM prod
-    UNION ALL SELECT {G}, 'lon', TRUE_LON - PRED_LON FROM prod)""",
+    f"""res AS (SELECT {G}, 'lat' AS axis, round(TRUE_LAT - PRED_LAT, 9) AS residual FROM prod
+    UNION ALL SELECT {G}, 'lon', round(TRUE_LON - PRED_LON, 9) FROM prod)""",
     histogram_sql("res", "residual", 60, ["model", "LEAD_HOURS", "axis"])))
 def _(spark, sf):
     return rounded(A.residuals(products(spark, sf)))
@@ -282,7 +295,9 @@ def _(spark, sf):
 
 
 # -------------------------------------------------------------------------- maps
-@query("choose_storms")
+@query("choose_storms", with_products(
+    f"""SELECT SID, count(*) AS n FROM prod WHERE model = 'Persistence' AND LEAD_HOURS = 24 GROUP BY SID
+    HAVING count(*) >= 10 ORDER BY {seeded('SID')}, SID LIMIT 6"""))
 def _(spark, sf):
     return A.choose_storms(products(spark, sf).where("model = 'Persistence' AND LEAD_HOURS = 24"))
 
@@ -338,9 +353,14 @@ def _(spark, sf):
     return map_points(A.error_map_by_lead(products(spark, sf)))
 
 
-@query("error_map_sample")
+@query("error_map_sample", with_products(
+    f"""SELECT {G}, SID, ISO_TIME, {r('TRUE_LAT')} AS TRUE_LAT, {r('TRUE_LON')} AS TRUE_LON, {r('ERROR_KM')} AS ERROR_KM,
+    {r('v')} AS VMAX, {r('least(ERROR_KM, v)')} AS CLIPPED_KM FROM thinned JOIN (SELECT {G}, quantile_cont(ERROR_KM, 0.95) AS v
+    FROM thinned GROUP BY {G}) USING ({G})""",
+    f"""thinned AS MATERIALIZED (SELECT * FROM prod WHERE TRUE_LAT IS NOT NULL AND TRUE_LON IS NOT NULL AND ERROR_KM IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY {G} ORDER BY {seeded('SID', 'ISO_TIME')}, SID, ISO_TIME) <= 100)"""))
 def _(spark, sf):
-    return A.error_map_by_lead(products(spark, sf), max_points=4000)
+    return rounded(A.error_map_by_lead(products(spark, sf), max_points=100))
 
 
 @query("error_map_stats", with_products(
@@ -370,10 +390,14 @@ def _(spark, sf):
     return rounded(A.alongcross_growth(M.best_per_horizon(evaluation(spark, sf))))
 
 
-@query("alongcross_sample")
+@query("alongcross_sample", with_products(
+    f"""SELECT model, LEAD_HOURS, SID, ISO_TIME, {r('ALONG_TRACK_KM')} AS ALONG_TRACK_KM,
+    {r('CROSS_TRACK_KM')} AS CROSS_TRACK_KM FROM prod WHERE model = 'Linear Extrapolation' AND LEAD_HOURS = 24
+    AND ALONG_TRACK_KM IS NOT NULL AND CROSS_TRACK_KM IS NOT NULL
+    ORDER BY {seeded('SID', 'ISO_TIME', 'LEAD_HOURS', 'model')}, SID, ISO_TIME LIMIT 100"""))
 def _(spark, sf):
     rows = products(spark, sf).where("model = 'Linear Extrapolation' AND LEAD_HOURS = 24")
-    return A.alongcross_sample(rows)
+    return rounded(A.alongcross_sample(rows, 100))
 
 
 @query("skill_by_lead")

@@ -159,6 +159,12 @@ features AS MATERIALIZED (SELECT *, abs(BEARING_CHANGE_1) AS TURN_MAGNITUDE,
     for h in K.HORIZONS)}
   FROM f_speed WINDOW r4 AS ({_SEG} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""
 
+def seeded(*keys: str, seed: int = K.SEED) -> str:
+    """The seeded hash of a row key (see ``order_stats.row_hash``)."""
+    texts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {texts}, '{seed}')), 1, 13) AS BIGINT)"
+
+
 INT_FEATURES = ("MONTH", "DAY", "HOUR", "DAY_OF_YEAR", "INTENSITY_CATEGORY", "BASIN_CODE")
 
 

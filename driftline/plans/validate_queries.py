@@ -9,7 +9,7 @@ from driftline.operators import split as S
 from driftline.operators import validate as V
 from driftline.plans.feature_queries import REQUESTS_SQL, requests_table
 from driftline.plans.registry import query, rounded
-from driftline.plans.sql import columns, diff, prepared, r, with_clean, with_features, with_split
+from driftline.plans.sql import columns, diff, prepared, r, seeded, with_clean, with_features, with_split
 from driftline.plans.stages import stage_path
 from driftline.plans.tables import feature_table, forecast_row_table, split_table
 
@@ -196,7 +196,11 @@ def _(spark, sf):
     return S.season_split(S.prepare_training(feature_table(spark, sf), 6))
 
 
-@query("storm_split")
+@query("storm_split", with_features(
+    f"""SELECT SID, CASE WHEN p < floor(n * CAST({K.TRAIN_RATIO} AS DOUBLE)) THEN 'train'
+    WHEN p < floor(n * CAST({K.TRAIN_RATIO} AS DOUBLE)) + floor(n * CAST({K.VAL_RATIO} AS DOUBLE)) THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT SID, row_number() OVER (ORDER BY {seeded('SID')}, SID) - 1 AS p, count(*) OVER () AS n
+      FROM (SELECT DISTINCT SID FROM features))"""))
 def _(spark, sf):
     return S.storm_split(feature_table(spark, sf))
 
@@ -286,7 +290,9 @@ def _(spark, sf):
         *K.META_COLUMNS, "horizon", "Y_LAT", "Y_LON"))
 
 
-@query("subsample_train")
+@query("subsample_train", with_split(
+    f"""SELECT horizon, split, count(*) AS n FROM rows_split
+    WHERE split <> 'train' OR {seeded('SID', 'ISO_TIME')} < {1 << 51} GROUP BY ALL"""))
 def _(spark, sf):
     kept = S.subsample_train(forecast_row_table(spark, sf), 0.5)
     return kept.groupBy("horizon", "split").agg(F.count("*").alias("n"))
