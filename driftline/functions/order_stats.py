@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.joins import broadcast_if_small
 from driftline.session import cut_lineage
 
 
@@ -29,45 +30,73 @@ def _ranks_in_bins(hist: DataFrame, keys, inner, bin_col: str, wanted: Column) -
                .withColumn("_base", F.col("_base") + F.col("_upto") - F.col("_n"))
 
 
+#: A window orders at most this many rows of one bin, and a bin is cut into so many.
+MAX_BIN_ROWS = 100_000
+CUTS = 1024
+
+
+def _hits(found: DataFrame, cell) -> DataFrame:
+    """The bins that hold wanted ranks, one row each: range, rows, rows below, ranks."""
+    return cut_lineage(found.groupBy(*cell).agg(
+        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_n").alias("_n"),
+        F.collect_set("_rank").alias("_wanted"), F.first("_base").alias("_base"),
+        F.first("_total").alias("_total")).drop("_bin"))
+
+
 def exact_percentiles(df: DataFrame, groups, value: str, quantiles: dict[str, float],
-                      width: float = 0.05) -> DataFrame:
+                      width: float = 0.05, max_bin_rows: int = MAX_BIN_ROWS) -> DataFrame:
     """Linear-interpolated percentiles per group, exact at any group size.
 
     The built-in ``percentile`` merges all distinct values of a group in one
     task. Here a histogram with bins of ``width`` finds the bins that hold the
-    wanted ranks, and only the distinct values of those bins are ordered. Both
-    passes count map-side. With errors in km the histogram has at most 400,000
+    wanted ranks. A bin with more than ``max_bin_rows`` rows of different values
+    is cut into ``CUTS`` parts between its smallest and largest value and counted
+    again, until none is left; then the distinct values of the bins are ordered.
+    Every pass counts map-side, and no window holds more than a bin's rows or
+    the bins of a group. With errors in km the histogram has at most 400,000
     bins per group (half the Earth's circumference / 50 m).
 
     The bins that were hit (at most two per group and quantile) are checkpointed
-    between the passes, so ``df`` is read exactly twice: pass a written table, and
-    ``groups`` that are report keys (model, lead, basin, class), not entities.
+    between the passes, so jobs run while the plan is built, and ``df`` is read
+    once per pass: pass a written table, and ``groups`` that are report keys
+    (model, lead, basin, class), not entities.
     """
     groups = list(groups)
     keys = groups or ["_all"]
     base = df.select(*groups, F.col(value).cast("double").alias("_v"))
     base = base.where(F.col("_v").isNotNull())  # NaN became NULL at the scan
     base = base if groups else base.withColumn("_all", F.lit(1))
-    base = base.withColumn("_bin", F.floor(F.col("_v") / F.lit(width)))
+    span = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     total = F.sum("_n").over(Window.partitionBy(*keys))
     positions = F.array(*[F.lit(q) * (F.col("_total") - 1) for q in quantiles.values()])
     wanted = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)),
                                        F.transform(positions, lambda p: F.ceil(p))))
-    bins = base.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    bins = base.groupBy(*keys, F.floor(F.col("_v") / F.lit(width)).alias("_bin")).agg(*span)
     bins = bins.withColumns({"_total": total, "_base": F.lit(0).cast("bigint")})
-    found = _ranks_in_bins(bins, keys, [], "_bin", wanted)
-    cell = [*keys, "_bin"]
-    hit = cut_lineage(found.groupBy(*cell).agg(
-        F.collect_set("_rank").alias("_wanted"), F.first("_base").alias("_base"),
-        F.first("_total").alias("_total")))
-
-    inside = base.alias("d").join(F.broadcast(hit.select(*cell)).alias("h"),
-                                  same_keys("d", "h", cell), "left_semi")
-    values = inside.groupBy(*cell, "_v").agg(F.count("*").alias("_n"))
-    values = values.alias("d").join(F.broadcast(hit).alias("h"), same_keys("d", "h", cell)) \
-                   .select("d.*", "h._wanted", "h._base", "h._total")
-    at = _ranks_in_bins(values, keys, ["_bin"], "_v", F.col("_wanted"))
+    hit = _hits(_ranks_in_bins(bins, keys, [], "_bin", wanted), [*keys, "_bin"])
+
+    def inside():
+        """Rows in the range of a hit bin, with the bin; a group has a few bins."""
+        bins_hit = broadcast_if_small(hit).alias("h")
+        within = (F.col("d._v") >= F.col("h._lo")) & (F.col("d._v") <= F.col("h._hi"))
+        return base.alias("d").join(bins_hit, same_keys("d", "h", keys) & within).select(
+            "d.*", "h._lo", "h._hi", "h._wanted", "h._base", "h._total")
+
+    while not hit.where((F.col("_n") > max_bin_rows) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        step = (F.col("_hi") - F.col("_lo")) / CUTS
+        part = F.when(step > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / step), F.lit(CUTS - 1)))
+        cut = inside().withColumn("_bin", F.coalesce(part, F.lit(0))).withColumnRenamed("_lo", "_from")
+        bins = cut.drop("_hi").groupBy(*keys, "_from", "_bin").agg(
+            *span, F.first("_wanted").alias("_wanted"), F.first("_base").alias("_base"),
+            F.first("_total").alias("_total"))
+        found = _ranks_in_bins(bins, keys, ["_from"], "_bin", F.col("_wanted"))
+        hit = _hits(found, [*keys, "_from", "_bin"]).drop("_from")
+
+    values = inside().groupBy(*keys, "_lo", "_v").agg(
+        F.count("*").alias("_n"), F.first("_wanted").alias("_wanted"), F.first("_base").alias("_base"),
+        F.first("_total").alias("_total"))
+    at = _ranks_in_bins(values, keys, ["_lo"], "_v", F.col("_wanted"))
 
     table = at.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"),

@@ -30,6 +30,19 @@ def test_percentiles_equal_numpy(spark):
             assert rows[name][c] == pytest.approx(np.percentile(values, 100 * q), abs=1e-9), (name, c)
 
 
+def test_percentiles_of_one_bin(spark):
+    """All values in one bin are cut again until no bin has more than ten different rows."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.uniform(0.001, 0.002, 3000), np.full(500, 0.0015), rng.uniform(0, 1e-9, 300)])
+    pdf = pd.DataFrame({"g": ["a"] * len(values), "v": values})
+    qs = {"p10": 0.1, "p50": 0.5, "p55": 0.55, "p95": 0.95}
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = exact_percentiles(df, ["g"], "v", qs, max_bin_rows=10).first()
+    for c, q in qs.items():
+        assert got[c] == pytest.approx(np.percentile(values, 100 * q), abs=1e-15)
+    assert exact_percentiles(df.limit(0), ["g"], "v", qs).count() == 0
+
+
 def test_hash_rank_is_a_permutation(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"))
     one = {r.k: r.hash_rank for r in hash_rank(df.repartition(3), ["k"], 42).collect()}
