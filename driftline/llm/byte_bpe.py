@@ -48,7 +48,11 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 def encoder(path: str, pattern: str):
-    """Column function: a text to its token ids."""
+    """Column function: a text to its token ids.
+
+    Marked as not deterministic so that the planner computes ids once where
+    several columns use them (it would else repeat the call for each).
+    """
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
@@ -57,7 +61,7 @@ def encoder(path: str, pattern: str):
         ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
         return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(values), np.int32))
 
-    return encode
+    return encode.asNondeterministic()
 
 
 def decoder(path: str):
