@@ -16,7 +16,7 @@ weighted Jaccard, in blocks: no pair is written, only the links that connect.
 Defined results:
 
 * null texts, texts without words, null ids: a class of their own;
-* texts with equal words: one class, compared once for all copies;
+* equal texts: one class, compared once for all copies;
 * repeated ids: rows of their own in a common class;
 * ties: similarity of exactly ``MIN_SIMILARITY`` links;
 * empty table: empty result; columns of the input named like an output: kept inside ``row``.
@@ -25,7 +25,7 @@ Defined results:
 from __future__ import annotations
 
 import functools
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +43,16 @@ BANDS = 20
 ROWS = 5
 SAMPLES = BANDS * ROWS
 IDF_BUCKETS = 1 << 20
-SLOTS = 1 << 14
-CHUNK = 4096
+SLOTS = 1 << 12
+CHUNK = 512
 #: A member whose estimate to the head of its bucket is below this gets another head.
 UNRELATED = 0.35
 BLOCK_ROWS = 1024
 BLOCK_WORDS = 2_000_000
 PACK_ROWS = 256
-DENSE = 48
+#: Above so many texts, elements of at most ``FEW`` texts are summed by pairs.
+SMALL = 128
+FEW = 8
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xFF51AFD7ED558CCD], np.uint64)
 
@@ -62,7 +64,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(hashes: np.ndarray, idf: np.ndarray):
     """Distinct shingles of a text: hash, count and IDF."""
-    h = hashes.view(np.uint64)
+    h = hashes.view(np.uint32).astype(np.uint64)
     rare = idf[(h % np.uint64(IDF_BUCKETS)).astype(np.int64)]
     size = min(SHINGLE, len(h))
     n = len(h) - size + 1
@@ -76,26 +78,31 @@ def shingles(hashes: np.ndarray, idf: np.ndarray):
 
 @functools.cache
 def variates():
-    """Gamma(2, 1) and uniform variates by slot and sample: (r, beta, ln c)."""
+    """Variates by slot and sample: 1 / r, beta and r with r from Gamma(2, 1) and beta uniform; ln c with c as r."""
     rng = np.random.default_rng(20240229)
     shape = (SLOTS, SAMPLES)
-    return (rng.gamma(2.0, 1.0, shape).astype(np.float32), rng.random(shape).astype(np.float32),
-            np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32))
+    r, beta, c = rng.gamma(2.0, 1.0, shape), rng.random(shape), rng.gamma(2.0, 1.0, shape)
+    return np.stack([1 / r, beta, r], axis=1).astype(np.float32), np.log(c).astype(np.float32)
 
 
 def signature(hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """One 32-bit value per sample; long texts are taken in chunks."""
     key, count, weight = shingles(hashes, idf)
     logs = np.log(count * weight).astype(np.float32)
-    r_table, beta_table, c_table = variates()
+    steps_table, c_table = variates()
     best = np.full(SAMPLES, np.inf, np.float32)
     out = np.zeros(SAMPLES, np.uint64)
     for start in range(0, len(key), CHUNK):
         k = key[start:start + CHUNK]
         one, two = (k & np.uint64(SLOTS - 1)).astype(np.int64), (k >> np.uint64(40)).astype(np.int64) % SLOTS
-        r, beta = r_table[one], beta_table[one]
-        t = np.floor(logs[start:start + CHUNK, None] / r + beta)
-        a = c_table[two] - r * (t - beta + 1)
+        drawn = steps_table.take(one, axis=0)
+        t = drawn[:, 0] * logs[start:start + CHUNK, None]
+        t += drawn[:, 1]
+        np.floor(t, out=t)
+        a = t - drawn[:, 1]
+        a += 1
+        a *= drawn[:, 2]
+        np.subtract(c_table.take(two, axis=0), a, out=a)  # ln c - r (t - beta) - r
         at = a.argmin(0)
         low = a[at, np.arange(SAMPLES)]
         better = low < best
@@ -105,28 +112,35 @@ def signature(hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def idf_table(df: DataFrame) -> np.ndarray:
+def idf_table(docs: DataFrame) -> np.ndarray:
     """IDF by bucket of words, from the documents of the whole table; a table of fixed size."""
-    buckets = F.array_distinct(F.transform("words", lambda h: F.pmod(h, F.lit(IDF_BUCKETS)).cast("int")))
-    counts = df.select(F.explode(buckets).alias("bucket")).groupBy("bucket").count().toPandas()
-    n = df.filter(F.size("words") > 0).count()
-    docs = np.zeros(IDF_BUCKETS)
-    # pmod of a negative hash is its unsigned value modulo a power of two
-    docs[counts["bucket"].to_numpy(np.int64)] = counts["count"].to_numpy()
-    return (1.0 + np.log((n + 1) / (docs + 1))).astype(np.float32)
+    buckets = F.array_distinct(F.transform("words", lambda h: F.pmod(h, F.lit(IDF_BUCKETS))))
+    counts = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").count().toArrow()
+    found = np.zeros(IDF_BUCKETS)
+    found[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
+    return (1.0 + np.log((docs.count() + 1) / (found + 1))).astype(np.float32)
 
 
 def prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``row``, id, word hashes and a key of the words that is null without words or id."""
-    out = packed(df, id=doc_id, text=text).withColumn("text", words(F.lower("text")))
-    key = F.when((F.size("text") > 0) & F.col("id").isNotNull(),
-                 F.md5(F.array_join("text", " ").cast("binary")))
-    return out.select("row", "id", key.alias("key"),
-                      F.transform("text", lambda w: F.xxhash64(w)).alias("words"))
+    """``row``, id, text and a key of the text."""
+    out = packed(df, id=doc_id, text=text)
+    return out.withColumn("key", F.md5(F.col("text").cast("binary")))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(id, key, n_words, words) of documents with an id and words, written once: 32-bit hashes, in order.
+
+    Two words that share a hash would have to stand at the same place of two
+    texts to matter, one chance in 2^32.
+    """
+    found = docs.select("id", "key", words(F.lower("text")).alias("words")).filter(
+        (F.size("words") > 0) & F.col("id").isNotNull())
+    return written(found.select("id", "key", F.size("words").alias("n_words"),
+                                F.transform("words", lambda w: F.hash(w)).alias("words")), "words")
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
-    """One row per distinct sequence of words: key, smallest id, length, signature."""
+    """One row per distinct text: key, smallest id, length, signature."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def sign(batch: pa.Array) -> pa.Array:
@@ -135,8 +149,7 @@ def signed(docs: DataFrame, idf) -> DataFrame:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, SAMPLES, dtype=np.int32), flat)
 
-    found = docs.filter("key is not null").select(
-        "key", "id", F.size("words").alias("n_words"), sign("words").alias("signature"))
+    found = docs.select("key", "id", "n_words", sign("words").alias("signature"))
     return found.groupBy("key").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
                                     F.first("signature").alias("signature"))
 
@@ -195,19 +208,17 @@ def overlaps(docs: list[tuple], n: int):
     start = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
     size = np.diff(np.append(start, len(element)))
     common = np.zeros((n, n))
-    wide = np.flatnonzero(size > DENSE)
+    wide = np.flatnonzero(size > (1 if n <= SMALL else FEW))
     for part in range(0, len(wide), 1024):
-        chosen = wide[part:part + 1024]
-        x = np.zeros((n, len(chosen)))
-        for k, s in enumerate(chosen):
-            x[owner[start[s]:start[s] + size[s]], k] = math.sqrt(weight[start[s]])
+        first, count = start[wide[part:part + 1024]], size[wide[part:part + 1024]]
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        x = np.zeros((n, len(first)))
+        x[owner[at], np.repeat(np.arange(len(first)), count)] = np.sqrt(weight[at])
         common += x @ x.T
-    for m in range(2, DENSE + 1):
+    for m in range(2, FEW + 1) if n > SMALL else ():
         first = start[size == m]
-        for i in range(m):
-            for j in range(i + 1, m):
-                np.add.at(common, (owner[first + i], owner[first + j]), weight[first])
-                np.add.at(common, (owner[first + j], owner[first + i]), weight[first])
+        for i, j in itertools.permutations(range(m), 2):
+            np.add.at(common, (owner[first + i], owner[first + j]), weight[first])
     return total, common
 
 
@@ -265,11 +276,10 @@ def verified(members: DataFrame, idf) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` with ``class_id`` (smallest id of its class) and ``kept`` (the row that stays)."""
-    spark = df.sparkSession
     docs = prepared(df, doc_id, text)
-    table = idf_table(docs.select("words"))
-    idf = spark.sparkContext.broadcast(table)
-    reps = written(signed(docs, idf), "signed")
+    known = hashed(docs)
+    idf = df.sparkSession.sparkContext.broadcast(idf_table(known))
+    reps = written(signed(known, idf), "signed")
     clusters = written(components(candidate_links(reps), "id", "head"), "clusters")
     sizes = clusters.join(reps.select("id", "n_words"), F.col("node") == F.col("id")).groupBy("component").agg(
         F.count("*").alias("n"), F.sum(F.col("n_words").cast("long")).alias("total"))
@@ -277,25 +287,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     packs = clusters.count() // PACK_ROWS + 1
     pack = F.when(F.col("blocks") > 1, -1 - F.col("component")).otherwise(
         F.pmod(F.xxhash64("component"), F.lit(packs)))
-    placed = clusters.join(sizes.select("component", blocks.alias("blocks")), "component").select(
-        F.col("node").alias("member"), F.col("component").alias("cluster"), "blocks", pack.alias("pack"))
+    placed = clusters.join(sizes.select("component", blocks.alias("blocks")), "component").join(
+        reps.select("key", "id"), F.col("node") == F.col("id")).select(
+        F.col("key").alias("member"), F.col("id").alias("first_id"), F.col("component").alias("cluster"), "blocks",
+        pack.alias("pack"))
     placed = broadcast_if_small(written(placed, "placed"))
-    members = docs.select("id", "key", "words").join(placed, F.col("id") == F.col("member"))
-    members = members.join(reps.select(F.col("key").alias("rep_key"), F.col("id").alias("rep_id")),
-                           (F.col("id") == F.col("rep_id")) & (F.col("key") == F.col("rep_key")))
+    members = known.join(placed, (F.col("key") == F.col("member")) & (F.col("id") == F.col("first_id")))
     links = written(verified(members, idf), "verified")
     classes = components(links, "id", "root")
-    known = reps.select("key", "id").join(classes, F.col("id") == F.col("node"), "left").select(
+    named = reps.select("key", "id").join(classes, F.col("id") == F.col("node"), "left").select(
         F.col("key").alias("rep_key"), F.coalesce("component", "id").alias("class"))
     out = docs.select("row", "id", "key").join(
-        broadcast_if_small(written(known, "classes")), F.col("key") == F.col("rep_key"), "left")
-    class_id = F.coalesce("class", "id")
+        broadcast_if_small(written(named, "classes")), F.col("key") == F.col("rep_key"), "left")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return out.select("row", class_id.alias("class_id"),
                       F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
 
 
 def first_of_each(result: DataFrame) -> DataFrame:
-    """The rows that stay, one per class: of rows that share an id and words, the first in order."""
+    """The rows that stay, one per class: of rows that share an id, the first in order."""
     kept = result.filter("kept").select("row", "class_id")
     repeated = kept.groupBy("class_id").count().filter("count > 1 and class_id is not null").select(
         F.col("class_id").alias("again"))
