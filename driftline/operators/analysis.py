@@ -162,14 +162,23 @@ def cumulative_within(rows: DataFrame, horizon: int = K.DEFAULT_HORIZON,
     return long.select("model", F.col("t").cast("int").alias("threshold_km"), "within_pct")
 
 
-def align_intensity(rows: DataFrame, features: DataFrame) -> DataFrame:
-    """Errors with the intensity class of their issue row, joined by key."""
+def align_intensity(rows: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Errors with the intensity class of their issue row.
+
+    Scored forecasts carry the class; only tables without it are joined to
+    ``features`` by key.
+    """
+    if features is None:
+        lead = F.col("LEAD_HOURS") if "LEAD_HOURS" in rows.columns else F.col("horizon")
+        return rows.select("model", "SID", "ISO_TIME", lead.alias("LEAD_HOURS"), "ERROR_KM",
+                           F.col("INTENSITY_CATEGORY").alias("category")).where(
+            "category IS NOT NULL AND ERROR_KM IS NOT NULL")
     classes = features.select("SID", "ISO_TIME", F.col("INTENSITY_CATEGORY").alias("category"))
     return rows.select("model", "SID", "ISO_TIME", "LEAD_HOURS", "ERROR_KM") \
                .join(classes, ["SID", "ISO_TIME"]).where("category IS NOT NULL AND ERROR_KM IS NOT NULL")
 
 
-def error_by_intensity(rows: DataFrame, features: DataFrame) -> DataFrame:
+def error_by_intensity(rows: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Quartiles per intensity class."""
     out = box_stats(align_intensity(rows, features), ["model", "LEAD_HOURS", "category"])
     return out.withColumn("name", geo.intensity_name("category"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,8 @@ def run_baselines(rows: DataFrame, split_name: str = "test", names=K.BASELINES[:
     """All baselines in one pass over the rows of a partition.
 
     ``regressions`` are predictions of ``linear_regression`` fits (see models) and
-    are appended. A baseline that fails is left out with a warning.
+    are appended. A baseline whose input columns are missing is left out with a
+    warning; an unknown name is an error.
     """
     split = rows.where(F.col("split") == split_name)
     made = {}
@@ -101,7 +103,7 @@ def run_baselines(rows: DataFrame, split_name: str = "test", names=K.BASELINES[:
                 split, made[name] = basin_lookup(split, means), climatology()
             elif name != "Linear Regression":
                 raise ValueError(f"unknown baseline {name!r}")
-        except Exception as error:
+        except AnalysisException as error:  # a column it needs is missing
             log.warning("baseline %s left out: %s", name, error)
     structs = []
     for name, (dlat, dlon) in made.items():

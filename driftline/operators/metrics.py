@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftline import constants as K
 from driftline.functions import geo
-from driftline.functions.order_stats import exact_percentiles, same_keys
+from driftline.functions.order_stats import exact_percentiles, row_hash, same_keys
 
 KEYS = ("SID", "ISO_TIME", "horizon")
 REPORT = ("model", "horizon")
@@ -106,15 +106,16 @@ def target_mae_r2(scored: DataFrame, groups=REPORT) -> DataFrame:
 def with_reference_error(scored: DataFrame, reference: str = K.REFERENCE_BASELINE) -> DataFrame:
     """REF_ERROR_KM: the error of the reference forecast for the same row.
 
-    Persistence needs no join, its error follows from the row itself.
+    Persistence follows from the row itself; any other reference is picked among
+    the forecasts of the same row, which are one per model, so nothing is joined.
     """
     if reference == "Persistence":
         stay = geo.offset_position("LAT", "LON", F.lit(0.0), F.lit(0.0))
         return scored.withColumn("REF_ERROR_KM",
                                  geo.track_error_km("TRUE_LAT", "TRUE_LON", *stay))
-    ref = scored.where(F.col("model") == reference).select(
-        *KEYS, F.col("ERROR_KM").alias("REF_ERROR_KM"))
-    return scored.join(ref, list(KEYS), "left")
+    same_row = Window.partitionBy(*KEYS)
+    return scored.withColumn("REF_ERROR_KM", F.max(
+        F.when(F.col("model") == reference, F.col("ERROR_KM"))).over(same_row))
 
 
 def _skill_column():
@@ -134,7 +135,7 @@ skill_vs_reference = skill_score
 
 # ------------------------------------------------------------------- bootstrap
 # Cumulative Poisson(1) probabilities: a resampling weight is how many of them
-# a uniform number exceeds.
+# a uniform number exceeds. Twelve entries: a weight above 12 has a chance of 6e-11.
 _POISSON_CDF = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320,
                                                   362880, 3628800, 39916800], dtype=float))
 
@@ -189,7 +190,7 @@ def replicate_sums(pairs: DataFrame, groups=REPORT, replicates: int = K.BOOTSTRA
     types = dict(pairs.dtypes)
     schema = ", ".join(f"`{g}` {types[g]}" for g in groups) \
         + ", replicate int, w double, wm double, wr double"
-    keyed = pairs.select(*groups, F.xxhash64(*KEYS).alias("_key"),
+    keyed = pairs.select(*groups, row_hash(KEYS, seed).alias("_key"),
                          F.col("ERROR_KM").alias("_m"), F.col("REF_ERROR_KM").alias("_r"))
     partial = keyed.mapInPandas(_partial_sums(groups, replicates, seed), schema)
     return partial.groupBy(*groups, "replicate").agg(
@@ -207,7 +208,18 @@ def bootstrap_ci(scored: DataFrame, groups=REPORT, replicates: int = K.BOOTSTRAP
     """Percentile interval of the mean error."""
     rows = scored.where(F.col("ERROR_KM").isNotNull()).withColumn("REF_ERROR_KM", F.lit(0.0))
     sums = replicate_sums(rows, groups, replicates, seed).where("w > 0")
-    return sums.groupBy(*groups).agg(*_interval(F.col("wm") / F.col("w"), alpha, "mean_ci"))
+    return sums.groupBy(*groups).agg(*_mean_interval(alpha))
+
+
+def _mean_interval(alpha: float):
+    return _interval(F.col("wm") / F.col("w"), alpha, "mean_ci")
+
+
+def _skill_intervals(alpha: float):
+    change = (F.col("wr") - F.col("wm")) / F.col("w")
+    skill = F.when(F.col("wr") > 0, (F.col("wr") - F.col("wm")) / F.col("wr") * 100)
+    return [*_interval(change, alpha, "ci"), *_interval(skill, alpha, "skill_ci"),
+            F.avg((change <= 0).cast("double")).alias("p_value")]
 
 
 def pair_errors(model: DataFrame, reference: DataFrame) -> DataFrame:
@@ -231,11 +243,7 @@ def paired_bootstrap(pairs: DataFrame, groups=REPORT, replicates: int = K.BOOTST
         F.count("*").alias("n_samples"), (ref - model).alias("mean_difference_km"),
         F.when(ref > 0, (ref - model) / ref * 100).alias("skill_pct"))
     sums = replicate_sums(rows, groups, replicates, seed).where("w > 0")
-    change = (F.col("wr") - F.col("wm")) / F.col("w")
-    skill = F.when(F.col("wr") > 0, (F.col("wr") - F.col("wm")) / F.col("wr") * 100)
-    spread = sums.groupBy(*groups).agg(
-        *_interval(change, alpha, "ci"), *_interval(skill, alpha, "skill_ci"),
-        F.avg((change <= 0).cast("double")).alias("p_value"))
+    spread = sums.groupBy(*groups).agg(*_skill_intervals(alpha))
     return observed.join(spread, list(groups))
 
 
@@ -251,14 +259,19 @@ def evaluate_models(scored: DataFrame, groups=REPORT) -> DataFrame:
 
 def evaluate_with_intervals(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES,
                             seed: int = K.SEED) -> DataFrame:
-    """``evaluate_models`` plus bootstrap intervals and p values."""
-    pairs = with_reference_error(scored)
-    mean = bootstrap_ci(scored, REPORT, replicates, seed=seed)
-    skill = paired_bootstrap(pairs.where(F.col("model") != K.REFERENCE_BASELINE), REPORT,
-                             replicates, seed=seed) \
-        .select(*REPORT, "skill_ci_lower", "skill_ci_upper", F.col("p_value").alias("skill_p_value"))
-    return evaluate_models(scored).join(mean, list(REPORT), "left") \
-                                  .join(skill, list(REPORT), "left")
+    """``evaluate_models`` plus bootstrap intervals and p values, from one draw of the weights.
+
+    The reference error is missing only where the observation is, hence with the
+    error itself, so both intervals are over the same rows.
+    """
+    pairs = with_reference_error(scored).where("ERROR_KM IS NOT NULL AND REF_ERROR_KM IS NOT NULL")
+    sums = replicate_sums(pairs, REPORT, replicates, seed).where("w > 0")
+    spread = sums.groupBy(*REPORT).agg(*_mean_interval(K.BOOTSTRAP_ALPHA), *_skill_intervals(K.BOOTSTRAP_ALPHA))
+    other = F.col("model") != K.REFERENCE_BASELINE
+    spread = spread.select(*REPORT, "mean_ci_lower", "mean_ci_upper", *[
+        F.when(other, F.col(c)).alias(name) for c, name in (
+            ("skill_ci_lower", "skill_ci_lower"), ("skill_ci_upper", "skill_ci_upper"), ("p_value", "skill_p_value"))])
+    return evaluate_models(scored).join(spread, list(REPORT), "left")
 
 
 def evaluate_by_basin(scored: DataFrame, min_rows: int = K.BASIN_MIN_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from driftline import constants as K
 from driftline.operators import baselines as B
 from driftline.operators import metrics as M
 from driftline.plans.registry import query, rounded
-from driftline.plans.sql import columns, diff, hav, r, rs, with_scored, with_split, wrap
+from driftline.plans.sql import columns, diff, hav, r, rs, seeded, with_scored, with_split, wrap
 from driftline.plans.tables import baseline_table, forecast_row_table
 
 KEYS = ("SID", "ISO_TIME", "horizon")
@@ -198,15 +198,54 @@ def _(spark, sf):
 
 
 # -------------------------------------------------------------------- bootstrap
-@query("bootstrap_ci")
+# The weights of the bootstrap: a counter hash modulo 2^64 of row key and replicate, then
+# the number of cumulative Poisson probabilities that its uniform number reaches.
+def _times(value: str, factor: int) -> str:
+    return f"CAST((CAST({value} AS UHUGEINT) * {factor}::UHUGEINT) & 18446744073709551615::UHUGEINT AS UBIGINT)"
+
+
+_KEY = f"xor(CAST({seeded(*M.KEYS)} AS UBIGINT), {K.SEED * 0x9E3779B1}::UBIGINT)"
+WEIGHTS = f"""
+keyed AS MATERIALIZED (SELECT model, horizon, ERROR_KM AS m, REF_ERROR_KM AS e, {_KEY} AS k FROM ref
+  WHERE ERROR_KM IS NOT NULL AND REF_ERROR_KM IS NOT NULL),
+z_add AS (SELECT model, horizon, m, e, replicate, CAST((CAST(k AS UHUGEINT) + CAST(replicate AS UHUGEINT)
+  * {0x9E3779B97F4A7C15}::UHUGEINT) & 18446744073709551615::UHUGEINT AS UBIGINT) AS z
+  FROM keyed, range(1, {K.BOOTSTRAP_REPLICATES + 1}) t(replicate)),
+z_one AS (SELECT * REPLACE ({_times('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)} AS z) FROM z_add),
+z_two AS (SELECT * REPLACE ({_times('xor(z, z >> 27)', 0x94D049BB133111EB)} AS z) FROM z_one),
+uniform AS (SELECT * EXCLUDE (z), CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / {1 << 53}::DOUBLE AS u FROM z_two),
+sums AS MATERIALIZED (SELECT model, horizon, replicate, sum(w) AS w, sum(w * m) AS wm, sum(w * e) AS wr FROM (
+  SELECT *, {' + '.join(f'CAST(u >= {float(c)!r}::DOUBLE AS INTEGER)' for c in M._POISSON_CDF)} AS w FROM uniform)
+  GROUP BY ALL HAVING sum(w) > 0)"""
+
+
+def _ci(value: str, name: str) -> str:
+    return ", ".join(f"{r(f'quantile_cont({value}, {q})')} AS {name}_{side}"
+                     for side, q in (("lower", K.BOOTSTRAP_ALPHA / 2), ("upper", 1 - K.BOOTSTRAP_ALPHA / 2)))
+
+
+_CHANGE, _GAIN = "(wr - wm) / w", "CASE WHEN wr > 0 THEN (wr - wm) / wr * 100 END"
+PAIRED = f"""
+paired AS (SELECT * FROM (SELECT model, horizon, count(*) AS n_samples, {r('avg(e) - avg(m)')} AS mean_difference_km,
+    {r('(avg(e) - avg(m)) / avg(e) * 100')} AS skill_pct FROM keyed WHERE model <> 'Persistence' GROUP BY ALL)
+  JOIN (SELECT model, horizon, {_ci(_CHANGE, 'ci')}, {_ci(_GAIN, 'skill_ci')},
+    {r(f'avg(CAST({_CHANGE} <= 0 AS DOUBLE))')} AS p_value FROM sums GROUP BY ALL) USING (model, horizon))"""
+
+
+def with_weights(select: str, *more: str) -> str:
+    return with_scored(select, REF, WEIGHTS, *more)
+
+
+@query("bootstrap_ci", with_weights(
+    f"SELECT model, horizon, {_ci('wm / w', 'mean_ci')} FROM sums GROUP BY ALL"))
 def _(spark, sf):
-    return M.bootstrap_ci(baseline_table(spark, sf))
+    return rounded(M.bootstrap_ci(baseline_table(spark, sf)))
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", with_weights("SELECT * FROM paired", PAIRED))
 def _(spark, sf):
     df = M.with_reference_error(baseline_table(spark, sf)).where("model <> 'Persistence'")
-    return M.paired_bootstrap(df)
+    return rounded(M.paired_bootstrap(df))
 
 
 @query("evaluate_with_intervals")

@@ -1,10 +1,13 @@
-"""Registered queries of the models. They use all rows, with small ensembles.
+"""Registered queries of the models. They use all rows and horizons, with small ensembles.
 
-Ensemble sizes are arguments of the operators; the defaults are far larger.
+Ensemble sizes are arguments of the operators; the defaults are far larger (a
+forest of 150 trees of depth 25 takes minutes per horizon and output here).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from driftline import constants as K
@@ -15,11 +18,11 @@ from driftline.operators import metrics as M
 from driftline.operators import models as L
 from driftline.operators import split as S
 from driftline.operators import validate as V
-from driftline.plans.feature_queries import REFERENCE_TIME, requests_table
+from driftline.plans.feature_queries import REFERENCE_TIME, REQUESTS_SQL, requests_table
 from driftline.plans.metric_queries import evaluation
 from driftline.plans.product_queries import start_rows
 from driftline.plans.registry import query
-from driftline.plans.sql import prepared, r, with_features, with_scored
+from driftline.plans.sql import prepared, r, with_clean, with_features, with_scored
 from driftline.plans.stages import once, stage, stage_path
 from driftline.plans.tables import baseline_table, feature_table, split_table
 from driftline.sources import models as store
@@ -48,8 +51,9 @@ def boosted(spark, sf):
         prepared_rows(spark, sf), "xgboost", 24, BOOSTED))
 
 
-def linear(spark, sf):
-    return once(spark, sf, "linear_24", lambda: L.linear_regression(prepared_rows(spark, sf)))
+def linear(spark, sf, horizon=24):
+    return once(spark, sf, f"linear_{horizon}", lambda: L.linear_regression(
+        prepared_rows(spark, sf, horizon), horizon))
 
 
 @query("linear_regression")
@@ -69,23 +73,20 @@ def _(spark, sf):
 
 @query("resolve_params")
 def _(spark, sf):
+    """What a sweep stored for a horizon, next to the parameters that apply to it."""
     path = stage_path(spark, sf, "params_resolve")
-    found = linear_validation_error(spark, sf)
-    R.upsert_params(spark, path, [{"model": "random_forest", "horizon": 24, "n_trials": 1,
-                                   "params": {"max_depth": 8}, "best_val_error_km": found}])
+    R.upsert_params(spark, path, [sweep(spark, sf)[1]])
     rows = [(m, h, {k: str(v) for k, v in R.resolve_params(spark, path, m, h).items()})
             for m in K.MODEL_LABELS for h in K.HORIZONS]
-    return spark.createDataFrame(rows, "model string, horizon int, params map<string,string>")
-
-
-def linear_validation_error(spark, sf) -> float:
-    return L.mean_error_km(linear(spark, sf), prepared_rows(spark, sf).where("split = 'val'"))
+    applied = spark.createDataFrame(rows, "model string, horizon int, params map<string,string>")
+    stored = R.read_params(spark, path).withColumnRenamed("params", "stored_params")
+    return applied.join(stored, ["model", "horizon"], "left")
 
 
 def grid(spark, sf):
     return once(spark, sf, "grid", lambda: L.train_grid(
-        feature_table(spark, sf), split_table(spark, sf), ("random_forest", "xgboost"), (24, 72),
-        {"random_forest": {**FOREST, "n_estimators": 5}, "xgboost": {**BOOSTED, "n_estimators": 4}}))
+        feature_table(spark, sf), split_table(spark, sf), ("random_forest", "xgboost"), K.HORIZONS,
+        {"random_forest": FOREST, "xgboost": BOOSTED}))
 
 
 @query("train_grid")
@@ -129,7 +130,7 @@ def _(spark, sf):
 
 def sweep(spark, sf):
     return once(spark, sf, "sweep", lambda: L.tuning_sweep(
-        prepared_rows(spark, sf), "random_forest", 24, n_trials=3, subsample=0.5,
+        prepared_rows(spark, sf), "random_forest", 24, n_trials=3,
         limits={"n_estimators": 5, "max_depth": 6}))
 
 
@@ -184,27 +185,57 @@ def _(spark, sf):
     return T.forecast_recursive(start_rows(spark, sf), feature_table(spark, sf), model.predict)
 
 
-@query("score_requests")
-def _(spark, sf):
+def scored_requests(spark, sf, fits, measured=None):
+    """Requests over both models and all horizons (and one that is refused), answered by ``fits``."""
+    place = F.split_part("request_id", F.lit("@"), F.lit(2)).cast("int")
+    asked = F.array(*map(F.lit, (*K.HORIZONS, 7)))
     requests = requests_table(spark, sf).withColumns({
-        "model": F.lit("random_forest"),
-        "forecast_horizon": F.when(F.length("request_id") % 4 == 1, 7).otherwise(24)})
+        "model": F.when(place % 2 == 0, "random_forest").otherwise("xgboost"),
+        "forecast_horizon": F.get(asked, F.floor(place / 2).cast("int") % 6)})
     checked = V.validate_requests(requests)
     rows = E.live_features(checked.where("accepted"), F.lit(REFERENCE_TIME).cast("timestamp_ntz"))
-    model = forest(spark, sf)
-    measured = M.score(L.as_predictions(model, test_rows(spark, sf))).groupBy("model", "horizon") \
-        .agg(F.avg("ERROR_KM").alias("mean_km"))
-    return T.score_requests(checked, rows, {("random_forest", 24): lambda df: model.predict(df, impute=True)},
-                            measured)
+    return T.score_requests(checked, rows, {
+        (f.model, f.horizon): lambda df, f=f: f.predict(df, impute=True) for f in fits}, measured)
+
+
+@query("score_requests")
+def _(spark, sf):
+    fits = grid(spark, sf)
+    parts = [M.score(L.as_predictions(f, test_rows(spark, sf, f.horizon))) for f in fits]
+    measured = reduce(lambda a, b: a.unionByName(b), parts).groupBy("model", "horizon").agg(
+        F.avg("ERROR_KM").alias("mean_km"))
+    return scored_requests(spark, sf, fits, measured)
+
+
+# One model of ten is fitted here: the other requests must come back as unanswered.
+@query("score_requests_status", with_clean(
+    """SELECT request_id, model_key, CAST(h AS INTEGER) AS forecast_horizon, CAST(n AS INTEGER) AS n_observations,
+    CASE WHEN n < 5 THEN 'only ' || n || ' of 5 observations: missing features were left unset' END AS warning,
+    CASE WHEN model_key = 'random_forest' AND h = 24 THEN 'ok' ELSE 'no model' END AS status FROM (
+      SELECT request_id, n, CASE WHEN place % 2 = 0 THEN 'random_forest' ELSE 'xgboost' END AS model_key,
+        [6, 12, 24, 48, 72, 7][place // 2 % 6 + 1] AS h FROM (
+        SELECT request_id, max(n) AS n, CAST(split_part(request_id, '@', 2) AS INTEGER) AS place FROM q_rows GROUP BY 1))
+    WHERE h <> 7""", REQUESTS_SQL))
+def _(spark, sf):
+    return scored_requests(spark, sf, [forest(spark, sf)]).select(
+        "request_id", "model_key", "forecast_horizon", "n_observations", "warning", "status")
 
 
 @query("evaluate_trained_models")
 def _(spark, sf):
-    parts = [M.score(L.as_predictions(m, test_rows(spark, sf)))
-             for m in (linear(spark, sf), forest(spark, sf), boosted(spark, sf))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    base = baseline_table(spark, sf).where("LEAD_HOURS = 24").select(*out.columns)
-    return M.comparison_table(M.evaluate_models(out.unionByName(base)))
+    """Four baselines and both models at all horizons, with intervals and skill."""
+    return M.comparison_table(M.evaluate_with_intervals(all_forecasts(spark, sf)))
+
+
+def all_forecasts(spark, sf):
+    """Scored test forecasts of every baseline and model at every horizon, written once."""
+    def build():
+        fits = [*grid(spark, sf), *(linear(spark, sf, h) for h in K.HORIZONS)]
+        parts = [M.score(L.as_predictions(f, test_rows(spark, sf, f.horizon))) for f in fits]
+        out = reduce(lambda a, b: a.unionByName(b), parts)
+        return out.unionByName(baseline_table(spark, sf).select(*out.columns))
+
+    return stage(spark, sf, "all_forecasts", build)
 
 
 # --------------------------------------------------------------------- importance

@@ -8,7 +8,7 @@ from driftline import constants as K
 from driftline.operators import analysis as A
 from driftline.operators import forecast as T
 from driftline.operators import metrics as M
-from driftline.plans.metric_queries import evaluation, with_evaluation
+from driftline.plans.metric_queries import PAIRED, evaluation, with_evaluation, with_weights
 from driftline.plans.registry import query, rounded
 from driftline.plans.sql import columns, diff, hav, r, seeded, with_clean, with_features, with_scored, wrap
 from driftline.plans.tables import baseline_table, clean_table, feature_table, forecast_row_table
@@ -258,7 +258,7 @@ def _(spark, sf):
 @query("error_by_intensity", with_products(
     f"SELECT {G}, category, {NAMES}[category + 1] AS name, {BOX} FROM classed GROUP BY {G}, category", CLASSED))
 def _(spark, sf):
-    return rounded(A.error_by_intensity(products(spark, sf), feature_table(spark, sf)))
+    return rounded(A.error_by_intensity(baseline_table(spark, sf)))
 
 
 @query("residuals", with_products(
@@ -400,7 +400,10 @@ def _(spark, sf):
     return rounded(A.alongcross_sample(rows, 100))
 
 
-@query("skill_by_lead")
+@query("skill_by_lead", with_weights(
+    f"""SELECT model, horizon, skill_pct, {r('abs(skill_pct - skill_ci_lower)', 4)} AS arm_lower,
+    {r('abs(skill_ci_upper - skill_pct)', 4)} AS arm_upper FROM paired WHERE skill_pct IS NOT NULL""", PAIRED))
 def _(spark, sf):
     pairs = M.with_reference_error(baseline_table(spark, sf)).where("model <> 'Persistence'")
-    return A.skill_by_lead(M.paired_bootstrap(pairs))
+    arms = A.skill_by_lead(rounded(M.paired_bootstrap(pairs)))
+    return arms.withColumns({c: F.round(c, 4) for c in ("arm_lower", "arm_upper")})

@@ -107,6 +107,36 @@ def test_requests_are_scored(spark, forest):
     assert abs(got["ok"].predicted_lat - 15.0) < 15 and -180 <= got["ok"].predicted_lon < 180
 
 
+def test_no_accepted_request_is_lost(spark, forest):
+    asked = [(model, h) for model in ("random_forest", "xgboost") for h in (24, 48, 72)]
+    made = requests(spark).where("request_id = 'ok'").drop("request_id", "model", "forecast_horizon").crossJoin(
+        spark.createDataFrame([(f"r{i}", m, h) for i, (m, h) in enumerate(asked)],
+                              "request_id string, model string, forecast_horizon int"))
+    checked = V.validate_requests(made)
+    live = E.live_features(checked.where("request_id <> 'r4'"), F.lit("2024-09-01").cast("timestamp_ntz"))
+    for predict in ({("random_forest", 24): lambda d: forest.predict(d, impute=True)}, {}):
+        got = {r.request_id: r for r in T.score_requests(checked, live, predict).collect()}
+        assert set(got) == {f"r{i}" for i in range(6)}
+        assert got["r0"].status == ("ok" if predict else "no model") and got["r4"].status == "no features"
+        assert all(got[f"r{i}"].status == "no model" and got[f"r{i}"].predicted_lat is None for i in (1, 2, 3, 5))
+
+
+def test_parameters_without_effect_are_refused(rows):
+    for params in ({**K.FOREST_PARAMS, "min_samples_split": 9}, {**K.FOREST_PARAMS, "max_depth": 31}):
+        with pytest.raises(ValueError):
+            L.fit(rows, "random_forest", 24, params)
+
+
+def test_linear_model_solves_the_normal_equations(rows):
+    """Residuals of the training rows sum to zero, also when weighted by any feature."""
+    predicted = L.linear_regression(rows).predict(rows.where("split = 'train'"))
+    for side in ("LAT", "LON"):
+        residual = F.col(f"TARGET_D{side}_24H") - F.col(f"PRED_Y_{side}")
+        parts = [residual, *[residual * F.col(c) for c in ("WMO_WIND", "DELTA_LAT", "MONTH", "LAT_LAG_2")]]
+        ratios = predicted.agg(*[F.abs(F.sum(p)) / F.sum(F.abs(p)) for p in parts]).first()
+        assert max(ratios) < 1e-6
+
+
 def test_a_sweep_keeps_the_best(rows):
     train = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
     table, best = L.tuning_sweep(train, "random_forest", 24, 2, limits={"n_estimators": 2, "max_depth": 2})
