@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftline.llm.tables import written
@@ -33,18 +33,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with a link; the component is its smallest node.
 
     Alternates large and small stars until nothing changes, which takes about
-    log(n) rounds. Every round is a written table, so lineage stays short; the
-    end is seen from a count and a checksum, no link reaches the driver.
+    log(n) rounds. Every round is one written table, so lineage stays short; the
+    end is seen from a count and a checksum that the write observes, no link
+    reaches the driver.
     """
-    state = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(
-        "u > v").distinct(), "links")
-    mark = None
-    while True:
-        now = state.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.crc32(F.concat_ws(
-            ",", "u", "v").cast("binary")))).first()
-        if tuple(now) == mark:
+    state, mark = observed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v"))
+    while mark["n"]:
+        state, now = observed(small_star(large_star(state).distinct()))
+        if now == mark:
             break
-        mark = tuple(now)
-        state = written(small_star(written(large_star(state).distinct(), "links")).distinct(), "links")
+        mark = now
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def observed(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The distinct links as a written table, with a count and a checksum of them."""
+    seen = Observation()
+    text = F.concat_ws(",", "u", "v")
+    table = written(links.distinct().observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("hash"),
+        F.sum(F.crc32(text.cast("binary"))).alias("crc")), "links")
+    return table, seen.get
