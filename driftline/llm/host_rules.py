@@ -32,14 +32,15 @@ MAX_PRIOR = 1e6
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def measure(df: DataFrame, text: str = "text", host: str = "source",
+            keep: list[str] | None = None) -> DataFrame:
     """``row``, ``host``, the measures of the text and the rules it breaks.
 
     Repeated windows are found inside the row: a window is one 64-bit hash of
     its words, and only a text in which two windows agree has its windows
     sorted with their positions. No word leaves its row, so nothing shuffles.
     """
-    out = packed(df, text=text, host=host).withColumn("text", F.coalesce("text", F.lit("")))
+    out = packed(df, keep, text=text, host=host).withColumn("text", F.coalesce("text", F.lit("")))
     out = out.withColumns({
         "words": words(F.col("text")),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
@@ -98,15 +99,15 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def host_rules(df: DataFrame, text: str = "text", host: str = "source",
-               max_rate: float = MAX_HOST_RATE) -> DataFrame:
+               max_rate: float = MAX_HOST_RATE, keep: list[str] | None = None) -> DataFrame:
     """Measures, host verdict and ``kept`` for each row of ``df``, which stays in ``row``.
 
     The measured rows are written once, since both the count by host and the
-    join read them. The verdicts (one row per host) are broadcast only if they
+    join read them; ``keep`` names the input columns to write with them (all). The verdicts (one row per host) are broadcast only if they
     are few; otherwise the join shuffles, and adaptive execution splits a host
     that holds much of the table.
     """
-    measured = written(measure(df, text, host), "measured")
+    measured = written(measure(df, text, host, keep), "measured")
     verdicts = broadcast_if_small(host_verdicts(measured, max_rate))
     joined = measured.join(verdicts.withColumnRenamed("host", "verdict_host"),
                            F.col("host").eqNullSafe(F.col("verdict_host")), "left")

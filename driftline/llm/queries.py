@@ -69,7 +69,7 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 @query("op2_host_rules", HOST_RULES_SQL)
 def _(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", "source")
-    measured = host_rules.host_rules(docs)
+    measured = host_rules.host_rules(docs, keep=["doc_id"])
     return measured.select(
         "row.doc_id", *host_rules.MEASURES, "base_failed", "kept",
         "host_docs", "host_failures", F.round("host_rate", 6).alias("host_rate"))
@@ -196,4 +196,4 @@ def _(spark, sf):
 @query("op4_weighted_minhash")
 def _(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    return weighted_minhash.near_duplicates(docs).select("row.doc_id", "class_id", "kept")
+    return weighted_minhash.near_duplicates(docs, keep=["doc_id"]).select("row.doc_id", "class_id", "kept")

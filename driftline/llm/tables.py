@@ -16,12 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(df: DataFrame, **columns: str) -> DataFrame:
-    """The given columns under the given names, next to ``row`` with all input columns.
+def packed(df: DataFrame, keep: list[str] | None = None, **columns: str) -> DataFrame:
+    """The given columns under the given names, next to ``row`` with all input columns or those to keep.
 
     Input columns stay inside ``row``, so none can clash with an output column.
     """
-    return df.select(F.struct("*").alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+    row = F.struct("*") if keep is None else F.struct(*[F.col(f"`{c}`") for c in keep])
+    return df.select(row.alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
 
 
 def unpacked(df: DataFrame) -> DataFrame:

@@ -121,9 +121,9 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return (1.0 + np.log((docs.count() + 1) / (found + 1))).astype(np.float32)
 
 
-def prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def prepared(df: DataFrame, doc_id: str, text: str, keep: list[str] | None) -> DataFrame:
     """``row``, id, text and a key of the text."""
-    out = packed(df, id=doc_id, text=text)
+    out = packed(df, keep, id=doc_id, text=text)
     return out.withColumn("key", F.md5(F.col("text").cast("binary")))
 
 
@@ -150,8 +150,8 @@ def signed(docs: DataFrame, idf) -> DataFrame:
         return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, SAMPLES, dtype=np.int32), flat)
 
     found = docs.select("key", "id", "n_words", sign("words").alias("signature"))
-    return found.groupBy("key").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
-                                    F.first("signature").alias("signature"))
+    return found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"),
+                                    F.first("n_words").alias("n_words"), F.first("signature").alias("signature"))
 
 
 def heads(rows: DataFrame) -> DataFrame:
@@ -274,9 +274,14 @@ def verified(members: DataFrame, idf) -> DataFrame:
         "pack", "low", "high").applyInArrow(compare, "id long, root long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row`` with ``class_id`` (smallest id of its class) and ``kept`` (the row that stays)."""
-    docs = prepared(df, doc_id, text)
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    keep: list[str] | None = None) -> DataFrame:
+    """``row`` with ``class_id`` (smallest id of its class) and ``kept`` (the row that stays).
+
+    ``keep`` names the input columns that ``row`` holds (all). Only texts whose class is not
+    their own id are joined back; every other row is its own class.
+    """
+    docs = prepared(df, doc_id, text, keep)
     known = hashed(docs)
     idf = df.sparkSession.sparkContext.broadcast(idf_table(known))
     reps = written(signed(known, idf), "signed")
@@ -295,8 +300,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     members = known.join(placed, (F.col("key") == F.col("member")) & (F.col("id") == F.col("first_id")))
     links = written(verified(members, idf), "verified")
     classes = components(links, "id", "root")
-    named = reps.select("key", "id").join(classes, F.col("id") == F.col("node"), "left").select(
-        F.col("key").alias("rep_key"), F.coalesce("component", "id").alias("class"))
+    named = reps.select("key", "id", "copies").join(classes, F.col("id") == F.col("node"), "left").select(
+        F.col("key").alias("rep_key"), F.coalesce("component", "id").alias("class"), "id", "copies").filter(
+        (F.col("class") != F.col("id")) | (F.col("copies") > 1)).select("rep_key", "class")
     out = docs.select("row", "id", "key").join(
         broadcast_if_small(written(named, "classes")), F.col("key") == F.col("rep_key"), "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
