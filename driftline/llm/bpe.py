@@ -11,8 +11,9 @@ import functools
 import json
 import re
 
-#: Entries of a memo's generation.
-MEMO = 300_000
+#: Entries of a memo's generation: about 50 MB for pieces, 55 MB for pairs of tokens.
+MEMO = 250_000
+PAIRS = 250_000
 
 
 class Memo(dict):
@@ -55,8 +56,8 @@ class Vocabulary:
         for token, i in tokens.items():
             self.matcher.add_word(token.decode("latin-1"), (i, len(token)))
         self.matcher.make_automaton()
-        self.chains = Memo(self._chains, 10**6)
-        self.fits = Memo(self._fits, 10**6)
+        self.chains = Memo(self._chains)
+        self.fits = Memo(self._fits, PAIRS)
 
     def rank(self, left: int, right: int) -> int | None:
         if self.pairs is not None:
@@ -194,11 +195,15 @@ def splitter(pattern: str):
     return lambda text: within_ascii(text) if text.isascii() else anywhere(text)
 
 
-@functools.cache
-def from_ranks(path: str) -> Vocabulary:
+def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 of a token and its rank on each line."""
     with open(path, "rb") as file:
-        return Vocabulary({base64.b64decode(t): int(i) for t, i in map(bytes.split, file)})
+        return {base64.b64decode(t): int(i) for t, i in map(bytes.split, file)}
+
+
+@functools.cache
+def from_ranks(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
 
 
 @functools.cache

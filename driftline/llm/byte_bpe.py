@@ -44,7 +44,7 @@ def piece_encoder(path: str, pattern: str):
 
 @functools.cache
 def token_bytes(path: str) -> dict[int, bytes]:
-    return bpe.from_ranks(path).bytes
+    return {i: token for token, i in bpe.read_ranks(path).items()}
 
 
 def encoder(path: str, pattern: str):
