@@ -227,6 +227,9 @@ def basin_rows(df: DataFrame) -> DataFrame:
 
 def columns_outside(dropped) -> list[str]:
     """The feature columns, in table order, that belong to none of the dropped groups."""
+    for group in dropped:
+        if group not in K.FEATURE_GROUPS:
+            raise ValueError(f"no feature group {group!r}")
     gone = {column for group in dropped for column in K.FEATURE_GROUPS[group]}
     return [column for column in K.FEATURES if column not in gone]
 
