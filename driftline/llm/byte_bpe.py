@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm import bpe
 from driftline.llm.tables import packed
@@ -76,11 +77,39 @@ def decoder(path: str):
     return decode
 
 
+CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+
+def coder(path: str, pattern: str):
+    """Column function: a text to its ids and the bytes they decode to, in one Python worker per task."""
+
+    @F.arrow_udf(CODED)
+    def code(texts: pa.Array) -> pa.Array:
+        split, memo = piece_encoder(path, pattern)
+        known = bpe.from_ranks(path).bytes.__getitem__
+        ids, decoded, ends = [], [], [0]
+        for text in texts:
+            own = b"".join(map(memo.__getitem__, split(text.as_py() or "")))
+            ids.append(own)
+            decoded.append(b"".join(map(known, np.frombuffer(own, np.int32).tolist())))
+            ends.append(ends[-1] + len(own) // 4)
+        lists = pa.ListArray.from_arrays(np.array(ends, np.int32), np.frombuffer(b"".join(ids), np.int32))
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], ["ids", "decoded"])
+
+    return code.asNondeterministic()
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``row`` and ``ids``, the tokens of the whole text."""
     return packed(df, text=text).select("row", encoder(path, pattern)("text").alias("ids"))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (all input columns, or those to keep), ``ids``, and ``decoded``, what the ids give back."""
+    coded = packed(df, keep, text=text).select("row", coder(path, pattern)("text").alias("coded"))
+    return coded.select("row", "coded.ids", "coded.decoded")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of the ids."""
     return encoded.withColumn("decoded", decoder(path)("ids"))

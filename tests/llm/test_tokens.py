@@ -59,8 +59,11 @@ def test_white_space_of_all_code_points():
         assert got == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def test_odd_documents(odd_documents, encoding):
-    rows = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(odd_documents, RANKS, PATTERN), RANKS), "text").withColumn(
+@pytest.mark.parametrize("together", [True, False])
+def test_odd_documents(odd_documents, encoding, together):
+    coded = byte_bpe.round_trip(odd_documents, RANKS, PATTERN) if together else byte_bpe.decode(
+        byte_bpe.encode(odd_documents, RANKS, PATTERN), RANKS)
+    rows = byte_bpe.digests(coded, "text").withColumn(
         "same", F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
     assert len(rows) == 9 and all(r.same for r in rows)
     assert all(r.n_tokens == len(encoding.encode_ordinary(r.text or "")) for r in rows)
