@@ -4,9 +4,9 @@ Both halves of the vectors have a codebook of their own; a pair of codewords
 is a cell of the product grid. Every vector is filed in the cell of its
 nearest codewords and, as a query, visits cells in the order of the summed
 distances of its halves (multi-sequence traversal). How many cells it visits
-is measured: the fewest that reach the target recall on sampled queries
-compared with all vectors. What is met in a cell is verified by cosine in
-double precision.
+is measured: the fewest that reach the target recall on sampled queries that
+have links, compared with all other vectors. What is met in a cell is verified
+by cosine in double precision.
 
 Defined results:
 
@@ -18,7 +18,8 @@ Defined results:
 * empty table: empty result; columns of the input named like an output: kept inside ``row``.
 
 Codebooks and the number of visits are fitted on at most ``MAX_SAMPLE``
-vectors and ``MAX_QUERIES`` queries; every vector is filed and is a query.
+vectors and ``MAX_QUERIES`` queries, drawn until ``ENOUGH`` of them have a link;
+every vector is filed and is a query.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from driftline.llm.tables import packed, written
 
 MIN_COSINE = 0.93
 MAX_SAMPLE = 20_000
-MAX_QUERIES = 512
+FIRST_QUERIES = 512
+MAX_QUERIES = 8192
+ENOUGH = 64
 TARGET = 0.98
 CELL_ROWS = 32
 MAX_CODEWORDS = 1024
@@ -131,46 +134,87 @@ def by_width(vectors: pa.Array):
         yield rows, unit(vectors.take(pa.array(rows)).to_pylist())
 
 
+def target_rank(ranks) -> int:
+    ranks = sorted(ranks)
+    return ranks[min(len(ranks) - 1, math.ceil(TARGET * len(ranks)))]
+
+
+def planted_ranks(index: Index, sample: np.ndarray) -> list[int]:
+    """Cells a query visits up to its link, for links planted at a cosine of exactly ``MIN_COSINE``.
+
+    Each query is a vector of the sample turned towards another one. No link is
+    farther away, so the ranks are what a table with few links to measure may need.
+    """
+    x = sample[:FIRST_QUERIES]
+    aside = np.roll(sample, 1, axis=0)[:FIRST_QUERIES]
+    aside = aside - (aside * x).sum(1)[:, None] * x
+    size = np.linalg.norm(aside, axis=1)
+    x, aside = x[size > 1e-9], aside[size > 1e-9] / size[size > 1e-9][:, None]
+    if not len(x):
+        return [1]
+    d1, d2 = index.distances(MIN_COSINE * x + math.sqrt(1 - MIN_COSINE ** 2) * aside)
+    e1, e2 = index.distances(x)
+    reach = d1[np.arange(len(x)), e1.argmin(1)] + d2[np.arange(len(x)), e2.argmin(1)]
+    return [int((a[:, None] + b[None, :] <= r).sum()) for a, b, r in zip(d1, d2, reach)]
+
+
 def build(reps: DataFrame) -> tuple[Index, int]:
     """The index, and the number of cells to visit for the target recall.
 
-    A bounded set of queries is compared with every vector: for each query the
-    rank of the last cell that holds one of its links. The visits are the
-    ``TARGET`` quantile of these ranks.
+    Queries, in hash order, are compared with every other vector: for each query
+    that has links the rank of the last cell that holds one. The visits are the
+    ``TARGET`` quantile of these ranks. A query without links has no rank, so
+    four times as many are drawn until ``ENOUGH`` have links; if they are still
+    fewer, the visits also cover links planted at the threshold.
     """
     n = reps.count()
     order = [F.xxhash64("key"), "key"]
     sizes = reps.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    rows = reps.filter(F.size("v") == sizes["width"]).orderBy(*order).limit(MAX_SAMPLE).select("label", "v").collect()
+    rows = reps.filter(F.size("v") == sizes["width"]).orderBy(*order).limit(MAX_SAMPLE).select(
+        "key", "label", "v").collect()
     sample = unit([r.v for r in rows])
     index = Index(sample, n)
-    labels, queries = [r.label for r in rows[:MAX_QUERIES]], sample[:MAX_QUERIES]
     grid = len(index.books[0]) * len(index.books[1])
 
-    def ranks(batches):
-        of = np.array(labels, object)
-        d1, d2 = index.distances(queries)
-        for batch in batches:
-            q, rank = [], []
-            for at, x in by_width(batch.column("v")):
-                if x.shape[1] != queries.shape[1]:
-                    continue
-                near = queries @ x.T >= MIN_COSINE
-                near &= of[:, None] == np.array(batch.column("label").take(pa.array(at)).to_pylist(), object)
-                a, b = np.nonzero(near)
-                e1, e2 = index.distances(x)
-                c1, c2 = e1.argmin(1)[b], e2.argmin(1)[b]
-                for i in np.unique(a):
-                    mine = a == i
-                    reach = (d1[i, c1[mine]] + d2[i, c2[mine]]).max()
-                    q.append(int(i))
-                    rank.append(int(((d1[i][:, None] + d2[i][None, :]) <= reach).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(rank, pa.int64())], ["q", "rank"])
-
-    needed = reps.select("label", "v").mapInArrow(ranks, "q int, rank long").groupBy("q").agg(
-        F.max("rank").alias("rank")).select("rank").collect()
-    needed = sorted(r.rank for r in needed)
-    return index, min(grid, max(4, needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))])) if needed else 4
+    def measured(start: int, stop: int) -> list[int]:
+        queries = sample[start:stop]
+        keys = np.array([r.key for r in rows[start:stop]], object)
+        labels = np.array([r.label for r in rows[start:stop]], object)
+
+        def ranks(batches):
+            d1, d2 = index.distances(queries)
+            for batch in batches:
+                q, rank = [], []
+                for at, x in by_width(batch.column("v")):
+                    if x.shape[1] != queries.shape[1]:
+                        continue
+                    key, label = (np.array(batch.column(c).take(pa.array(at)).to_pylist(), object)
+                                  for c in ("key", "label"))
+                    e1, e2 = (e.argmin(1) for e in index.distances(x))
+                    for first in range(0, len(queries), FIRST_QUERIES):
+                        a, b = np.nonzero(queries[first:first + FIRST_QUERIES] @ x.T >= MIN_COSINE)
+                        a += first
+                        other = (labels[a] == label[b]) & (keys[a] != key[b])
+                        a, b = a[other], b[other]
+                        for i in np.unique(a):
+                            mine = b[a == i]
+                            reach = (d1[i, e1[mine]] + d2[i, e2[mine]]).max()
+                            q.append(int(i))
+                            rank.append(int(((d1[i][:, None] + d2[i][None, :]) <= reach).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(rank, pa.int64())], ["q", "rank"])
+
+        return [r.rank for r in reps.select("key", "label", "v").mapInArrow(ranks, "q int, rank long").groupBy(
+            "q").agg(F.max("rank").alias("rank")).select("rank").collect()]
+
+    needed: list[int] = []
+    start, stop = 0, FIRST_QUERIES
+    while start < min(len(rows), MAX_QUERIES) and len(needed) < ENOUGH:
+        needed += measured(start, min(stop, MAX_QUERIES))
+        start, stop = stop, 4 * stop
+    visits = target_rank(needed) if needed else 1
+    if len(needed) < ENOUGH:
+        visits = max(visits, target_rank(planted_ranks(index, sample)))
+    return index, min(grid, max(4, visits))
 
 
 VISITED = T.ArrayType(T.IntegerType())

@@ -144,6 +144,30 @@ def test_multi_index_recall(spark, monkeypatch, block):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("enough", [64, 16])  # by planted and by measured links
+def test_multi_index_recall_where_few_vectors_have_links(spark, monkeypatch, enough):
+    monkeypatch.setattr(multi_index, "ENOUGH", enough, raising=False)
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=(4000, 64))  # around a common direction: two vectors have a cosine of about 0.8
+    noise[:, 0] = 0
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    for i in range(20):  # 1% of the vectors, in pairs with a cosine of 0.935
+        u = rng.normal(size=64)
+        u[0] = 0
+        u -= (u @ noise[2 * i]) * noise[2 * i]
+        noise[2 * i + 1] = 0.675 * noise[2 * i] + math.sqrt(1 - 0.675 ** 2) * u / np.linalg.norm(u)
+    x = math.sqrt(0.2) * noise
+    x[:, 0] = math.sqrt(0.8)
+    x = x @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    rows = [(i, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(x)]
+    links, groups = brute_links(rows)
+    assert sum(n > 0 for n in links.values()) == 40
+    got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = {r.vec_id: r for r in got.select("row.vec_id", "n_links", "component_id").collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(links.values())
+    assert sum(got[i].component_id == groups[i] for i in range(40)) >= 38
+
+
 def test_traversal_order_is_by_distance():
     rng = np.random.default_rng(3)
     d1, d2 = rng.random(9), rng.random(7)
