@@ -13,6 +13,16 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def agreed_labels(labels: DataFrame, label: str, hold_out: bool) -> DataFrame:
+    """(doc_id, label) once for each id whose labels agree on 0 or 1, without the held-out fold if asked."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
+        "doc_id is not null and label in (0, 1)")
+    if hold_out:
+        known = known.filter(fold(F.col("doc_id")) != 2)
+    return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter(
+        "label = most").drop("most")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int,
                     hold_out: bool) -> DataFrame:
     """(doc_id, label, text) of at most ``max_per_class`` documents of each class 0 and 1.
@@ -22,12 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_clas
     size, are broadcast to one scan of the documents. Of rows that share an id
     the smallest text is taken; ids without a document give no row.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
-        "doc_id is not null and label in (0, 1)")
-    if hold_out:
-        known = known.filter(fold(F.col("doc_id")) != 2)
-    agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter(
-        "label = most").drop("most")
+    agreed = agreed_labels(labels, label, hold_out)
     order = [F.xxhash64(F.col("doc_id").cast("string")), "doc_id"]
     chosen = agreed.filter("label = 0").orderBy(*order).limit(max_per_class).unionByName(
         agreed.filter("label = 1").orderBy(*order).limit(max_per_class))

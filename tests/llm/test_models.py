@@ -30,6 +30,17 @@ def test_quality_ranks_held_out_documents(spark):
     assert found.predicted[found.label == 0].mean() < 0.2
 
 
+def test_quality_learns_nothing_from_held_out_labels(spark):
+    docs = read(spark, SF, "documents")
+    mixed = F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))  # classes that overlap
+    labels = read(spark, SF, "labels").select("doc_id", mixed.cast("int").alias("quality"))
+    weights, cut = quality.fit(docs, labels)
+    flipped = labels.withColumn("quality", F.when(fold(F.col("doc_id")) == 2, 1).otherwise(F.col("quality")))
+    absent = spark.range(10**9, 10**9 + 5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    again, moved = quality.fit(docs, flipped.unionByName(absent))
+    assert again == pytest.approx(weights, abs=1e-9) and moved == pytest.approx(cut, abs=1e-9)
+
+
 def test_quality_on_odd_documents(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (4, 0), (7, None), (None, 1), (99, 1)],
                                    "doc_id long, quality int")
