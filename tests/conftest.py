@@ -6,11 +6,11 @@ import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tools"), os.path.join(ROOT, "tests")]
 
-from driftline.session import local_session  # noqa: E402
+from helpers import SCHEMA, storm  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from driftline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,28 +20,6 @@ def spark():
     session.stop()
 
 
-def storm(rng, sid, basin, start, step, n=26, wobble=0.06, begin="2019-08-01"):
-    """A storm on a strict 6-hourly grid."""
-    noise = rng.normal(0, wobble, (n, 2)) if wobble else np.zeros((n, 2))
-    walk = np.cumsum(np.array(step) + noise, axis=0) - step
-    k = np.arange(n)
-    return pd.DataFrame({
-        "SID": sid, "SEGMENT_ID": f"{sid}_S01",
-        "ISO_TIME": pd.date_range(begin, periods=n, freq="6h"), "SEASON": 2019,
-        "BASIN": basin, "SUBBASIN": "MM", "LAT": start[0] + walk[:, 0],
-        "LON": (start[1] + walk[:, 1] + 180) % 360 - 180,
-        "WMO_WIND": np.clip(35 + 2.5 * k + rng.normal(0, 2, n), 20, 160),
-        "WMO_PRES": np.clip(1005 - 2 * k + rng.normal(0, 2, n), 880, 1015),
-        "STORM_SPEED": rng.uniform(8, 22, n), "STORM_DIR": rng.uniform(0, 360, n),
-        "DIST2LAND": np.clip(600 - 20 * k + rng.normal(0, 10, n), 0, 2000),
-        "NATURE": "TS", "TRACK_TYPE": "main"})
-
-
-SCHEMA = ("SID string, SEGMENT_ID string, ISO_TIME timestamp_ntz, SEASON int, BASIN string, "
-          "SUBBASIN string, LAT double, LON double, WMO_WIND double, WMO_PRES double, "
-          "STORM_SPEED double, STORM_DIR double, DIST2LAND double, NATURE string, TRACK_TYPE string")
-
-
 @pytest.fixture(scope="session")
 def frames():
     rng = np.random.default_rng(20240615)

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import SCHEMA
+from helpers import SCHEMA
 from pyspark.sql import functions as F
 
 from driftline.operators import clean as C

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 from pyspark.sql import functions as F
 from test_features import requests
 

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, same
-from conftest import SMALL
+from helpers import SMALL
 
 from driftline.plans.catalog import ORACLES, QUERIES
 

@@ -1,6 +1,6 @@
 """The physical plans stay as designed."""
 
-from conftest import SMALL
+from helpers import SMALL
 
 from driftline.operators import clean as C
 from driftline.operators import features as E

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SCHEMA, storm
+from helpers import SCHEMA, storm
 from pandas.testing import assert_frame_equal
 
 from driftline.functions.order_stats import ordered_rank
