@@ -11,9 +11,11 @@ import functools
 import json
 import re
 
-#: Entries of a memo's generation: about 50 MB for pieces, 55 MB for pairs of tokens.
-MEMO = 250_000
-PAIRS = 250_000
+#: Entries of a memo's generation, of which there are two: about 40 MB for pieces, 40 MB for
+#: pairs of tokens, 60 MB for the chains of tokens.
+MEMO = 200_000
+PAIRS = 200_000
+CHAINS = 8_000
 
 
 class Memo(dict):
@@ -56,7 +58,7 @@ class Vocabulary:
         for token, i in tokens.items():
             self.matcher.add_word(token.decode("latin-1"), (i, len(token)))
         self.matcher.make_automaton()
-        self.chains = Memo(self._chains)
+        self.chains = Memo(self._chains, CHAINS)
         self.fits = Memo(self._fits, PAIRS)
 
     def rank(self, left: int, right: int) -> int | None:

@@ -89,7 +89,7 @@ def _(spark, sf):
 def _(spark, sf):
     path, pattern = byte_bpe.public_vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    return byte_bpe.digests(byte_bpe.round_trip(docs, path, pattern, keep=["doc_id"]), "doc_id")
+    return byte_bpe.digests(byte_bpe.round_trip(docs, path, pattern, keep=["doc_id"], digest=True), "doc_id")
 
 
 CHAT_SQL = r"""
