@@ -43,7 +43,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and digests of the ids and of what they decode to."""
     path, pattern = byte_bpe.public_vocabulary(RANKS)
-    decoded = byte_bpe.round_trip(docs, path, pattern, keep=["doc_id", "source"])
+    decoded = byte_bpe.round_trip(docs, path, pattern, keep=["doc_id", "source"], digest=True)
     return byte_bpe.digests(decoded.withColumn("row", F.struct("row.doc_id", "row.source", "ids")),
                             "doc_id", "source", "ids")
 
