@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import (byte_bpe, chat, host_rules, mixing, multi_index, quality, token_counts, toxicity,
+from driftline.llm import (byte_bpe, chat, host_rules, merkle, mixing, multi_index, quality, token_counts, toxicity,
                            warc_archive, weighted_minhash)
 from driftline.llm.tables import fresh_folder, read
 
@@ -197,3 +197,72 @@ def _(spark, sf):
 def _(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return weighted_minhash.near_duplicates(docs, keep=["doc_id"]).select("row.doc_id", "class_id", "kept")
+
+
+# -- op11: the tree unrolled, level by level; a tree of one node stays as it is
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = f"[CAST((ascii({text}[1 + i // 8]) >> (i % 8)) & 1 AS BIGINT) for i in range(8 * length({text}))]"
+    return (f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda c, b: "
+            "xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)")
+
+
+def leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def tree_sql(name: str, levels: int) -> str:
+    """CTEs name1, name2, ...: (g, p, n, hs), the runs of each level of nodes; name0 is (g, i, h)."""
+    out = []
+    for k in range(levels):
+        nodes = f"{name}0" if k == 0 else (
+            f"(SELECT g, p AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS p, n, list(h ORDER BY i) AS hs FROM "
+                   f"(SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {nodes}) GROUP BY g, i // 8, n)")
+    return ",\n".join(out)
+
+
+def climb_sql(name: str, levels: int, start: str) -> str:
+    """CTEs that carry leaves (digest acc, place i in tree g) up, with the siblings met on the way."""
+    out = []
+    for k in range(levels):
+        at, last = f"(c.i // {8 ** k}) % 8", start if k == 0 else f"{name}c{k}"
+        left, right = f"array_to_string(t.hs[1:{at}], '')", f"array_to_string(t.hs[{at} + 2:], '')"
+        out.append(f"{name}c{k + 1} AS (SELECT c.* REPLACE (CASE WHEN t.n > 1 THEN sha256({left} || c.acc || {right}) "
+                   f"ELSE c.acc END AS acc, CASE WHEN t.n > 1 THEN c.proof || {left} || {right} ELSE c.proof END AS proof) "
+                   f"FROM {last} c JOIN {name}{k + 1} t ON c.g IS NOT DISTINCT FROM t.g AND c.i // {8 ** (k + 1)} = t.p)")
+    return ",\n".join(out)
+
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: 8 ** 7 documents a language, 8 ** 3 languages.
+MERKLE_SQL = f"""
+WITH d AS (SELECT doc_id, lang AS g, {leaf_sql("text")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf_sql(LOWER)} ELSE {leaf_sql("text")} END AS acc
+  FROM documents),
+l0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, acc) - 1 AS i, leaf AS h,
+    '' AS proof FROM d),
+{tree_sql("l", 7)},
+sub AS (SELECT g, hs[1] AS subroot FROM l7 WHERE n = 1),
+s0 AS (SELECT 0 AS g, g AS lang, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, subroot AS h, subroot FROM sub),
+{tree_sql("s", 3)},
+{climb_sql("l", 7, "l0")},
+up AS (SELECT doc_id, leaf, subroot, 0 AS g, s0.i, acc, proof FROM lc7 JOIN s0 ON lc7.g IS NOT DISTINCT FROM s0.lang),
+{climb_sql("s", 3, "up")}
+SELECT doc_id, leaf, subroot, hs[1] AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = hs[1] AS verified
+FROM sc3, s3
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields, upper = ["doc_id", "source", "lang", "n_chars", "text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = [F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in fields]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(docs.withColumn("tampered", F.when(hit, merkle.leaf_digest(lowered))), fields,
+                            keep=["doc_id", "tampered"])
+    back = merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof"))
+    return found.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                        back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
