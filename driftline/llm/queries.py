@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import (byte_bpe, chat, host_rules, merkle, mixing, multi_index, quality, token_counts, toxicity,
-                           warc_archive, weighted_minhash)
+                           turn_repair, warc_archive, weighted_minhash)
 from driftline.llm.tables import fresh_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,3 +266,74 @@ def _(spark, sf):
     back = merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof"))
     return found.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
                         back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# -- op12: the DP as a recursion over the turns, with the repaired lines beside the audit
+REPAIR_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, {crc32_sql("key")} % 20 AS h FROM c),
+x AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(generate_series(1, CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, left(role, 1) AS r FROM x),
+f AS (SELECT *, CASE WHEN said = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END
+    AS fault, lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM n),
+t(s, ins, s1) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3),
+    (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+o AS (SELECT conv_id, i, r, role, text, fault, s, s1, 2 * ins + CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cost,
+    repeat('I', ins) AS piece, CASE WHEN ins = 0 THEN [] WHEN ins = 2 THEN ['user:', 'assistant:']
+      WHEN s1 = 3 THEN ['assistant:'] ELSE ['user:'] END AS lines FROM f, t WHERE fault NOT IN (1, 2)),
+e AS (
+  SELECT conv_id, i, s, CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END AS s2, cost, piece || 'K' AS piece,
+    lines || [role || ':' || text] AS lines FROM o
+  WHERE r = 's' AND s1 = 0 OR r = 'u' AND s1 <> 2 OR r = 'a' AND s1 = 2
+  UNION ALL SELECT conv_id, i, s, CASE WHEN s1 = 2 THEN 3 ELSE 2 END, cost + 2, piece || 'R',
+    lines || [CASE WHEN s1 = 2 THEN 'assistant:' ELSE 'user:' END || text] FROM o
+  UNION ALL SELECT conv_id, i, s, s, 3, 'D', [] FROM f, (VALUES (0), (1), (2), (3)) AS v(s)),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines
+  FROM ids
+  UNION ALL SELECT conv_id, i + 1, s2, m.cost, m.audit, m.lines FROM (
+    SELECT dp.conv_id, dp.i, e.s2, min({{'cost': dp.cost + e.cost, 'audit': dp.audit || e.piece, 'lines': dp.lines || e.lines}})
+      AS m FROM dp JOIN e ON dp.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = dp.i + 1 AND e.s = dp.s GROUP BY ALL)),
+k AS (SELECT conv_id, count(*) AS rows,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (next IS NOT NULL AND r || next NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+b AS (SELECT dp.conv_id, min({{'cost': cost + [0, 4, 2, 0][s + 1], 'audit': audit || ['', 'II', 'I', ''][s + 1],
+    'lines': lines || [[], ['user:', 'assistant:'], ['assistant:'], []][s + 1]}}) AS m
+  FROM dp LEFT JOIN k ON dp.conv_id IS NOT DISTINCT FROM k.conv_id WHERE i = coalesce(rows, 0) GROUP BY dp.conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(m.cost AS BIGINT) AS cost, m.audit AS audit,
+  sha256(array_to_string(m.lines, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN k ON b.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+def damaged(turns):
+    """Every twentieth turn dropped, emptied, without sentence ends, doubled, or said by the user."""
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    harm = F.crc32(F.concat(filled[0], F.lit(":"), filled[1]).cast("binary")) % 20
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(
+        F.col("text"))
+    times = F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return turns.select("conv_id", "turn", filled[2].alias("role"), filled[3].alias("text"), harm.alias("harm")).filter(
+        "harm <> 0").select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"),
+                            text.alias("text"), times.alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def _(spark, sf):
+    given = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turn_repair.ordered(damaged(given))
+    audits = turn_repair.audit(turns)
+    found = audits.join(turn_repair.digests(turns, audits).withColumnRenamed("conv_id", "c"),
+                        F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c").withColumnRenamed("conv_id", "c")
+    ids = given.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
