@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import (byte_bpe, chat, host_rules, merkle, mixing, multi_index, quality, token_counts, toxicity,
-                           turn_repair, warc_archive, weighted_minhash)
+from driftline.llm import (byte_bpe, chat, host_rules, merkle, mixing, multi_index, packing, quality, token_counts,
+                           toxicity, turn_repair, warc_archive, weighted_minhash)
 from driftline.llm.tables import fresh_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,3 +337,12 @@ def _(spark, sf):
     return ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op13_vector_packing")
+def _(spark, sf):
+    import public_tokenizers
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return packing.pack(found).select("row.doc_id", F.col("piece").cast("int").alias("piece"), "start", "length",
+                                      "ids_crc32", "sequence_id", "offset")
