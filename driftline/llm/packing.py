@@ -53,8 +53,10 @@ from driftline.llm.tables import packed, release, written
 
 TOKENS = 2048
 END_ID = 0
-MEMO_WORDS = 200_000
+#: Words of a memo's generation, of which there are two: about 70 MB each.
+MEMO_WORDS = 400_000
 MEMO_CHARS = 64
+WORDS_A_CALL = 256
 
 
 @dataclass(frozen=True)
@@ -83,34 +85,55 @@ SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizers file, through a memo of words."""
+    """Token ids of texts by a tokenizers file, through a memo of words.
+
+    New words go to the library as one text, with a special string between them whose id
+    marks where a word ends. A full memo becomes the old generation, from which words that
+    come again return.
+    """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
         self.memo: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.encode(words, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
+
+    def alone(self, word: str) -> bytes:
+        return np.array(self.encode([word], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+
+    def ids(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), WORDS_A_CALL):
+            part = words[start:start + WORDS_A_CALL]
+            mark, mark_id = next(((t, i) for t, i in self.special.items() if not any(t in w for w in part)), ("", None))
+            if mark_id is None:
+                yield from map(self.alone, part)
+                continue
+            found = np.array(self.encode([mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            data, begin = found.tobytes(), 0
+            for end in (*np.flatnonzero(found == mark_id).tolist(), len(found)):
+                yield data[4 * begin:4 * end]
+                begin = end + 1
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)) - self.memo.keys())
+        words = set().union(*split)
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(set(itertools.chain.from_iterable(split)))
-        known = dict(zip(new, self.ids(new)))
-        self.memo.update((w, i) for w, i in known.items() if len(w) <= MEMO_CHARS)
-        found = {**known, **self.memo} if len(known) > len(self.memo) else known
-        memo = self.memo
-        for words in split:
-            try:
-                yield b"".join(map(memo.__getitem__, words))
-            except KeyError:  # a word too long for the memo
-                yield b"".join(memo[w] if w in memo else found[w] for w in words)
+            self.old, self.memo, new = self.memo, {}, words
+        self.memo.update((w, self.old[w]) for w in new.intersection(self.old))
+        new = list(new.difference(self.memo))
+        self.memo.update(zip(new, self.ids(new)))
+        find = self.memo.__getitem__
+        for own in split:
+            yield b"".join(map(find, own))
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del self.memo[word]
 
 
 @functools.cache
@@ -167,20 +190,15 @@ class Group:
 
     base: int
     size: int
-    residual: np.ndarray
     held: list[tuple[int, int, int]]  # (length, rank of the first piece, pieces in each sequence)
 
     def split(self, size: int) -> Group:
         """Cut off the sequences after the first ``size``."""
-        rest = Group(self.base + size, self.size - size, self.residual,
+        rest = Group(self.base + size, self.size - size,
                      [(n, rank + size * each, each) for n, rank, each in self.held])
         self.size = size
         return rest
 
-    def take(self, length: int, rank: int, each: int, demand: np.ndarray) -> None:
-        self.residual = self.residual - each * demand
-        self.held.append((length, rank, each))
-
 
 RULES = ("norm", "dot")
 
@@ -193,55 +211,60 @@ def fit(residual: np.ndarray, demand: np.ndarray, capacity: Capacity, rule: str)
     return (np.array(capacity.weights) * left * (demand / capacity.limits)).sum(1)
 
 
+def demand_of(length: int) -> np.ndarray:
+    return np.array([length, 1, length * length], np.int64)
+
+
 def best_fit(histogram: dict[int, int], capacity: Capacity = Capacity(), rule: str = "norm") -> list[Group]:
     """Groups of sequences that hold ``histogram[length]`` pieces of each length.
 
     Lengths go from the largest to the smallest; of equal fits the group opened first wins.
     """
-    active: list[Group] = []
-    closed: list[Group] = []
+    if histogram and max(histogram) > capacity.longest:
+        raise ValueError(f"no sequence can take a piece of {max(histogram)} tokens")
+    groups: list[Group] = []
+    residual = np.zeros((64, 3), np.int64)  # a row per group, and spare rows of zeros
     numbers = 0
+
+    def opened(group: Group, left: np.ndarray) -> int:
+        nonlocal residual
+        if len(groups) == len(residual):
+            residual = np.concatenate([residual, np.zeros_like(residual)])
+        residual[len(groups)] = left
+        groups.append(group)
+        return len(groups) - 1
+
     for length in sorted(histogram, reverse=True):
-        demand, left, rank = np.array([length, 1, length * length], np.int64), histogram[length], 0
-        if (demand > capacity.limits).any():
-            raise ValueError(f"no sequence can take a piece of {length} tokens")
-        order = []
-        if active:
-            residual = np.stack([g.residual for g in active])
-            fits = (residual >= demand).all(1)
-            score = np.where(fits, fit(residual, demand, capacity, rule), np.inf)
-            order = [int(i) for i in np.argsort(score, kind="stable")[:int(fits.sum())]]
-        for i in order:
+        demand, left, rank = demand_of(length), histogram[length], 0
+
+        def place(at: int, size: int, each: int) -> None:
+            """``each`` pieces into each of the first ``size`` sequences of a group; the others split off."""
+            nonlocal left, rank
+            if size < groups[at].size:
+                opened(groups[at].split(size), residual[at].copy())
+            groups[at].held.append((length, rank, each))
+            residual[at] -= each * demand
+            left, rank = left - size * each, rank + size * each
+
+        fits = np.flatnonzero((residual >= demand).all(1))
+        for at in fits[np.argsort(fit(residual[fits], demand, capacity, rule), kind="stable")].tolist():
             if not left:
                 break
-            group = active[i]
-            each = int((group.residual // demand).min())
-            full = min(group.size, left // each)
-            if not full:
-                full, each = 1, left
-            if full < group.size:
-                active.append(group.split(full))
-            group.take(length, rank, each, demand)
-            rank, left = rank + full * each, left - full * each
-            if left and left < each and active[-1].size and active[-1].base == group.base + full:
-                rest = active[-1]  # the next equal sequence takes what is left
-                if rest.size > 1:
-                    active.append(rest.split(1))
-                rest.take(length, rank, left, demand)
-                rank, left = rank + left, 0
+            each = int((residual[at] // demand).min())
+            full = min(groups[at].size, left // each)
+            whole = full == groups[at].size
+            if full:
+                place(at, full, each)
+            if left and not whole:  # fewer than the next equal sequence could take
+                place(len(groups) - 1 if full else at, 1, left)
         if left:
             each = int((capacity.limits // demand).min())
-            for size, pieces_each in ((left // each, each), (1 if left % each else 0, left % each)):
+            for size, count in ((left // each, each), (min(left % each, 1), left % each)):
                 if size:
-                    group = Group(numbers, size, capacity.limits, [])
-                    group.take(length, rank, pieces_each, demand)
-                    active.append(group)
-                    numbers, rank = numbers + size, rank + size * pieces_each
-        shortest = min(histogram)
-        smallest = np.array([shortest, 1, shortest * shortest])
-        closed += [g for g in active if (g.residual < smallest).any()]
-        active = [g for g in active if not (g.residual < smallest).any()]
-    return closed + active
+                    at = opened(Group(numbers, size, []), capacity.limits)
+                    numbers += size
+                    place(at, size, count)
+    return groups
 
 
 def slots(groups: list[Group]) -> np.ndarray:
