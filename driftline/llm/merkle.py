@@ -238,6 +238,7 @@ def manifest(df: DataFrame, fields: list[str], doc_id: str = "doc_id", group: st
     row = F.struct(*[F.col(f"`{c}`") for c in (keep or [doc_id])])
     leaves = df.select(row.alias("row"), F.col(f"`{group}`").cast("string").alias("group"),
                        F.col(f"`{doc_id}`").alias("id"), leaf_digest([F.col(f"`{c}`") for c in fields]).alias("leaf"))
+    leaves = written(leaves, "digests")  # the range partitioning reads its input twice
     found = {}
 
     def over_groups(roots: DataFrame) -> DataFrame:
