@@ -15,5 +15,5 @@ def test_same_as_sql(spark, name):
 
 def test_all_operators_are_registered():
     import __spark_entry__ as entry
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
