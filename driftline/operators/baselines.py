@@ -16,6 +16,7 @@ from driftline import constants as K
 from driftline.functions import geo
 from driftline.functions.joins import broadcast_if_small
 from driftline.functions.order_stats import same_keys
+from driftline.operators.least_squares import dot, fit_groups
 from driftline.session import cut_lineage
 
 log = logging.getLogger(__name__)
@@ -82,13 +83,32 @@ def climatology() -> tuple[Column, Column]:
     return F.col("CLIM_DLAT"), F.col("CLIM_DLON")
 
 
-def run_baselines(rows: DataFrame, split_name: str = "test", names=K.BASELINES[:3],
-                  mode: str = K.TARGET_MODE, regressions: DataFrame | None = None) -> DataFrame:
+def with_regression(rows: DataFrame, train: DataFrame, features=K.FEATURES) -> DataFrame:
+    """``rows`` with the least-squares prediction of each lead time, ``REG_LAT`` and ``REG_LON``.
+
+    All lead times are fitted in one scan; the weights, a row per lead time, are broadcast.
+    """
+    train.select(*features)  # raises when one is missing
+    fits = fit_groups(train, features, ("Y_LAT", "Y_LON"), "horizon")
+    table = rows.sparkSession.createDataFrame(
+        [(h, *(x for k in (0, 1) for x in (s.weights[:, k].tolist(), float(s.intercepts[k])))) for h, s in fits.items()],
+        "horizon int, _w_lat array<double>, _b_lat double, _w_lon array<double>, _b_lon double")
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    return rows.join(F.broadcast(table), "horizon", "left").withColumns({
+        f"REG_{s.upper()}": dot(values, F.col(f"_w_{s}")) + F.col(f"_b_{s}") for s in ("lat", "lon")}).drop(
+        "_w_lat", "_b_lat", "_w_lon", "_b_lon")
+
+
+#: The baselines that need no fitted model.
+CLOSED_FORM = K.BASELINES[:3]
+
+
+def run_baselines(rows: DataFrame, split_name: str = "test", names=K.BASELINES,
+                  mode: str = K.TARGET_MODE) -> DataFrame:
     """All baselines in one pass over the rows of a partition.
 
-    ``regressions`` are predictions of ``linear_regression`` fits (see models) and
-    are appended. A baseline whose input columns are missing is left out with a
-    warning; an unknown name is an error.
+    A baseline whose input columns are missing is left out with a warning (the regression
+    needs all features, see ``forecast_rows(keep=...)``); an unknown name is an error.
     """
     split = rows.where(F.col("split") == split_name)
     made = {}
@@ -101,19 +121,22 @@ def run_baselines(rows: DataFrame, split_name: str = "test", names=K.BASELINES[:
             elif name == "Climatology":
                 means = fit_climatology(rows.where("split = 'train'"), mode)
                 split, made[name] = basin_lookup(split, means), climatology()
-            elif name != "Linear Regression":
+            elif name == "Linear Regression":
+                split = with_regression(split, rows.where("split = 'train'"))
+                made[name] = F.col("REG_LAT"), F.col("REG_LON")
+            else:
                 raise ValueError(f"unknown baseline {name!r}")
         except AnalysisException as error:  # a column it needs is missing
             log.warning("baseline %s left out: %s", name, error)
     structs = []
     for name, (dlat, dlon) in made.items():
-        lat, lon = to_target_space(dlat, dlon, mode)
+        fitted = name == "Linear Regression"  # on targets, so in their space
+        lat, lon = (dlat, dlon) if fitted else to_target_space(dlat, dlon, mode)
         structs.append(F.struct(F.lit(name).alias("model"), lat.alias("PRED_Y_LAT"),
                                 lon.alias("PRED_Y_LON")))
-    keep = [c for c in split.columns if c not in ("CLIM_DLAT", "CLIM_DLON")]
-    out = split.select(*keep, F.explode(F.array(*structs)).alias("_p")) \
-               .select(*keep, "_p.model", "_p.PRED_Y_LAT", "_p.PRED_Y_LON")
-    return out if regressions is None else out.unionByName(regressions, allowMissingColumns=True)
+    keep = [c for c in split.columns if c not in ("CLIM_DLAT", "CLIM_DLON", "REG_LAT", "REG_LON")]
+    return split.select(*keep, F.explode(F.array(*structs)).alias("_p")) \
+                .select(*keep, "_p.model", "_p.PRED_Y_LAT", "_p.PRED_Y_LON")
 
 
 def union_forecasts(*tables: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import constants as K
+from driftline.operators import least_squares as Q
 from driftline.operators import metrics as M
 from driftline.operators import split as S
 from driftline.session import shared_dir
@@ -119,11 +120,7 @@ def _boosted(params: dict, seed: int) -> GBTRegressor:
         maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, seed=seed)
 
 
-def _linear(params: dict, seed: int) -> LinearRegression:
-    return LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal")
-
-
-ESTIMATORS = {"random_forest": _forest, "xgboost": _boosted, "linear_regression": _linear}
+ESTIMATORS = {"random_forest": _forest, "xgboost": _boosted}
 
 
 def best_round(losses: list[float], patience: int = K.PATIENCE) -> int:
@@ -146,6 +143,9 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
     both outputs, patience 30). MLlib cannot cut a fitted ensemble, so a shorter
     one is fitted again with the same seed, which repeats the same first trees.
     """
+    if model == "linear_regression":
+        check_params(model, params or {})
+        return linear_regression(rows, horizon, features, mode)
     if model not in ESTIMATORS:
         raise ValueError(f"unknown model {model!r}")
     params = dict(params if params is not None else K.DEFAULT_PARAMS.get(model, {}))
@@ -178,16 +178,23 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
                 pair = fit_pair({**params, "n_estimators": best + 1})
     finally:
         used.unpersist()
+    return PairModel(model, horizon, tuple(features), pair[0], pair[1], training_means(rows, features),
+                     fit_info(model, horizon, mode, sizes, features, targets, params, best, started))
+
+
+def training_means(rows: DataFrame, features) -> dict[str, float]:
     means = rows.where("split = 'train'").agg(*[F.avg(F.col(c)).alias(c) for c in features]).first()
-    info = {"model": model, "horizon": horizon, "target_mode": mode,
+    return {c: float(means[c]) for c in features}
+
+
+def fit_info(model, horizon, mode, sizes, features, targets, params, best, started) -> dict:
+    return {"model": model, "horizon": horizon, "target_mode": mode,
             "n_train_rows": sizes["train"], "n_val_rows": sizes.get("val", 0),
             "n_features": len(features), "feature_names": list(features), "target_names": list(targets),
             "params": {k: str(v) for k, v in params.items()}, "best_iteration": best,
             "split_fingerprint": K.fingerprint(K.split_config()),
             "fit_seconds": round(time.time() - started, 2),
             "trained_at": datetime.now().isoformat(timespec="seconds")}
-    return PairModel(model, horizon, tuple(features), pair[0], pair[1],
-                     {c: float(means[c]) for c in features}, info)
 
 
 def as_predictions(model: PairModel, rows: DataFrame, label: str | None = None,
@@ -202,9 +209,20 @@ def as_predictions(model: PairModel, rows: DataFrame, label: str | None = None,
         "PRED_Y_LAT", "PRED_Y_LON")
 
 
-def linear_regression(rows: DataFrame, horizon: int = K.DEFAULT_HORIZON) -> PairModel:
-    """Least squares on all features, both outputs."""
-    return fit(rows, "linear_regression", horizon, params={})
+def linear_regression(rows: DataFrame, horizon: int = K.DEFAULT_HORIZON, features=K.FEATURES,
+                      mode: str = K.TARGET_MODE) -> PairModel:
+    """Least squares on all features, both outputs: the minimum-norm solution by tall-skinny QR."""
+    started, targets = time.time(), K.target_columns(horizon, mode)
+    train = rows.where("split = 'train'").select(*features, *targets, F.lit(horizon).alias("_h"))
+    found = Q.fit_groups(train, features, targets, "_h")
+    if not found:
+        raise ValueError("no training rows")
+    solved = found[horizon]
+    lat, lon = (Q.LinearFit(tuple(map(float, solved.weights[:, k])), float(solved.intercepts[k])) for k in (0, 1))
+    counts = rows.groupBy("split").count().collect()
+    return PairModel("linear_regression", horizon, tuple(features), lat, lon, training_means(rows, features), fit_info(
+        "linear_regression", horizon, mode, {r["split"]: r["count"] for r in counts}, features, targets, {}, None, started)
+        | {"rank": solved.rank})
 
 
 def train_grid(features: DataFrame, assignments: DataFrame, models=("random_forest", "xgboost"),

@@ -169,16 +169,17 @@ def subsample_train(df: DataFrame, fraction: float, seed: int = K.SEED) -> DataF
 
 
 # ------------------------------------------------------------- all lead times
-def forecast_rows(features: DataFrame, horizons=K.HORIZONS, mode: str = K.TARGET_MODE) -> DataFrame:
+def forecast_rows(features: DataFrame, horizons=K.HORIZONS, mode: str = K.TARGET_MODE, keep=()) -> DataFrame:
     """One row per complete observation and horizon, from a single scan.
 
-    Y_LAT / Y_LON hold the targets of that horizon in the given mode.
+    Y_LAT / Y_LON hold the targets of that horizon in the given mode. ``keep`` names further
+    columns, such as the features that a fitted baseline reads.
     """
     complete = features.na.drop(subset=list(K.FEATURES))
     per_horizon = F.array_compact(F.array(*[
         F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(
             F.lit(h).alias("horizon"), F.col(lat).alias("Y_LAT"), F.col(lon).alias("Y_LON")))
         for h in horizons for lat, lon in [K.target_columns(h, mode)]]))
-    return complete.select(*K.META_COLUMNS, "DELTA_LAT", "DELTA_LON", "INTENSITY_CATEGORY",
-                           F.explode(per_horizon).alias("_t")) \
+    kept = dict.fromkeys([*K.META_COLUMNS, "DELTA_LAT", "DELTA_LON", "INTENSITY_CATEGORY", *keep])
+    return complete.select(*kept, F.explode(per_horizon).alias("_t")) \
                    .select("*", "_t.horizon", "_t.Y_LAT", "_t.Y_LON").drop("_t")

@@ -64,7 +64,7 @@ _PRED = (*KEYS, "model", "PRED_Y_LAT", "PRED_Y_LON")
 
 @query("run_baselines", with_scored(f"SELECT {columns(_PRED)} FROM scored"))
 def _(spark, sf):
-    return rounded(B.run_baselines(forecast_row_table(spark, sf)).select(*_PRED))
+    return rounded(B.run_baselines(forecast_row_table(spark, sf), names=B.CLOSED_FORM).select(*_PRED))
 
 
 @query("union_forecasts", with_scored(f"SELECT {columns(_PRED)} FROM scored"))
@@ -80,13 +80,13 @@ _SCORED = (*KEYS, "model", "BASIN", "LAT", "LON", "TRUE_LAT", "TRUE_LON", "PRED_
 
 @query("reconstruct_positions", with_scored(f"SELECT {columns(_SCORED[:10])} FROM scored"))
 def _(spark, sf):
-    return rounded(M.reconstruct_positions(B.run_baselines(forecast_row_table(spark, sf)))
+    return rounded(M.reconstruct_positions(B.run_baselines(forecast_row_table(spark, sf), names=B.CLOSED_FORM))
                    .select(*_SCORED[:10]))
 
 
 @query("score_split", with_scored(f"SELECT {columns(_SCORED, 5)} FROM scored"))
 def _(spark, sf):
-    return rounded(M.score(B.run_baselines(forecast_row_table(spark, sf))).select(*_SCORED), 5)
+    return rounded(M.score(B.run_baselines(forecast_row_table(spark, sf), names=B.CLOSED_FORM)).select(*_SCORED), 5)
 
 
 # ------------------------------------------------------------------- statistics

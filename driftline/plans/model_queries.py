@@ -24,7 +24,7 @@ from driftline.plans.product_queries import start_rows
 from driftline.plans.registry import query
 from driftline.plans.sql import prepared, r, with_clean, with_features, with_scored
 from driftline.plans.stages import once, stage, stage_path
-from driftline.plans.tables import baseline_table, feature_table, split_table
+from driftline.plans.tables import all_baseline_table, baseline_table, feature_table, split_table
 from driftline.sources import models as store
 from driftline.sources import tables as R
 
@@ -61,6 +61,18 @@ def _(spark, sf):
     return M.score(L.as_predictions(linear(spark, sf), test_rows(spark, sf)))
 
 
+@query("run_all_baselines")
+def _(spark, sf):
+    """The predictions of all four baselines at every horizon, scored."""
+    return all_baseline_table(spark, sf)
+
+
+@query("evaluate_all_baselines")
+def _(spark, sf):
+    """All four baselines at every horizon, with intervals and skill."""
+    return M.comparison_table(M.evaluate_with_intervals(all_baseline_table(spark, sf)))
+
+
 @query("fit_random_forest")
 def _(spark, sf):
     return M.score(L.as_predictions(forest(spark, sf), test_rows(spark, sf)))
@@ -230,10 +242,10 @@ def _(spark, sf):
 def all_forecasts(spark, sf):
     """Scored test forecasts of every baseline and model at every horizon, written once."""
     def build():
-        fits = [*grid(spark, sf), *(linear(spark, sf, h) for h in K.HORIZONS)]
+        fits = grid(spark, sf)
         parts = [M.score(L.as_predictions(f, test_rows(spark, sf, f.horizon))) for f in fits]
         out = reduce(lambda a, b: a.unionByName(b), parts)
-        return out.unionByName(baseline_table(spark, sf).select(*out.columns))
+        return out.unionByName(all_baseline_table(spark, sf).select(*out.columns))
 
     return stage(spark, sf, "all_forecasts", build)
 

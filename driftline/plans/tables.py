@@ -41,5 +41,12 @@ def forecast_row_table(spark, sf):
 def baseline_table(spark, sf):
     """Scored predictions of the three closed-form baselines, all horizons."""
     return stage(spark, sf, "baselines", lambda: M.score(
-        B.run_baselines(forecast_row_table(spark, sf))).withColumn("LEAD_HOURS", F.col("horizon")),
+        B.run_baselines(forecast_row_table(spark, sf), names=B.CLOSED_FORM)).withColumn("LEAD_HOURS", F.col("horizon")),
         partition_by=("LEAD_HOURS",))
+
+
+def all_baseline_table(spark, sf):
+    """Scored predictions of all four baselines, all horizons; the regression reads all features."""
+    rows = S.assign_split_rows(S.forecast_rows(feature_table(spark, sf), keep=K.FEATURES), split_table(spark, sf))
+    return stage(spark, sf, "all_baselines", lambda: M.score(B.run_baselines(rows)).drop(
+        *[c for c in K.FEATURES if c not in (*K.META_COLUMNS, "DELTA_LAT", "DELTA_LON", "INTENSITY_CATEGORY")]))

@@ -4,20 +4,25 @@ from pyspark.sql import functions as F
 from test_features import requests
 
 from driftline import constants as K
+from driftline.operators import baselines as B
 from driftline.operators import features as E
 from driftline.operators import forecast as T
 from driftline.operators import importance as I
+from driftline.operators import least_squares as Q
 from driftline.operators import metrics as M
 from driftline.operators import models as L
+from driftline.operators import split as S
 from driftline.operators import validate as V
-from driftline.plans import model_queries as Q
+from driftline.plans import model_queries as MQ
+from driftline.plans import tables as P
+from driftline.session import cut_lineage
 from driftline.sources import models as store
 from driftline.sources import tables as R
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return Q.prepared_rows(spark, SMALL).persist()
+    return MQ.prepared_rows(spark, SMALL).persist()
 
 
 @pytest.fixture(scope="module")
@@ -130,15 +135,47 @@ def test_parameters_without_effect_are_refused(rows):
 def test_linear_model_solves_the_normal_equations(rows):
     """Residuals of the training rows sum to zero, also when weighted by any feature.
 
-    Some features are sums of others, so the normal matrix is singular and the solver
-    leaves a little in their direction.
+    Some features are sums of others, so the normal matrix is singular.
     """
-    predicted = L.linear_regression(rows).predict(rows.where("split = 'train'"))
+    predicted = cut_lineage(L.linear_regression(rows).predict(rows.where("split = 'train'")))
     for side in ("LAT", "LON"):
         residual = F.col(f"TARGET_D{side}_24H") - F.col(f"PRED_Y_{side}")
-        parts = [residual, *[residual * F.col(c) for c in ("WMO_WIND", "DELTA_LAT", "MONTH", "LAT_LAG_2")]]
-        ratios = predicted.agg(*[F.abs(F.sum(p)) / F.sum(F.abs(p)) for p in parts]).first()
-        assert ratios[0] < 1e-9 and max(ratios) < 1e-3
+        parts = [residual, *[residual * F.col(c) for c in K.FEATURES]]
+        ratios = predicted.agg(*[F.coalesce(F.abs(F.sum(p)) / F.sum(F.abs(p)), F.lit(0.0)) for p in parts]).first()
+        assert max(ratios) < 1e-9
+
+
+def test_least_squares_does_not_depend_on_the_partitions(rows, monkeypatch):
+    train = rows.where("split = 'train'").withColumn("h", F.lit(24))
+    targets = K.target_columns(24)
+    one = Q.fit_groups(train.coalesce(1), K.FEATURES, targets, "h")[24]
+    monkeypatch.setattr(Q, "FAN_IN", 3)  # so that factors meet in several levels
+    many = Q.fit_groups(train.repartition(50), K.FEATURES, targets, "h")[24]
+    assert one.rank == many.rank < len(K.FEATURES) and one.n == many.n == train.count()
+    assert many.weights == pytest.approx(one.weights, rel=1e-6, abs=1e-9)
+
+
+def test_least_norm_among_equal_fits(spark):
+    df = spark.range(50).selectExpr("id * 1.0 AS a", "id * 1.0 AS b", "5.0 AS c", "id * 3.0 + 2 AS y", "1 AS h")
+    got = Q.fit_groups(df, ["a", "b", "c"], ["y"], "h")[1]
+    assert got.rank == 1 and got.weights[:, 0] == pytest.approx([1.5, 1.5, 0], abs=1e-9)
+    assert got.intercepts[0] == pytest.approx(2)
+
+
+def test_saved_regression_predicts_the_same(spark, rows, tmp_path):
+    fitted = L.fit(rows, "linear_regression", 24)
+    store.save_model(spark, fitted, str(tmp_path))
+    again = store.load_model(spark, str(tmp_path), "linear_regression", 24, features=K.FEATURES)
+    assert L.mean_error_km(fitted, rows) == pytest.approx(L.mean_error_km(again, rows))
+
+
+def test_four_baselines_by_default(spark, rows):
+    long = S.forecast_rows(P.feature_table(spark, SMALL), keep=K.FEATURES)
+    made = B.run_baselines(S.assign_split_rows(long, P.split_table(spark, SMALL)), "train")
+    assert {r.model for r in made.select("model").distinct().collect()} == set(K.BASELINES)
+    same = made.where("model = 'Linear Regression' AND horizon = 24").agg(F.avg("PRED_Y_LAT")).first()[0]
+    wide = L.linear_regression(rows).predict(rows.where("split = 'train'")).agg(F.avg("PRED_Y_LAT")).first()[0]
+    assert same == pytest.approx(wide)
 
 
 def test_a_sweep_keeps_the_best(rows):
