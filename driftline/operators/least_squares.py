@@ -40,18 +40,18 @@ def factors(rows: DataFrame, features, targets, group: str) -> DataFrame:
     Rows with a missing feature or target are left out.
     """
     columns = [*features, *targets]
-    used = rows.where(F.col(group).isNotNull()).select(F.col(group).cast("int").alias("grp"), *[F.col(c).cast("double").alias(f"c{i}")
-                                                                for i, c in enumerate(columns)])
+    # one array: a column each would multiply the planner's constraints on complete rows
+    used = rows.where(F.col(group).isNotNull()).select(
+        F.col(group).cast("int").alias("grp"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     schema = "grp int, node long, n long, r array<double>"
 
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, found, counts = TaskContext.get().partitionId(), {}, {}
         for batch in batches:
-            # missing numbers arrive as NaN
-            block = np.column_stack([np.ones(batch.num_rows), *(
-                batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns)))])
+            values = batch.column("x").flatten().to_numpy(zero_copy_only=False)  # missing numbers become NaN
+            block = np.column_stack([np.ones(batch.num_rows), values.reshape(-1, len(columns))])
             complete = np.isfinite(block).all(1)
-            groups, block = batch.column(0).to_numpy(zero_copy_only=False)[complete], block[complete]
+            groups, block = batch.column("grp").to_numpy(zero_copy_only=False)[complete], block[complete]
             for g in np.unique(groups).tolist():
                 part = block[groups == g]
                 found[g] = triangle([found[g], part] if g in found else [part])
