@@ -23,6 +23,7 @@ from driftline import constants as K
 from driftline.operators import least_squares as Q
 from driftline.operators import metrics as M
 from driftline.operators import split as S
+from driftline.operators import tree_tables
 from driftline.session import shared_dir
 
 OUTPUTS = ("LAT", "LON")
@@ -85,9 +86,9 @@ def _subset_strategy(value) -> str:
 
 #: Parameters each estimator honours; any other is an error.
 HONOURED = {
-    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features"},
+    "random_forest": {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features"},
     "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree",
-                "min_child_weight", "gamma"},
+                "min_child_weight", "gamma", "reg_alpha", "reg_lambda"},
     "linear_regression": set()}
 MAX_DEPTH = 30  # of MLlib
 
@@ -139,9 +140,10 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
         mode: str = K.TARGET_MODE) -> PairModel:
     """Fit one model on the training rows of ``prepare_data``.
 
-    Boosted trees stop at the best validation round (mean squared error over
-    both outputs, patience 30). MLlib cannot cut a fitted ensemble, so a shorter
-    one is fitted again with the same seed, which repeats the same first trees.
+    Boosted trees stop at the best validation round (mean squared error over both outputs,
+    patience 30): the losses of all rounds come from one pass over the validation rows, and
+    the ensemble is cut in its node table. ``reg_alpha`` and ``reg_lambda`` set the leaf values of
+    the grown trees, ``min_samples_split`` of a forest collapses nodes of fewer rows.
     """
     if model == "linear_regression":
         check_params(model, params or {})
@@ -162,20 +164,29 @@ def fit(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON, params: d
         if not sizes.get("train"):
             raise ValueError("no training rows")
 
-        def fit_pair(p):
-            def one(target):
-                return ESTIMATORS[model](p, seed).setFeaturesCol("_x").setLabelCol(target) \
-                    .setPredictionCol("_p").fit(train)
-
-            with ThreadPoolExecutor(2) as pool:  # both outputs at the same time
-                return list(pool.map(one, targets))
-
-        pair, best = fit_pair(params), None
+        spark, best = rows.sparkSession, None
+
+        def one(target):
+            fitted = ESTIMATORS[model](params, seed).setFeaturesCol("_x").setLabelCol(target).setPredictionCol("_p").fit(train)
+            if model == "random_forest" and int(params.get("min_samples_split", 2)) > 2:
+                return tree_tables.collapsed(spark, fitted, int(params["min_samples_split"]))
+            alpha, penalty = (float(params.get(name, 0)) for name in ("reg_alpha", "reg_lambda"))
+            if model != "xgboost" or not (alpha or penalty):
+                return fitted
+            shapes = [len(v) for v in tree_tables.leaf_values(spark, fitted)]
+            reached = tree_tables.reached_leaves(spark, fitted, train, target)
+            return tree_tables.with_leaf_values(
+                spark, fitted, tree_tables.penalised_values(reached, fitted, shapes, alpha, penalty))
+
+        def losses(fitted, target):
+            reached = tree_tables.reached_leaves(spark, fitted, val, target)
+            return tree_tables.staged_losses(reached, tree_tables.leaf_values(spark, fitted), list(fitted.treeWeights))
+
+        with ThreadPoolExecutor(2) as pool:  # both outputs at the same time
+            pair = list(pool.map(one, targets))
         if model == "xgboost" and early_stopping and sizes.get("val"):
-            losses = [m.evaluateEachIteration(val, "squared") for m in pair]
-            best = best_round([(a + b) / 2 for a, b in zip(*losses)])
-            if best + 1 < int(params["n_estimators"]):
-                pair = fit_pair({**params, "n_estimators": best + 1})
+            best = best_round([(a + b) / 2 for a, b in zip(*map(losses, pair, targets))])
+            pair = [tree_tables.first_trees(spark, m, best + 1) for m in pair]
     finally:
         used.unpersist()
     return PairModel(model, horizon, tuple(features), pair[0], pair[1], training_means(rows, features),

@@ -28,8 +28,8 @@ from driftline.plans.tables import all_baseline_table, baseline_table, feature_t
 from driftline.sources import models as store
 from driftline.sources import tables as R
 
-FOREST = {"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 2, "max_features": "sqrt"}
-BOOSTED = {"n_estimators": 12, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9}
+FOREST = {"n_estimators": 20, "max_depth": 8, "min_samples_split": 9, "min_samples_leaf": 2, "max_features": "sqrt"}
+BOOSTED = {"n_estimators": 60, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9, "reg_alpha": 0.01, "reg_lambda": 1.0}
 
 
 def prepared_rows(spark, sf, horizon=24):

@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 from helpers import SMALL
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from test_features import requests
 
@@ -12,6 +14,7 @@ from driftline.operators import least_squares as Q
 from driftline.operators import metrics as M
 from driftline.operators import models as L
 from driftline.operators import split as S
+from driftline.operators import tree_tables as X
 from driftline.operators import validate as V
 from driftline.plans import model_queries as MQ
 from driftline.plans import tables as P
@@ -40,6 +43,56 @@ def test_boosting_stops_early(rows):
     assert model.lat.getNumTrees == model.info["best_iteration"] + 1 <= 4
 
 
+@pytest.fixture(scope="module")
+def vectors(rows):
+    train = rows.where("split = 'train'")
+    return VectorAssembler(inputCols=list(K.FEATURES), outputCol="_x").transform(train).select("_x", "TARGET_DLAT_24H").persist()
+
+
+def test_leaf_values_without_penalty_are_the_ensembles_own(spark, rows, vectors):
+    fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 3, "max_depth": 2}, early_stopping=False).lat
+    own = X.leaf_values(spark, fitted)
+    reached = X.reached_leaves(spark, fitted, vectors, "TARGET_DLAT_24H")
+    again = X.penalised_values(reached, fitted, [len(v) for v in own], 0.0, 0.0)
+    assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(own, again))
+    alpha, penalty = 3.0, 50.0
+    first = X.penalised_values(reached, fitted, [len(v) for v in own], alpha, penalty)[0]
+    table = reached.toPandas()
+    for leaf, value in enumerate(first):
+        y = table.y[table.leaves.str[0] == leaf]
+        assert value == pytest.approx(np.sign(y.sum()) * max(abs(y.sum()) - alpha, 0) / (len(y) + penalty))
+    changed = X.with_leaf_values(spark, fitted, [first, *own[1:]])
+    assert all(a == pytest.approx(b) for a, b in zip(X.leaf_values(spark, changed), [first, *own[1:]]))
+    large = L.fit(rows, "xgboost", 24, {"n_estimators": 2, "max_depth": 2, "reg_alpha": 1e9}, early_stopping=False)
+    assert large.predict(rows).agg(F.max(F.abs("PRED_Y_LAT"))).first()[0] == 0
+
+
+def test_ensembles_are_cut_not_fitted_again(spark, rows, vectors):
+    fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 4, "max_depth": 2}, early_stopping=False).lat
+    short = X.first_trees(spark, fitted, 2)
+    assert short.getNumTrees == 2 and list(short.treeWeights) == list(fitted.treeWeights)[:2]
+    reached = X.reached_leaves(spark, fitted, vectors, "TARGET_DLAT_24H")
+    losses = X.staged_losses(reached, X.leaf_values(spark, fitted), list(fitted.treeWeights))
+    made = short.copy().setPredictionCol("p").transform(vectors)
+    assert losses[1] == pytest.approx(made.agg(F.avg((F.col("p") - F.col("TARGET_DLAT_24H")) ** 2)).first()[0])
+
+
+def test_nodes_of_few_rows_are_collapsed(spark, rows, vectors):
+    params = {"n_estimators": 2, "max_depth": 5, "max_features": "all"}
+    whole = L.fit(rows, "random_forest", 24, params).lat
+    small = X.collapsed(spark, whole, 200)
+    again = L.fit(rows, "random_forest", 24, {**params, "min_samples_split": 200}).lat
+    assert small.toDebugString.splitlines()[1:] == again.toDebugString.splitlines()[1:]
+    path = X.folder(spark, "test")
+    small.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    assert nodes.where("leftChild >= 0 AND rawCount < 200").isEmpty() and 4 < nodes.count() < whole.totalNumNodes
+    assert nodes.groupBy("treeID").agg((F.max("id") + 1 == F.count("*")).alias("ok")).where("NOT ok").isEmpty()
+    root = nodes.where("id = 0").select("prediction").collect()
+    bare = X.collapsed(spark, whole, 10**9).copy().setPredictionCol("p").transform(vectors).first().p
+    assert bare == pytest.approx(sum(r[0] for r in root) / 2)
+
+
 def test_saved_model_predicts_the_same(spark, rows, forest, tmp_path):
     root = str(tmp_path)
     store.save_model(spark, forest, root, {"note": "x"})
@@ -127,7 +180,7 @@ def test_no_accepted_request_is_lost(spark, forest):
 
 
 def test_parameters_without_effect_are_refused(rows):
-    for params in ({**K.FOREST_PARAMS, "min_samples_split": 9}, {**K.FOREST_PARAMS, "max_depth": 31}):
+    for params in ({**K.FOREST_PARAMS, "max_leaf_nodes": 9}, {**K.FOREST_PARAMS, "max_depth": 31}):
         with pytest.raises(ValueError):
             L.fit(rows, "random_forest", 24, params)
 
