@@ -153,14 +153,29 @@ def _(spark, sf):
 
 
 WARC_SQL = r"""
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-k AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex,
-  min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
-SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+WITH p AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url,
+  coalesce(html, '') AS html, encode(coalesce(html, '')) AS payload FROM pages),
+o AS (SELECT *, row_number() OVER (PARTITION BY payload, page_id, url) AS nth FROM p),
+f AS (SELECT *, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex,
+  row_number() OVER w = 1 AS first, first_value(page_id) OVER w AS first_id, first_value(nth) OVER w AS first_nth FROM o
+  WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS LAST, url, nth)),
+k AS (SELECT *, CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST((CAST('0x' || substr(hex, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)
     for i in range(32)], '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM k
+  'HTTP/1.1 200 OK' || n || 'Content-Type: text/html; charset=utf-8' || n || 'Content-Length: ' || payload_bytes || n || n AS http
+  FROM f, (SELECT chr(13) || chr(10) AS n)),
+r AS (SELECT *, 'WARC/1.1' || n || 'WARC-Type: ' || record_type || n
+  || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || nth || '>' || n
+  || 'WARC-Date: 2024-01-01T00:00:00Z' || n || 'WARC-Target-URI: ' || url || n
+  || 'WARC-Payload-Digest: sha1:' || payload_digest || n || CASE WHEN first THEN '' ELSE
+    'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || n
+    || 'WARC-Refers-To: <urn:page:' || coalesce(CAST(first_id AS VARCHAR), '') || ':' || first_nth || '>' || n END
+  || 'Content-Type: application/http; msgtype=response' || n
+  || 'Content-Length: ' || (strlen(http) + CASE WHEN first THEN payload_bytes ELSE 0 END) || n || n || http
+  || CASE WHEN first THEN html ELSE '' END || n || n AS record FROM k)
+SELECT page_id, payload_bytes, payload_digest, record_type, CASE WHEN NOT first THEN first_id END AS refers_to,
+  sha256(record) AS record_sha256 FROM r
 """
 
 
@@ -169,7 +184,8 @@ def _(spark, sf):
     folder = fresh_folder(spark, "archive")
     warc_archive.write_archive(read(spark, sf, "pages").select("page_id", "url", "html"), folder)
     return warc_archive.read_archive(spark, folder).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        F.sha2("record", 256).alias("record_sha256"))
 
 
 @query("op10_quality")

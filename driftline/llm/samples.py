@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.joins import broadcast_if_small
 from driftline.llm.tables import written
 
 
@@ -39,3 +40,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_clas
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(written(chosen, "chosen")), "doc_id")
     return written(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
+
+
+def labelled_share(docs: DataFrame, labels: DataFrame, label: str, hold_out: bool) -> float | None:
+    """Share of label 1 among all documents whose labels may be learned from; null if there are none."""
+    agreed = broadcast_if_small(written(agreed_labels(labels, label, hold_out), "agreed"))
+    used = docs.select("doc_id").join(agreed, "doc_id").distinct()
+    return used.agg(F.avg(F.col("label").cast("double"))).first()[0]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.samples import labelled_sample
+from driftline.llm.samples import labelled_sample, labelled_share
 from driftline.llm.tables import packed, written
 
 MAX_PER_CLASS = 4000
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     """Weight by feature, and the thresholds."""
     sample = labelled_sample(docs, labels, label, max_per_class, hold_out)
     features = choose_features(sample)
-    share = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    share = labelled_share(docs, labels, label, hold_out) or 0.0
     rows = vectors(sample, features)
     classes = np.array([r.label for r in rows], np.int64)
     if not features:

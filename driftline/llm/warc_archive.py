@@ -12,7 +12,9 @@ Defined results:
   others are revisits of it; repeated rows are records of their own, and of
   equal ones the first is the response;
 * payloads below ``min_revisit`` bytes: always responses;
-* line breaks inside a url: percent-encoded, so a header stays one line;
+* line breaks inside a url: percent-encoded, so a header stays one line; other Unicode line
+  separators are ordinary characters of a line;
+* very long payloads: whole, in one row each;
 * empty table: empty archive;
 * further columns of the input: not part of the archive.
 """
@@ -106,8 +108,8 @@ def write_archive(df: DataFrame, folder: str, page_id: str = "page_id", url: str
 
 
 def field(name: str) -> Column:
-    """Value of a header field, null if it is missing."""
-    found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """Value of a header field, null if it is missing; only line feeds start a line (flag d)."""
+    found = F.regexp_extract("header", rf"(?md)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 

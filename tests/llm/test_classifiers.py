@@ -1,5 +1,7 @@
 """Classifiers by held-out accuracy and on odd input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,27 @@ def test_toxicity_on_held_out_documents(spark):
     assert found.toxic[found.label == 1].mean() > 0.7
 
 
+def test_toxicity_learns_only_from_agreed_labels_of_documents(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels").select("doc_id", "toxic")
+    given = toxicity.fit(docs, labels, hold_out=True)
+    absent = spark.range(10**9, 10**9 + 5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    flipped = labels.withColumn("toxic", F.when(fold(F.col("doc_id")) == 2, 1).otherwise(F.col("toxic")))
+    weights, thresholds = toxicity.fit(docs, flipped.unionByName(absent), hold_out=True)
+    assert thresholds == pytest.approx(given[1], abs=1e-9) and weights == pytest.approx(given[0], abs=1e-9)
+
+
+def test_severity_equals_a_plain_model(spark):
+    """Words and word beginnings counted and weighed without the operator's own feature code."""
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    weights, thresholds = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, weights, thresholds).select("row.text", "severity").limit(60).collect():
+        words = re.findall(r"\w+", (r.text or "").lower())
+        times = lambda f: sum(w.startswith(f[1:]) if f[0] == "^" else w == f for w in words)
+        eta = sum(w * np.log1p(times(f)) for f, w in weights.items())
+        want = sum(1 / (1 + np.exp(np.clip(t - eta, -40, 40))) for t in thresholds)
+        assert r.severity == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_on_odd_documents(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (4, 0), (7, None), (None, 1), (99, 1)],
                                    "doc_id long, toxic int")

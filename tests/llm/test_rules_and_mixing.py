@@ -118,6 +118,15 @@ def test_exported_files_are_warc(spark):
     assert sum(b.endswith(b"<p>same</p>") for _, b in found) == 5
 
 
+def test_line_separators_in_urls_start_no_header(spark):
+    folder = fresh_folder(spark, "t")
+    odd = [f"http://a{c}WARC-Refers-To: <urn:page:5:1>" for c in "\x85\u2028\u2029\r\n"]
+    rows = [(k, url, f"<p>{k}</p>") for k, url in enumerate(odd)]
+    warc_archive.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    found = warc_archive.read_archive(spark, folder).collect()
+    assert all(r.record_type == "response" and r.refers_to is None for r in found) and len(found) == 5
+
+
 def test_empty_archive(spark):
     folder = fresh_folder(spark, "t")
     warc_archive.write_archive(pages(spark).limit(0), folder)
