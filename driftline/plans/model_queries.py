@@ -29,7 +29,7 @@ from driftline.sources import models as store
 from driftline.sources import tables as R
 
 FOREST = {"n_estimators": 20, "max_depth": 8, "min_samples_split": 9, "min_samples_leaf": 2, "max_features": "sqrt"}
-BOOSTED = {"n_estimators": 60, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9, "reg_alpha": 0.01, "reg_lambda": 1.0}
+BOOSTED = {"n_estimators": 45, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9, "reg_alpha": 0.01, "reg_lambda": 1.0}
 
 
 def prepared_rows(spark, sf, horizon=24):
@@ -273,8 +273,7 @@ def _(spark, sf):
 
 @query("group_ablation")
 def _(spark, sf):
-    return I.group_ablation(prepared_rows(spark, sf), "random_forest", 24,
-                            {**FOREST, "n_estimators": 4, "max_depth": 6})
+    return I.group_ablation(prepared_rows(spark, sf), "random_forest", 24, FOREST)
 
 
 @query("correlated_clusters")
