@@ -330,6 +330,7 @@ def tuning_sweep(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON,
                  threads: int = 2) -> tuple[DataFrame, dict]:
     """Fit every candidate on train, compare mean validation error, keep the best.
 
+    All candidates are fitted in full; ``halving`` spends that on the promising ones only.
     ``limits`` overrides parameters of all candidates (a smaller ensemble, say).
     Returns the table of trials and the result for ``upsert_params``.
     """

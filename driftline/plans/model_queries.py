@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftline import constants as K
 from driftline.operators import features as E
 from driftline.operators import forecast as T
+from driftline.operators import halving as H
 from driftline.operators import importance as I
 from driftline.operators import metrics as M
 from driftline.operators import models as L
@@ -87,7 +88,7 @@ def _(spark, sf):
 def _(spark, sf):
     """What a sweep stored for a horizon, next to the parameters that apply to it."""
     path = stage_path(spark, sf, "params_resolve")
-    R.upsert_params(spark, path, [sweep(spark, sf)[1]])
+    R.upsert_params(spark, path, sweep(spark, sf)[1])
     rows = [(m, h, {k: str(v) for k, v in R.resolve_params(spark, path, m, h).items()})
             for m in K.MODEL_LABELS for h in K.HORIZONS]
     applied = spark.createDataFrame(rows, "model string, horizon int, params map<string,string>")
@@ -141,9 +142,11 @@ def _(spark, sf):
 
 
 def sweep(spark, sf):
-    return once(spark, sf, "sweep", lambda: L.tuning_sweep(
-        prepared_rows(spark, sf), "random_forest", 24, n_trials=3,
-        limits={"n_estimators": 5, "max_depth": 6}))
+    """Both models at all horizons; only the number of trees is that of the other queries."""
+    return once(spark, sf, "sweep", lambda: H.sweep_all(
+        spark, lambda horizon: prepared_rows(spark, sf, horizon), n_trials=3,
+        limits={"random_forest": {"n_estimators": FOREST["n_estimators"]},
+                "xgboost": {"n_estimators": BOOSTED["n_estimators"]}}))
 
 
 @query("tuning_sweep")
@@ -154,9 +157,9 @@ def _(spark, sf):
 @query("upsert_params")
 def _(spark, sf):
     path = stage_path(spark, sf, "params")
-    result = sweep(spark, sf)[1]
-    R.upsert_params(spark, path, [{**result, "best_val_error_km": 1e9}, {**result, "horizon": 72}])
-    R.upsert_params(spark, path, [result])
+    results = sweep(spark, sf)[1]
+    R.upsert_params(spark, path, [{**x, "best_val_error_km": 1e9} for x in results])
+    R.upsert_params(spark, path, [x for x in results if x["horizon"] != 72])  # 72 h keeps the first
     return R.read_params(spark, path)
 
 

@@ -9,6 +9,7 @@ from driftline import constants as K
 from driftline.operators import baselines as B
 from driftline.operators import features as E
 from driftline.operators import forecast as T
+from driftline.operators import halving as H
 from driftline.operators import importance as I
 from driftline.operators import least_squares as Q
 from driftline.operators import metrics as M
@@ -239,6 +240,45 @@ def test_a_sweep_keeps_the_best(rows):
     assert L.candidates("xgboost", 3) == L.candidates("xgboost", 3)
 
 
+def test_halving_keeps_the_better_half_on_nested_samples(rows, monkeypatch):
+    assert H.schedule(9) == [(9, 1 / 9), (3, 1 / 3), (1, 1.0)]
+    assert H.schedule(1) == [(1, 1.0)] and H.schedule(9, rungs=1) == [(9, 1.0)]
+    assert [n for n, _ in H.schedule(10)] == [10, 4, 2]
+    few = {r.sid for r in S.subsample_train(rows, 1 / 9).where("split = 'train'").selectExpr("SID || ISO_TIME AS sid").collect()}
+    more = {r.sid for r in S.subsample_train(rows, 1 / 3).where("split = 'train'").selectExpr("SID || ISO_TIME AS sid").collect()}
+    assert few < more
+
+    seen = []
+    drawn = [{"n_estimators": 9, "max_depth": d} for d in (5, 1, 4, 2, 3, 9, 8, 7, 6)]
+    monkeypatch.setattr(L, "candidates", lambda model, n, seed: drawn[:n])
+    monkeypatch.setattr(L, "mean_error_km", lambda fitted, val: float(fitted.params["max_depth"]))
+
+    class Fitted:
+        def __init__(self, data, params):
+            seen.append((params["max_depth"], params["n_estimators"]))
+            self.params, self.info = params, {"best_iteration": None, "n_train_rows": 1, "fit_seconds": 0.0}
+
+    monkeypatch.setattr(L, "fit", lambda data, model, horizon, params, seed: Fitted(data, params))
+    held = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
+    table, best = H.halving_sweep(held, "random_forest", 24, 9)
+    assert len(table) == 13 and best["params"] == {"n_estimators": 9, "max_depth": 1}
+    assert sorted(seen[9:12]) == [(1, 3), (2, 3), (3, 3)] and {n for _, n in seen[:9]} == {1}
+    assert [t[-1] for t in table] == [False] * 12 + [True]
+
+
+def test_halving_fits_both_models(spark, rows):
+    held = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
+    table, results = H.sweep_all(spark, lambda h: held, horizons=(24,), n_trials=2, eta=2, rungs=2,
+                                 limits={m: {"n_estimators": 4, "max_depth": 3} for m in K.MODEL_LABELS})
+    found = table.collect()
+    assert len(found) == 6 and len(results) == 2
+    for r in results:
+        last = [t for t in found if t.model == r["model"] and t.rung == 1]
+        assert len(last) == 1 and last[0].is_best and last[0].train_share == 1.0
+        assert last[0].val_error_km == pytest.approx(r["best_val_error_km"], abs=0.01)
+        assert all(t.n_train_rows < last[0].n_train_rows for t in found if t.model == r["model"] and t.rung == 0)
+
+
 def test_linear_model_is_at_least_as_good_as_the_mean(rows):
     fitted = L.linear_regression(rows)
     train = L.as_predictions(fitted, rows.where("split = 'train'"))
