@@ -1,21 +1,29 @@
 """Checks of a feature table. Each returns a table; none reads rows to the driver.
 
 Detail checks return counts per column or horizon. ``findings`` turns them into
-rows (check, level, message, n), level being ok, warn or error.
+rows (check, level, message, n), level being ok, warn or error. ``findings`` reads the table
+six times for all checks together: rows and halo of the profile, which one window and one
+aggregate serve, the moments, the counts by (SID, ISO_TIME), and both sides of the target join.
+
+What a row's neighbours must be is looked up inside time tiles of its segment (module
+``tiles``), so a segment that holds most rows of a wrong table is still many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline import constants as K
 from driftline.functions.order_stats import hash_fraction
 from driftline.functions import geo
-from driftline.functions.times import plus_hours
-from driftline.operators.clean import spacing_gaps, unpivot
+from driftline.functions.times import epoch_seconds, plus_hours
+from driftline.operators import tiles
 
 FINDING = "check string, level string, message string, n bigint"
 
@@ -46,6 +54,17 @@ def _with_segment(df: DataFrame) -> DataFrame:
     return df if "SEGMENT_ID" in df.columns else df.withColumn("SEGMENT_ID", F.col("SID"))
 
 
+def with_neighbours(df: DataFrame, columns, made: Callable[[object], dict[str, Column]],
+                    back: int, ahead: int, tile_hours: int) -> DataFrame:
+    """``columns`` of every row and the window columns ``made`` computes over its segment.
+
+    Exact for windows of at most ``back`` rows before and ``ahead`` rows after a row.
+    """
+    rows = _with_segment(df).select(F.struct("SID", "SEGMENT_ID").alias("SID"), "ISO_TIME", *columns)
+    near = tiles.with_halo(rows, back, ahead, tile_hours)
+    return tiles.drop_halo(near.withColumns(made(Window.partitionBy("SID", "TILE").orderBy("ISO_TIME"))))
+
+
 # ------------------------------------------------------------------- structure
 def check_schema(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
     """Declared features, targets and ids exist; no column is both."""
@@ -72,27 +91,47 @@ def check_duplicates(df: DataFrame) -> DataFrame:
               .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates")))
 
 
-def check_segment_spacing(df: DataFrame, cadence_hours: int = K.CADENCE_HOURS) -> DataFrame:
+def _previous(w) -> dict[str, Column]:
+    return {"_prev": F.lag("ISO_TIME").over(w)}
+
+
+def _off_cadence(cadence_hours: int = K.CADENCE_HOURS) -> Column:
+    return F.col("ISO_TIME") != plus_hours("_prev", cadence_hours)
+
+
+def check_segment_spacing(df: DataFrame, cadence_hours: int = K.CADENCE_HOURS,
+                          tile_hours: int = tiles.TILE_HOURS) -> DataFrame:
     """The five most common in-segment gaps other than the cadence."""
-    gaps = spacing_gaps(_with_segment(df), cadence_hours)
+    gap = (epoch_seconds(F.col("ISO_TIME")) - epoch_seconds(F.col("_prev"))) / F.lit(3600.0)
+    gaps = with_neighbours(df, [], _previous, 1, 0, tile_hours).where(_off_cadence(cadence_hours)).groupBy(
+        gap.alias("gap_hours")).agg(F.count("*").alias("n"))
     return gaps.orderBy(F.desc("n"), "gap_hours").limit(5)
 
 
 # ------------------------------------------------------------------------ lags
-def check_lags(df: DataFrame, n_lags: int = K.N_LAGS) -> DataFrame:
+def _lag_pairs(df: DataFrame, n_lags: int = K.N_LAGS) -> dict[str, tuple[str, int]]:
+    return {f"{p}_LAG_{k}": (s, k) for s, p in K.LAG_SOURCES.items() for k in range(1, n_lags + 1)
+            if f"{p}_LAG_{k}" in df.columns and s in df.columns}
+
+
+def _lags_again(pairs):
+    return lambda w: {f"_{c}": F.lag(s, k).over(w) for c, (s, k) in pairs.items()}
+
+
+def _lag_counts(pairs) -> Column:
+    return F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        F.count_if(F.abs(F.col(c) - F.col(f"_{c}")) > K.POSITION_TOLERANCE).alias("n_mismatched"),
+        F.count_if(F.col(c).isNotNull() & F.col(f"_{c}").isNull()).alias("n_crossed")) for c in pairs])
+
+
+def check_lags(df: DataFrame, n_lags: int = K.N_LAGS, tile_hours: int = tiles.TILE_HOURS) -> DataFrame:
     """Per lag column: values that differ from the recomputed lag, and values
     present where the segment has no such row. One window and one aggregate."""
-    df = _with_segment(df)
-    w = Window.partitionBy("SID", "SEGMENT_ID").orderBy("ISO_TIME")
-    pairs = {f"{p}_LAG_{k}": F.lag(s, k).over(w) for s, p in K.LAG_SOURCES.items()
-             for k in range(1, n_lags + 1) if f"{p}_LAG_{k}" in df.columns and s in df.columns}
-    again = df.select(*pairs, *[e.alias(f"_{c}") for c, e in pairs.items()])
-    counts = again.agg(*[F.struct(
-        F.count_if(F.abs(F.col(c) - F.col(f"_{c}")) > K.POSITION_TOLERANCE).alias("bad"),
-        F.count_if(F.col(c).isNotNull() & F.col(f"_{c}").isNull()).alias("crossed")).alias(c)
-        for c in pairs])
-    return unpivot(counts, pairs, "column_name", "s").select(
-        "column_name", F.col("s.bad").alias("n_mismatched"), F.col("s.crossed").alias("n_crossed"))
+    pairs = _lag_pairs(df, n_lags)
+    columns = dict.fromkeys([*pairs, *[s for s, _ in pairs.values()]])
+    again = with_neighbours(df, columns, _lags_again(pairs), n_lags, 0, tile_hours)
+    return again.agg(_lag_counts(pairs).alias("found")).select(F.inline("found"))
 
 
 # --------------------------------------------------------------------- targets
@@ -136,32 +175,46 @@ def check_target_alignment(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFram
 
 
 # ---------------------------------------------------------------------- values
-def check_missing(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
+def _expected(df: DataFrame, mode: str) -> dict[str, str | None]:
+    """Columns that may not be missing, each with the neighbour that says where (None: anywhere)."""
+    where = {c: None for c in ("LAT", "LON", "WMO_WIND", "WMO_PRES") if c in df.columns}
+    where |= {c: f"_back_{k}" for k in range(1, K.N_LAGS + 1) for c in df.columns if c.endswith(f"_LAG_{k}")}
+    return where | {c: f"_ahead_{K.steps(h)}" for h in K.HORIZONS for c in K.target_columns(h, mode)
+                    if c in df.columns}
+
+
+def _neighbour_exists(w) -> dict[str, Column]:
+    found = {f"_back_{k}": F.lag(F.lit(True), k) for k in range(1, K.N_LAGS + 1)}
+    found |= {f"_ahead_{K.steps(h)}": F.lead(F.lit(True), K.steps(h)) for h in K.HORIZONS}
+    return {name: e.over(w) for name, e in found.items()}
+
+
+def _missing_counts(where: dict[str, str | None]) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_if(
+        F.col(c).isNull() & (F.lit(True) if near is None else F.col(near).isNotNull())).alias("n_unexpected"))
+        for c, near in where.items()])
+
+
+def check_missing(df: DataFrame, mode: str = K.TARGET_MODE, tile_hours: int = tiles.TILE_HOURS) -> DataFrame:
     """Missing values where none may be: core columns anywhere, lag k outside the
     first k rows of a segment, targets outside the last rows."""
-    df = _with_segment(df)
-    segment = Window.partitionBy("SID", "SEGMENT_ID")
-    position = F.row_number().over(segment.orderBy("ISO_TIME")) - 1
-    conditions = {c: F.col(c).isNull() for c in ("LAT", "LON", "WMO_WIND", "WMO_PRES")
-                  if c in df.columns}
-    for k in range(1, K.N_LAGS + 1):
-        for c in df.columns:
-            if c.endswith(f"_LAG_{k}"):
-                conditions[c] = F.col(c).isNull() & (F.col("_pos") >= k)
-    for h in K.HORIZONS:
-        for c in K.target_columns(h, mode):
-            if c in df.columns:
-                conditions[c] = F.col(c).isNull() & (F.col("_size") - F.col("_pos") - 1 >= K.steps(h))
-    placed = df.select(*conditions, position.alias("_pos"), F.count("*").over(segment).alias("_size"))
-    counts = placed.agg(*[F.count_if(e).alias(c) for c, e in conditions.items()])
-    return unpivot(counts, conditions, "column_name", "n_unexpected")
+    where = _expected(df, mode)
+    placed = with_neighbours(df, where, _neighbour_exists, K.N_LAGS, K.steps(max(K.HORIZONS)), tile_hours)
+    return placed.agg(_missing_counts(where).alias("found")).select(F.inline("found"))
+
+
+def _doubles(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t in ("double", "float")]
+
+
+def _infinite_counts(columns) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_if(
+        F.abs(c) == float("inf")).alias("n_infinite")) for c in columns])
 
 
 def check_infinite(df: DataFrame) -> DataFrame:
     """Infinite values per double column."""
-    doubles = [c for c, t in df.dtypes if t in ("double", "float")]
-    counts = df.agg(*[F.count_if(F.abs(c) == float("inf")).alias(c) for c in doubles])
-    return unpivot(counts, doubles, "column_name", "n_infinite")
+    return df.agg(_infinite_counts(_doubles(df)).alias("found")).select(F.inline("found"))
 
 
 RANGES = (("LAT", K.LAT_BOUNDS, "error"), ("LON", K.LON_BOUNDS, "error"),
@@ -169,44 +222,73 @@ RANGES = (("LAT", K.LAT_BOUNDS, "error"), ("LON", K.LON_BOUNDS, "error"),
           ("LAT", K.TROPICAL_LAT_BOUNDS, "warn"))
 
 
-def check_ranges(df: DataFrame) -> DataFrame:
-    """Values outside physical bounds, with the observed range; the tropical band only warns."""
-    names = [f"{level}_{c}" for c, _, level in RANGES]
-    counts = df.agg(*[F.struct(
+def _range_counts() -> Column:
+    return F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.lit(level).alias("severity"),
         F.lit(low).alias("low"), F.lit(high).alias("high"),
         F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("n_outside"),
-        F.min(c).alias("min_value"), F.max(c).alias("max_value")).alias(name)
-        for name, (c, (low, high), level) in zip(names, RANGES)])
-    return unpivot(counts, names, "k", "s").select("s.*")
+        F.min(c).alias("min_value"), F.max(c).alias("max_value")) for c, (low, high), level in RANGES])
+
+
+def check_ranges(df: DataFrame) -> DataFrame:
+    """Values outside physical bounds, with the observed range; the tropical band only warns."""
+    return df.agg(_range_counts().alias("found")).select(F.inline("found"))
 
 
 # --------------------------------------------------------------------- leakage
+def _leak_columns(df: DataFrame, mode: str) -> tuple[list[str], tuple[str, str]]:
+    return [c for c in K.FEATURES if c in df.columns], K.target_columns(max(K.HORIZONS), mode)
+
+
+def _with_sums(df: DataFrame, mode: str) -> DataFrame:
+    """Marks rows whose features and longest targets are all numbers; ``_sums`` holds the
+    features x, the targets y and all x + y of such a row, whose variances give cov(x, y)."""
+    features, pair = _leak_columns(df, mode)
+    x, y = ([F.col(c).cast("double") for c in names] for names in (features, pair))
+    complete = reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) for v in (*x, *y)])
+    values = [*x, *y, *[v + t for v in x for t in y]]
+    return df.withColumn("_complete", complete).withColumn("_sums", array_to_vector(
+        F.when(F.col("_complete"), F.array(*values)).otherwise(F.array_repeat(F.lit(0.0), len(values)))))
+
+
+def _correlations(df: DataFrame, mode: str) -> Column:
+    """Array of (feature, target, n, r) from the variances, r null where one of them is 0."""
+    features, pair = _leak_columns(df, mode)
+    names, targets = (F.array(*map(F.lit, c)) for c in (features, pair))
+    k, width = len(features), len(pair)
+
+    def one(place):
+        i, j = F.floor(place / width).cast("int"), place % width
+        x, y, both = (F.get("_v", at) for at in (i, j + k, place + k + width))
+        found = (both - x - y) / 2 / F.sqrt(x * y)
+        return F.struct(F.get(names, i).alias("feature"), F.get(targets, j).alias("target"), F.col("_n").alias("n"),
+                        F.when((x > 0) & (y > 0) & ~F.isnan(found), found).alias("r"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k * width - 1)), one)
+
+
 def check_leakage(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
     """Correlation of every feature with both targets at the longest horizon.
 
-    Over complete rows. Features are melted, so the aggregate state is one
-    small row per feature and is combined map-side.
+    Over complete rows; the state is one vector of moments, merged map-side, no copies of rows.
+    Without complete rows there is no group, hence nothing to report.
     """
-    pair = K.target_columns(max(K.HORIZONS), mode)
+    one = _with_sums(df, mode).where("_complete").groupBy("_complete").agg(
+        Summarizer.variance(F.col("_sums")).alias("_variances"), F.count("*").alias("_n"))
+    return one.withColumn("_v", vector_to_array("_variances")).select(
+        F.inline(_correlations(df, mode)))
+
+
+def _usable(df: DataFrame, mode: str) -> dict[int, Column]:
     features = [c for c in K.FEATURES if c in df.columns]
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in features], *pair).na.drop()
-    long = complete.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"))
-                            for c in features])).alias("f"), *pair)
-    found = long.groupBy("f.feature").agg(
-        F.count("*").alias("n"), *[F.corr("f.x", t).alias(t) for t in pair])
-    return found.unpivot(["feature", "n"], list(pair), "target", "r") \
-                .withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
+    return {h: complete & F.col(lat).isNotNull() & F.col(lon).isNotNull()
+            for h in K.HORIZONS for lat, lon in [K.target_columns(h, mode)]}
 
 
 def usable_samples(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
     """Per horizon: complete rows, their storms, and the share of all rows."""
-    features = [c for c in K.FEATURES if c in df.columns]
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
-    per_horizon = F.array_compact(F.array(*[
-        F.when(complete & F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.lit(h))
-        for h in K.HORIZONS for lat, lon in [K.target_columns(h, mode)]]))
+    per_horizon = F.array_compact(F.array(*[F.when(e, F.lit(h)) for h, e in _usable(df, mode).items()]))
     # storms are counted from one row per (storm, horizon), not by a distinct over rows
     per_storm = df.select("SID", F.explode(F.concat(per_horizon, F.array(F.lit(0)))).alias("horizon")) \
                   .groupBy("SID", "horizon").agg(F.count("*").alias("n"))
@@ -223,51 +305,81 @@ def usable_samples(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
 
 
 # ---------------------------------------------------------------- all together
-def findings(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
+def profile(df: DataFrame, mode: str = K.TARGET_MODE, tile_hours: int = tiles.TILE_HOURS) -> DataFrame:
+    """One row: gaps, lags, missing, infinite and ranges, from one window and one aggregate."""
+    pairs, where, doubles = _lag_pairs(df), _expected(df, mode), _doubles(df)
+    columns = dict.fromkeys([*pairs, *[s for s, _ in pairs.values()], *where, *doubles, *[c for c, _, _ in RANGES]])
+    rows = with_neighbours(df, columns, lambda w: _previous(w) | _lags_again(pairs)(w) | _neighbour_exists(w),
+                           K.N_LAGS, K.steps(max(K.HORIZONS)), tile_hours)
+    return rows.agg(F.count_if(_off_cadence()).alias("gaps"), _lag_counts(pairs).alias("lags"),
+                    _missing_counts(where).alias("missing"), _infinite_counts(doubles).alias("infinite"),
+                    _range_counts().alias("ranges"))
+
+
+def occurrences(df: DataFrame, mode: str = K.TARGET_MODE) -> DataFrame:
+    """One row: repeated (SID, ISO_TIME) rows and, per horizon, complete rows and their storms."""
+    usable = _usable(df, mode)
+    per_row = df.groupBy("SID", "ISO_TIME").agg(
+        F.count("*").alias("n"), *[F.count_if(e).alias(f"u{h}") for h, e in usable.items()])
+    per_storm = per_row.groupBy("SID").agg(
+        F.sum(F.col("n") - 1).alias("again"), *[F.sum(f"u{h}").alias(f"u{h}") for h in usable])
+    return per_storm.agg(
+        F.coalesce(F.sum("again"), F.lit(0)).alias("n_duplicates"),
+        F.array(*[F.struct(F.lit(h).alias("horizon"), F.coalesce(F.sum(f"u{h}"), F.lit(0)).alias("usable_rows"),
+                           F.count_if(F.col(f"u{h}") > 0).alias("storms")) for h in usable]).alias("usable"))
+
+
+def _row(check: Column, n: Column, message: Column, level="error") -> Column:
+    """A finding as a struct: a count of 0 is ok, anything else has ``level``."""
+    return F.struct(check.alias("check"), F.when(n > 0, level).otherwise("ok").alias("level"),
+                    message.alias("message"), n.cast("bigint").alias("n"))
+
+
+def findings(df: DataFrame, mode: str = K.TARGET_MODE, tile_hours: int = tiles.TILE_HOURS) -> DataFrame:
     """Every check as rows (check, level, message, n)."""
     key, note = group_key(df)
     text = F.format_string
-    dup = check_duplicates(df)
-    gaps = spacing_gaps(_with_segment(df)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    lags = check_lags(df)
     aligned = check_target_alignment(df, mode)
-    missing, infinite, ranges = check_missing(df, mode), check_infinite(df), check_ranges(df)
     leaks = check_leakage(df, mode).agg(
         F.count_if(F.abs("r") > K.LEAKAGE_CORRELATION).alias("hits"), F.max("n").alias("n_rows"))
-    usable = usable_samples(df, mode)
     few = F.coalesce(F.col("n_rows"), F.lit(0)) < K.LEAKAGE_MIN_ROWS
     leak_level = "warn" if mode == "absolute" else "error"
+    seen = profile(df, mode, tile_hours).select(F.inline(F.concat(
+        F.array(_row(F.lit("spacing"), F.col("gaps"),
+                     text(f"%d gaps inside {key} other than {K.CADENCE_HOURS} h", "gaps"))),
+        F.transform("lags", lambda x: _row(
+            F.concat(F.lit("lag_"), x["column_name"]), x["n_mismatched"] + x["n_crossed"],
+            text("%d mismatches, %d values across a boundary", x["n_mismatched"], x["n_crossed"]))),
+        F.transform("missing", lambda x: _row(
+            F.concat(F.lit("missing_"), x["column_name"]), x["n_unexpected"],
+            text("%d unexpected missing values", x["n_unexpected"]))),
+        F.transform("infinite", lambda x: _row(
+            F.concat(F.lit("infinite_"), x["column_name"]), x["n_infinite"],
+            text("%d infinite values", x["n_infinite"]))),
+        F.transform(F.filter("ranges", lambda x: x["severity"] == "error"), lambda x: _row(
+            F.concat(F.lit("range_"), x["column_name"]), x["n_outside"],
+            text("%d values out of bounds", x["n_outside"]))),
+        F.transform(F.filter("ranges", lambda x: x["severity"] == "warn"), lambda x: _row(
+            F.lit("range_tropical"), x["n_outside"],
+            text("%d rows outside the tropical band", x["n_outside"]), "warn")))))
+    counted = occurrences(df, mode).select(F.inline(F.concat(
+        F.array(_row(F.lit("duplicates"), F.col("n_duplicates"),
+                     text("%d duplicate (SID, ISO_TIME) rows", "n_duplicates"))),
+        F.transform("usable", lambda x: _row(
+            text("usable_%dh", x["horizon"]), F.when(x["usable_rows"] == 0, 1).otherwise(0),
+            text("%d usable rows of %d storms", x["usable_rows"], x["storms"]))))))
     return _union([
-        check_schema(df, mode), note,
-        _finding(dup, F.lit("duplicates"), F.col("n_duplicates"),
-                 text("%d duplicate (SID, ISO_TIME) rows", "n_duplicates")),
-        _finding(gaps, F.lit("spacing"), F.col("n"),
-                 text(f"%d gaps inside {key} other than {K.CADENCE_HOURS} h", "n")),
-        _finding(lags, F.concat(F.lit("lag_"), "column_name"),
-                 F.col("n_mismatched") + F.col("n_crossed"),
-                 text("%d mismatches, %d values across a boundary", "n_mismatched", "n_crossed")),
-        _finding(aligned, text("target_%dh", "horizon"),
-                 F.col("n_unmatched") + F.col("n_mismatched"),
-                 text("%d of %d targets without observation, %d mismatched",
-                      "n_unmatched", "n_targets", "n_mismatched")),
-        _finding(missing, F.concat(F.lit("missing_"), "column_name"), F.col("n_unexpected"),
-                 text("%d unexpected missing values", "n_unexpected")),
-        _finding(infinite, F.concat(F.lit("infinite_"), "column_name"), F.col("n_infinite"),
-                 text("%d infinite values", "n_infinite")),
-        _finding(ranges.where("severity = 'error'"), F.concat(F.lit("range_"), "column_name"),
-                 F.col("n_outside"), text("%d values out of bounds", "n_outside")),
-        _finding(ranges.where("severity = 'warn'"), F.lit("range_tropical"), F.col("n_outside"),
-                 text("%d rows outside the tropical band", "n_outside"), "warn"),
+        check_schema(df, mode), note, seen, counted,
         leaks.select(
             F.lit("leakage").alias("check"),
             F.when(few, "warn").when(F.col("hits") > 0, leak_level).otherwise("ok").alias("level"),
             F.when(few, F.lit("too few complete rows")).otherwise(
                 text(f"%d correlations above {K.LEAKAGE_CORRELATION}", "hits")).alias("message"),
             F.when(few, F.lit(0).cast("bigint")).otherwise(F.col("hits")).alias("n")),
-        _finding(usable, text("usable_%dh", "horizon"),
-                 F.when(F.col("usable_rows") == 0, 1).otherwise(0),
-                 text("%d usable rows of %d storms", "usable_rows", "storms")),
-    ])
+        _finding(aligned, text("target_%dh", "horizon"),
+                 F.col("n_unmatched") + F.col("n_mismatched"),
+                 text("%d of %d targets without observation, %d mismatched",
+                      "n_unmatched", "n_targets", "n_mismatched"))])
 
 
 def validate(df: DataFrame, strict: bool = True, mode: str = K.TARGET_MODE) -> DataFrame:

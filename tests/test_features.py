@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from helpers import SCHEMA, storm
 from pyspark.sql import functions as F
 
 from driftline import constants as K
 from driftline.operators import analysis as A
+from driftline.operators import clean as C
 from driftline.operators import features as E
 from driftline.operators import validate as V
 
@@ -95,6 +97,34 @@ def test_validation_passes_and_finds_damage(tables):
     assert gap["group_key"] == "warn" and gap["spacing"] == "error"
 
 
+def test_validation_of_one_long_segment_by_tiles(spark, tables):
+    """Tiles of a day give what one window over the whole segment gives, damage at their edges included."""
+    long = E.build_features(C.clean(spark.createDataFrame(
+        storm(np.random.default_rng(3), "L", "WP", (12, 150), (0.001, 0.001), n=400), SCHEMA).drop("SEGMENT_ID")))
+    both = long.unionByName(E.build_features(tables["gapped"]), allowMissingColumns=True)
+    hour = F.dayofyear("ISO_TIME") * 24 + F.hour("ISO_TIME")
+    bad = both.withColumns({
+        "LAT_LAG_3": F.when(hour % 42 == 0, F.lit(None)).when(hour % 54 == 0, 1.0).otherwise(F.col("LAT_LAG_3")),
+        "TARGET_DLON_72H": F.when(hour % 66 != 0, F.col("TARGET_DLON_72H"))}).where(hour % 78 != 0)
+    whole, tiled = ({(r.check, r.level, r.message, r.n) for r in V.findings(bad, tile_hours=h).collect()}
+                    for h in (24 * 10000, 24))
+    assert whole == tiled
+    n = {check: n for check, _, _, n in whole}
+    assert n["spacing"] > 0 and n["lag_LAT_LAG_3"] > 0 and n["missing_LAT_LAG_3"] > 0 and n["missing_TARGET_DLON_72H"] > 0
+
+
+def test_leakage_is_the_plain_correlation(tables):
+    df = E.build_features(tables["clean"]).withColumns({
+        "VELOCITY_U": F.col("TARGET_DLAT_72H") * 2 - 1, "WMO_PRES": F.lit(1000.0)})
+    found = {(r.feature, r.target): r.r for r in V.check_leakage(df).collect()}
+    rows = df.select(*K.FEATURES, *K.target_columns(72)).na.drop().toPandas().astype(float)
+    for (x, y), r in found.items():
+        want = np.corrcoef(rows[x], rows[y])[0, 1] if rows[x].std() else None
+        assert (r is None) if want is None else r == pytest.approx(want, abs=1e-9), (x, y)
+    assert found["VELOCITY_U", "TARGET_DLAT_72H"] == pytest.approx(1.0)
+    assert V.check_leakage(df.where("false")).count() == 0
+
+
 def test_missing_column_is_an_error(tables):
     df = E.build_features(tables["single"]).drop("BEARING_SIN")
     assert {r.check: r.n for r in V.check_schema(df).collect()}["schema_features"] == 1

@@ -5,6 +5,7 @@ from helpers import SMALL
 from driftline.operators import clean as C
 from driftline.operators import features as E
 from driftline.operators import metrics as M
+from driftline.operators import validate as V
 from driftline.plans import tables as stages
 from driftline.plans.catalog import QUERIES
 from driftline.sources import tables as R
@@ -43,6 +44,13 @@ def test_metrics_stay_on_the_jvm_and_read_few_columns(spark):
         "horizon:int,", "")
 
 
+def test_validation_reads_the_table_six_times(spark):
+    df = stages.feature_table(spark, SMALL)
+    profile = plan(V.profile(df))
+    assert profile.count("FileScan") == 2 and profile.count("BatchEvalPython") == 0  # rows and halo
+    assert plan(V.findings(df)).count("FileScan") == 6
+
+
 def test_one_lead_time_reads_one_partition(spark, tmp_path):
     from driftline.operators.forecast import product_columns
     path = str(tmp_path / "pred")
