@@ -33,6 +33,8 @@ def _ranks_in_bins(hist: DataFrame, keys, inner, bin_col: str, wanted: Column) -
 #: A window orders at most this many rows of one bin, and a bin is cut into so many.
 MAX_BIN_ROWS = 100_000
 CUTS = 1024
+#: Width of the first histogram: 50 m where the values are km.
+BIN_WIDTH = 0.05
 
 
 def _hits(found: DataFrame, cell) -> DataFrame:
@@ -43,8 +45,43 @@ def _hits(found: DataFrame, cell) -> DataFrame:
         F.first("_total").alias("_total")).drop("_bin"))
 
 
+def _span(weight: Column) -> list[Column]:
+    return [F.sum(weight).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+
+def _values(df: DataFrame, groups, value: str, weight: str | None = None) -> DataFrame:
+    """The group columns, the value ``_v`` and its weight ``_w``; rows without a value are left out."""
+    number = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    base = df.select(*groups, F.col(value).cast("double").alias("_v"), number.alias("_w"))
+    base = base.where(F.col("_v").isNotNull())  # NaN became NULL at the scan
+    return base if groups else base.withColumn("_all", F.lit(1))
+
+
+def fine_bin(value: Column, width: float) -> Column:
+    return F.floor(value / F.lit(width))
+
+
+def fine_bins(df: DataFrame, groups, value: str, width: float = BIN_WIDTH) -> DataFrame:
+    """Rows, smallest and largest value and sum per group and bin of ``width``; combined map-side."""
+    rows = _values(df, list(groups), value)
+    return rows.groupBy(*(list(groups) or ["_all"]), fine_bin(F.col("_v"), width).alias("_bin")).agg(
+        *_span(F.col("_w")), F.sum("_v").alias("_sum"))
+
+
+def bins_of_ranks(bins: DataFrame, groups, quantiles) -> DataFrame:
+    """The bins that hold the ranks a linear interpolation of ``quantiles`` looks at, one row per rank."""
+    keys = list(groups) or ["_all"]
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    positions = F.array(*[F.lit(q) * (F.col("_total") - 1) for q in quantiles])
+    wanted = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)),
+                                       F.transform(positions, lambda p: F.ceil(p))))
+    counted = bins.withColumns({"_total": total, "_base": F.lit(0).cast("bigint")})
+    return _ranks_in_bins(counted, keys, [], "_bin", wanted)
+
+
 def exact_percentiles(df: DataFrame, groups, value: str, quantiles: dict[str, float],
-                      width: float = 0.05, max_bin_rows: int = MAX_BIN_ROWS) -> DataFrame:
+                      width: float = BIN_WIDTH, max_bin_rows: int = MAX_BIN_ROWS,
+                      bins: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Linear-interpolated percentiles per group, exact at any group size.
 
     The built-in ``percentile`` merges all distinct values of a group in one
@@ -59,22 +96,17 @@ def exact_percentiles(df: DataFrame, groups, value: str, quantiles: dict[str, fl
     The bins that were hit (at most two per group and quantile) are checkpointed
     between the passes, so jobs run while the plan is built, and ``df`` is read
     once per pass: pass a written table, and ``groups`` that are report keys
-    (model, lead, basin, class), not entities.
+    (model, lead, basin, class), not entities. Who has the histogram of all rows
+    already passes it as ``bins``; ``df`` then needs only the rows of the bins that
+    were hit, and may hold each value once with its number of rows in ``weight``.
     """
     groups = list(groups)
     keys = groups or ["_all"]
-    base = df.select(*groups, F.col(value).cast("double").alias("_v"))
-    base = base.where(F.col("_v").isNotNull())  # NaN became NULL at the scan
-    base = base if groups else base.withColumn("_all", F.lit(1))
-    span = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    positions = F.array(*[F.lit(q) * (F.col("_total") - 1) for q in quantiles.values()])
-    wanted = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)),
-                                       F.transform(positions, lambda p: F.ceil(p))))
-    bins = base.groupBy(*keys, F.floor(F.col("_v") / F.lit(width)).alias("_bin")).agg(*span)
-    bins = bins.withColumns({"_total": total, "_base": F.lit(0).cast("bigint")})
-    hit = _hits(_ranks_in_bins(bins, keys, [], "_bin", wanted), [*keys, "_bin"])
+    base = _values(df, groups, value, weight)
+    span = _span(F.col("_w"))
+    if bins is None:
+        bins = fine_bins(df, groups, value, width)
+    hit = _hits(bins_of_ranks(bins, groups, quantiles.values()), [*keys, "_bin"])
 
     def inside():
         """Rows in the range of a hit bin, with the bin; a group has a few bins."""
@@ -94,7 +126,7 @@ def exact_percentiles(df: DataFrame, groups, value: str, quantiles: dict[str, fl
         hit = _hits(found, [*keys, "_from", "_bin"]).drop("_from")
 
     values = inside().groupBy(*keys, "_lo", "_v").agg(
-        F.count("*").alias("_n"), F.first("_wanted").alias("_wanted"), F.first("_base").alias("_base"),
+        F.sum("_w").alias("_n"), F.first("_wanted").alias("_wanted"), F.first("_base").alias("_base"),
         F.first("_total").alias("_total"))
     at = _ranks_in_bins(values, keys, ["_lo"], "_v", F.col("_wanted"))
 

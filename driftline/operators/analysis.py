@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from driftline import constants as K
 from driftline.functions import geo
-from driftline.functions.order_stats import (exact_percentiles, hash_order, ordered_rank,
-                                             row_hash, same_keys)
+from driftline.functions.joins import broadcast_if_small
+from driftline.functions.order_stats import (BIN_WIDTH, bins_of_ranks, exact_percentiles, fine_bin, fine_bins,
+                                             hash_order, ordered_rank, row_hash, same_keys)
 from driftline.functions.times import hours_between
 from driftline.operators.metrics import with_percentiles
+from driftline.session import cut_lineage
 
 THIN_BUCKETS = 1024
 
@@ -145,11 +147,50 @@ def box_stats(rows: DataFrame, groups, min_rows: int = 1) -> DataFrame:
 
 
 def error_distribution(rows: DataFrame, groups=("model", "LEAD_HOURS"), bins: int = 60) -> DataFrame:
-    """Histogram of the error per group, with mean, median and 90th percentile."""
-    stats = with_percentiles(rows.groupBy(*groups).agg(F.avg("ERROR_KM").alias("mean_km")), rows,
-                             groups, {"median_km": 0.5, "p90_km": 0.9})
-    counted = histogram(rows, "ERROR_KM", bins, groups)
-    return counted.join(stats, list(groups))
+    """Histogram of the error per group, with mean, median and 90th percentile.
+
+    Two scans. The first counts bins of 50 m, which give the mean, the range and all
+    bins of the figure but those that an edge of the figure cuts. The second takes the
+    values of the cut bins and of the bins that hold a wanted percentile: at most
+    ``bins`` + 3 small bins per group.
+    """
+    groups = list(groups)
+    quantiles = {"median_km": 0.5, "p90_km": 0.9}
+    fine = cut_lineage(fine_bins(rows, groups, "ERROR_KM"))
+    stats = fine.groupBy(*groups).agg((F.sum("_sum") / F.sum("_n")).alias("mean_km"),
+                                      F.min("_lo").alias("_from"), F.max("_hi").alias("_to"))
+    scale = F.broadcast(stats).alias("s")  # one row per group of the report
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the limits of the group."""
+        return df.alias("d").join(scale, same_keys("d", "s", groups)).select("d.*", "s._from", "s._to")
+
+    width = (F.col("_to") - F.col("_from")) / bins
+
+    def index(value: str) -> Column:
+        inside = F.least(F.floor((F.col(value) - F.col("_from")) / width), F.lit(bins - 1))
+        return F.when(width > 0, inside).otherwise(0).cast("int")
+
+    # the place in the figure grows with the value, so equal ends mean a whole bin
+    ends = cut_lineage(placed(fine).withColumns({"bin": index("_lo"), "_last": index("_hi")}))
+    cut = F.col("bin") != F.col("_last")
+    wanted = ends.where(cut).select(*groups, "_bin").unionByName(
+        bins_of_ranks(fine, groups, quantiles.values()).select(*groups, "_bin")).distinct()
+    error = F.col("ERROR_KM").cast("double")
+    values = rows.where(error.isNotNull()).select(*groups, error.alias("_v"), fine_bin(error, BIN_WIDTH).alias("_bin"))
+    few = broadcast_if_small(cut_lineage(wanted)).alias("w")
+    values = cut_lineage(values.alias("d").join(few, same_keys("d", "w", [*groups, "_bin"]), "left_semi")
+                         .groupBy(*groups, "_bin", "_v").agg(F.count("*").alias("_n")))
+    cut_bins = ends.where(cut).select(*groups, "_bin").alias("c")
+    of_cut = values.alias("v").join(cut_bins, same_keys("v", "c", [*groups, "_bin"]), "left_semi")
+    counted = ends.where(~cut).select(*groups, "bin", "_n").unionByName(
+        placed(of_cut).select(*groups, index("_v").alias("bin"), "_n")).groupBy(*groups, "bin").agg(F.sum("_n").alias("n"))
+    found = exact_percentiles(values, groups, "_v", quantiles, bins=fine, weight="_n")
+    out = placed(counted).select(
+        *groups, "bin", (F.col("_from") + F.col("bin") * width).alias("left_edge"),
+        (F.col("_from") + (F.col("bin") + 1) * width).alias("right_edge"), "n")
+    report = stats.select(*groups, "mean_km").join(F.broadcast(found), groups)
+    return out.join(F.broadcast(report), groups)
 
 
 def cumulative_within(rows: DataFrame, horizon: int = K.DEFAULT_HORIZON,

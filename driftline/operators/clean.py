@@ -116,6 +116,13 @@ def sort_storms(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("SID", "ISO_TIME").sortWithinPartitions("SID", "ISO_TIME")
 
 
+def most_complete(columns, input_order: str | None = None) -> Column:
+    """What orders the rows of one (SID, ISO_TIME): missing numbers, then the other columns."""
+    rest = [c for c in columns if c not in ("SID", "ISO_TIME")]
+    first = [input_order] if input_order else []
+    return F.struct(null_count().alias("_nulls"), *first, *[c for c in rest if c not in first])
+
+
 def dedupe_most_complete(df: DataFrame, input_order: str | None = None) -> DataFrame:
     """One row per (SID, ISO_TIME): fewest missing numbers wins.
 
@@ -125,10 +132,7 @@ def dedupe_most_complete(df: DataFrame, input_order: str | None = None) -> DataF
     does not depend on the partitioning.
     """
     keys = ["SID", "ISO_TIME"]
-    rest = [c for c in df.columns if c not in keys]
-    first = [input_order] if input_order else []
-    ranked = F.struct(null_count().alias("_nulls"), *first, *[c for c in rest if c not in first])
-    best = df.groupBy(*keys).agg(F.min(ranked).alias("_best"))
+    best = df.groupBy(*keys).agg(F.min(most_complete(df.columns, input_order)).alias("_best"))
     return best.select(*[c if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
@@ -265,17 +269,64 @@ def clean(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES,
     return filter_short_segments(segments, min_rows, tile_hours)
 
 
+# the same chain with its counts: raw rows are read once and written by outcome
+ROW_STAGES = ("track_type", "season", "valid_time", "coordinates", "nature")
+
+
+def screen(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES) -> DataFrame:
+    """Raw rows by what becomes of them: (outcome, n_raw, SID, ISO_TIME, best).
+
+    ``outcome`` is the first stage of ``ROW_STAGES`` that refuses a row. Refused rows
+    are only counted, in one row per stage. Rows that pass have no outcome and are one
+    row per (SID, ISO_TIME) as in ``dedupe_most_complete``. One aggregate, combined
+    map-side; write its result, then ``clean_screened`` and ``retention_funnel`` read
+    that table and the raw rows are read once.
+    """
+    dtypes = dict(raw.dtypes)
+    typed = select_columns(raw.withColumn("SEASON", season_number()))
+    typed = normalize_longitude(typed.withColumns({
+        **{c: _as_number(c, dtypes[c]) for c in K.NUMERIC_COLUMNS},
+        "ISO_TIME": _as_time("ISO_TIME", dtypes["ISO_TIME"])}))
+    tests = (is_track_type(), F.col("SEASON") >= start_year, F.col("ISO_TIME").isNotNull(),
+             has_valid_position(), is_nature(natures))
+    refused = F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name))
+                           for name, test in zip(ROW_STAGES, tests)])
+    passed = F.col("outcome").isNull()
+    rows = typed.withColumn("outcome", refused)
+    return rows.groupBy("outcome", F.when(passed, F.col("SID")).alias("SID"),
+                        F.when(passed, F.col("ISO_TIME")).alias("ISO_TIME")).agg(
+        F.count("*").alias("n_raw"),
+        F.min(F.when(passed, most_complete(typed.columns))).alias("best"))
+
+
+def clean_screened(screened: DataFrame, min_rows: int = K.MIN_SEGMENT_ROWS,
+                   tile_hours: int | None = None) -> DataFrame:
+    """``clean`` from the table that ``screen`` made."""
+    return filter_short_segments(segments_screened(screened, tile_hours), min_rows, tile_hours)
+
+
+def segments_screened(screened: DataFrame, tile_hours: int | None = None) -> DataFrame:
+    """``to_segments`` from the table that ``screen`` made."""
+    unique = screened.where("outcome IS NULL").select(*[
+        c if c in ("SID", "ISO_TIME") else F.col(f"best.{c}").alias(c) for c in K.REQUIRED_COLUMNS])
+    filled = ffill_causal(filter_synoptic(unique), tile_hours=tile_hours)
+    return assign_segments(drop_missing_intensity(filled), tile_hours=tile_hours)
+
+
 # ------------------------------------------------------------------ summaries
 def unpivot(one_row: DataFrame, columns, name: str, value: str) -> DataFrame:
     """One row of many columns to one row per column."""
     return one_row.unpivot([], list(columns), name, value)
 
 
-def cleaning_summary(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
-    """Headline counts. Segment lengths are aggregated first, then summarised."""
+def cleaning_summary(cleaned: DataFrame, screened: DataFrame) -> DataFrame:
+    """Headline counts of a cleaned table and the table that ``screen`` made of the same raw rows.
+
+    Segment lengths are aggregated first, then summarised.
+    """
     segments = cleaned.groupBy("SID", "SEGMENT_ID").agg(
         F.count("*").alias("n"), F.min("SEASON").alias("lo"), F.max("SEASON").alias("hi"))
-    raw_rows = raw.agg(F.count("*")).scalar()
+    raw_rows = screened.agg(F.coalesce(F.sum("n_raw"), F.lit(0))).scalar()
     rows = F.sum("n")
     return segments.agg(
         raw_rows.alias("raw_rows"),
@@ -290,38 +341,30 @@ def cleaning_summary(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
-FUNNEL_STAGES = ("raw", "track_type", "season", "valid_time", "coordinates", "nature",
-                 "unique", "synoptic", "intensity", "segment_length")
+FUNNEL_STAGES = ("raw", *ROW_STAGES, "unique", "synoptic", "intensity", "segment_length")
 
 
-def retention_funnel(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.NATURES,
-                     min_rows: int = K.MIN_SEGMENT_ROWS) -> DataFrame:
-    """Rows left after every cleaning stage.
+def retention_funnel(screened: DataFrame, min_rows: int = K.MIN_SEGMENT_ROWS) -> DataFrame:
+    """Rows left after every cleaning stage, from the table that ``screen`` made.
 
-    Row-level stages are cumulative booleans counted in one scan; the later
-    stages are counted where their window or aggregate ends.
+    Its counts give the row-level stages; unique and synoptic rows are counted
+    beside them, the last stages where their window ends.
     """
-    dtypes = dict(raw.dtypes)
-    typed = raw.select(
-        "TRACK_TYPE", "NATURE", season_number().alias("SEASON"),
-        _as_time("ISO_TIME", dtypes["ISO_TIME"]).alias("ISO_TIME"),
-        _as_number("LAT", dtypes["LAT"]).alias("LAT"),
-        geo.wrap_degrees(_as_number("LON", dtypes["LON"])).alias("LON"))
-    tests = [is_track_type(), F.col("SEASON") >= start_year, F.col("ISO_TIME").isNotNull(),
-             has_valid_position(), is_nature(natures)]
-    passed, counts = F.lit(True), [F.count("*").alias("raw")]
-    for stage, test in zip(FUNNEL_STAGES[1:6], tests):
-        passed = passed & test
-        counts.append(F.count_if(passed).alias(stage))
-    unique = to_unique_observations(raw, start_year, natures).agg(
-        F.count("*").alias("unique"), F.count_if(is_synoptic()).alias("synoptic"))
-    sized = to_segments(raw, start_year, natures).groupBy("SID", "SEGMENT_ID") \
-        .agg(F.count("*").alias("n"))
-    ends = sized.agg(F.sum("n").alias("intensity"),
-                     F.sum(F.when(F.col("n") >= min_rows, F.col("n")).otherwise(0))
-                      .alias("segment_length"))
-    parts = [(typed.agg(*counts), FUNNEL_STAGES[:6]), (unique, FUNNEL_STAGES[6:8]),
-             (ends, FUNNEL_STAGES[8:])]
+    passed = F.col("outcome").isNull()
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, ROW_STAGES)), F.col("outcome")),
+                       F.lit(len(ROW_STAGES) + 1))
+
+    def left(stage_no: int) -> Column:
+        return F.coalesce(F.sum(F.when(place > stage_no, F.col("n_raw"))), F.lit(0))
+
+    first = screened.agg(*[left(i).alias(name) for i, name in enumerate(("raw", *ROW_STAGES))],
+                         F.count_if(passed).alias("unique"),
+                         F.count_if(passed & is_synoptic()).alias("synoptic"))
+    sized = segments_screened(screened).groupBy("SID", "SEGMENT_ID").agg(F.count("*").alias("n"))
+    long_enough = F.when(F.col("n") >= min_rows, F.col("n"))
+    ends = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("intensity"),
+                     F.coalesce(F.sum(long_enough), F.lit(0)).alias("segment_length"))
+    parts = [(first, FUNNEL_STAGES[:8]), (ends, FUNNEL_STAGES[8:])]
     long = reduce(DataFrame.unionByName,
                   [unpivot(df, names, "stage", "n_rows") for df, names in parts])
     position = F.array_position(F.array(*[F.lit(s) for s in FUNNEL_STAGES]), F.col("stage"))
@@ -329,16 +372,15 @@ def retention_funnel(raw: DataFrame, start_year: int = K.START_YEAR, natures=K.N
     numbered = long.withColumn("stage_no", position.cast("int"))
     everything = F.collect_list(F.struct("stage_no", "n_rows"))
     stages = numbered.groupBy().agg(F.sort_array(everything).alias("s"))
+    n, before, raw_rows = F.col("cur.n_rows"), F.get("s", F.col("i") - 1)["n_rows"], F.get("s", F.lit(0))["n_rows"]
+    # shares of nothing: none removed, none known to be kept
     return stages.select(F.posexplode("s").alias("i", "cur"), "s").select(
         F.get(F.array(*[F.lit(s) for s in FUNNEL_STAGES]), F.col("i")).alias("stage"),
         F.col("cur.stage_no").alias("stage_no"),
-        F.col("cur.n_rows").alias("n_rows"),
-        F.coalesce(F.get("s", F.col("i") - 1)["n_rows"] - F.col("cur.n_rows"), F.lit(0))
-         .alias("n_removed"),
-        F.round(F.coalesce((F.get("s", F.col("i") - 1)["n_rows"] - F.col("cur.n_rows"))
-                           / F.get("s", F.col("i") - 1)["n_rows"] * 100, F.lit(0.0)), 4)
-         .alias("removed_pct"),
-        F.round(F.col("cur.n_rows") / F.get("s", F.lit(0))["n_rows"] * 100, 4).alias("kept_pct"))
+        n.alias("n_rows"),
+        F.coalesce(before - n, F.lit(0)).alias("n_removed"),
+        F.round(F.coalesce(F.try_divide(before - n, before) * 100, F.lit(0.0)), 4).alias("removed_pct"),
+        F.round(F.try_divide(n, raw_rows) * 100, 4).alias("kept_pct"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

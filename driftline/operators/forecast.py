@@ -92,25 +92,25 @@ def forecast_recursive(starts: DataFrame, observed: DataFrame,
                        checkpoint_every: int = 3) -> DataFrame:
     """Feed a 6-hour forecast back ``n_steps`` times, for all start rows at once.
 
-    ``predict`` adds PRED_Y_LAT / PRED_Y_LON (displacements). The state is
-    checkpointed in the shared folder every few steps, so the plan stays short
-    and a lost executor does not restart the roll-out.
+    ``predict`` adds PRED_Y_LAT / PRED_Y_LON (displacements) and keeps the other
+    columns. The state is one row per start: its features and the track so far as
+    an array, which is exploded once at the end, so every step is predicted once.
+    It is checkpointed in the shared folder every few steps and after the last, so
+    the plan stays short and a lost executor does not restart the roll-out.
     """
-    state = starts.select("SID", F.col("ISO_TIME").alias("ISSUE_TIME"), *K.FEATURES)
-    parts = []
+    point = "struct<LEAD_HOURS: int, PRED_LAT: double, PRED_LON: double>"
+    state = starts.select("SID", F.col("ISO_TIME").alias("ISSUE_TIME"), *K.FEATURES,
+                          F.array().cast(f"array<{point}>").alias("TRACK"))
     for step in range(1, n_steps + 1):
-        predicted = predict(state)
         lat, lon = geo.offset_position("LAT", "LON", "PRED_Y_LAT", "PRED_Y_LON")
-        state = predicted.withColumns({"_lat": lat, "_lon": lon})
-        state = advance_features(state, F.col("_lat"), F.col("_lon")) \
-            .select("SID", "ISSUE_TIME", *K.FEATURES)
-        if step % checkpoint_every == 0:
+        moved = predict(state).withColumns({"_lat": lat, "_lon": lon})
+        here = F.struct(F.lit(step * K.CADENCE_HOURS), "_lat", "_lon").cast(point)
+        moved = moved.withColumn("TRACK", F.array_append("TRACK", here))
+        state = advance_features(moved, F.col("_lat"), F.col("_lon")) \
+            .select("SID", "ISSUE_TIME", *K.FEATURES, "TRACK")
+        if step % checkpoint_every == 0 or step == n_steps:
             state = cut_lineage(state)
-        parts.append(state.select("SID", "ISSUE_TIME", F.lit(step * K.CADENCE_HOURS).alias("LEAD_HOURS"),
-                                  F.col("LAT").alias("PRED_LAT"), F.col("LON").alias("PRED_LON")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = state.select("SID", "ISSUE_TIME", F.inline("TRACK"))
     out = out.withColumn("VALID_TIME", plus_hours("ISSUE_TIME", F.col("LEAD_HOURS")))
     return verify_forecast(out, observed)
 

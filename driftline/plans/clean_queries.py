@@ -8,6 +8,7 @@ from driftline import constants as K
 from driftline.operators import clean as C
 from driftline.plans.registry import query, rounded
 from driftline.plans.sql import r, rs, with_clean, with_raw
+from driftline.plans.stages import stage
 from driftline.sources.synthetic import raw_tracks
 
 RAW_TEXT = ("WMO_WIND", "WMO_PRES", "STORM_SPEED", "STORM_DIR", "DIST2LAND")
@@ -46,6 +47,10 @@ def cleaned(spark, sf):
     return C.clean(raw_tracks(spark, sf))
 
 
+def screened(spark, sf):
+    return stage(spark, sf, "screened", lambda: C.screen(raw_tracks(spark, sf)))
+
+
 @query("raw_tracks", with_raw(f"{RAW_SELECT} FROM raw"))
 def _(spark, sf):
     return rounded(raw_tracks(spark, sf))
@@ -179,7 +184,8 @@ def _(spark, sf):
     FROM (SELECT SID, SEGMENT_ID, count(*) AS n, min(SEASON) AS lo, max(SEASON) AS hi
       FROM clean GROUP BY ALL)"""))
 def _(spark, sf):
-    return C.cleaning_summary(cleaned(spark, sf), raw_tracks(spark, sf))
+    rows = screened(spark, sf)
+    return C.cleaning_summary(C.clean_screened(rows), rows)
 
 
 @query("retention_funnel", with_clean(
@@ -193,7 +199,7 @@ def _(spark, sf):
             C.FUNNEL_STAGES, ("raw", "s_type", "s_season", "s_typed", "s_coord", "s_nature",
                               "s_unique", "s_syn", "s_seg", "clean")), 1)) + "))"))
 def _(spark, sf):
-    return C.retention_funnel(raw_tracks(spark, sf))
+    return C.retention_funnel(screened(spark, sf))
 
 
 @query("clean", with_clean(f"{TYPED_SELECT}, SEGMENT_ID FROM clean"))

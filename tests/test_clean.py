@@ -100,3 +100,40 @@ def test_schema_of_the_chain(spark, tables):
     raw = tables["clean"].drop("SEGMENT_ID")
     out = C.clean(raw)
     assert out.count() == 104 and set(out.columns) == {c.split()[0] for c in SCHEMA.split(", ")}
+
+
+def test_screened_rows_give_the_chain_and_its_counts(spark, tables):
+    raw = tables["clean"].drop("SEGMENT_ID").withColumn("TRACK_TYPE", F.lit(" Main "))
+    first = raw.where("SID = 'A'").limit(1)
+    odd = [first.withColumn(c, F.lit(v).cast(dict(raw.dtypes)[c])) for c, v in (
+        ("TRACK_TYPE", "spur"), ("TRACK_TYPE", None), ("SEASON", None), ("SEASON", 1900), ("ISO_TIME", None),
+        ("LAT", 95.0), ("LON", None), ("NATURE", "ET"), ("NATURE", None), ("WMO_WIND", None), ("SID", None),
+        ("ISO_TIME", "2019-08-01 03:00:00"), ("ISO_TIME", "2019-08-01 03:30:00"))]
+    for row in odd:
+        raw = raw.unionByName(row)
+    rows = C.screen(raw.repartition(5)).cache()
+    chain = C.clean_screened(rows)
+    assert chain.exceptAll(C.clean(raw)).count() == 0 and chain.count() == C.clean(raw).count() == 104
+    funnel = {r.stage: r.n_rows for r in C.retention_funnel(rows).collect()}
+    assert funnel == {"raw": 117, "track_type": 115, "season": 113, "valid_time": 112, "coordinates": 110, "nature": 108,
+                      "unique": 107, "synoptic": 105, "intensity": 105, "segment_length": 104}
+    summary = C.cleaning_summary(chain, rows).first()
+    assert (summary.raw_rows, summary.clean_rows, summary.storms) == (117, 104, 4)
+    none = C.retention_funnel(C.screen(raw.limit(0))).collect()
+    assert len(none) == 10 and all(r.n_rows == 0 for r in none)
+
+
+def test_counts_of_the_chain_read_raw_rows_once(spark, tables, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    raw = tables["clean"].drop("SEGMENT_ID").withColumn("LAT", counted.asNondeterministic()("LAT"))
+    path = str(tmp_path / "screened")
+    C.screen(raw).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert C.retention_funnel(rows).count() == 10 and C.cleaning_summary(C.clean_screened(rows), rows).count() == 1
+    assert seen.value == 104

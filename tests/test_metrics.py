@@ -112,3 +112,34 @@ def test_thinning_keeps_exactly_n(spark):
     df = scored(spark, np.arange(9000.0)).withColumn("LEAD_HOURS", F.lit(24))
     assert A.thin(df, ["model"], 500, 42).count() == 500
     assert A.thin(df, ["model"], 50000, 42).count() == 9000
+
+
+def test_error_distribution_equals_numpy_in_two_scans(spark):
+    rng = np.random.default_rng(12)
+    groups = {"gamma": rng.gamma(2, 60, 3001), "edges": np.arange(0, 61, 0.5), "same": np.full(40, 3.0),
+              "hot": np.append(np.full(2000, 10.0), [0.0, 60.0])}
+    pdf = pd.concat([pd.DataFrame({"model": k, "LEAD_HOURS": 24, "e": v}) for k, v in groups.items()])
+    pdf = pd.concat([pdf, pd.DataFrame({"model": ["same"], "LEAD_HOURS": [24], "e": [None]})])
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame(pdf, "model string, LEAD_HOURS int, e double").repartition(5).select(
+        "model", "LEAD_HOURS", counted.asNondeterministic()("e").alias("ERROR_KM"))
+    rows = A.error_distribution(df).collect()
+    assert seen.value == 2 * len(pdf)
+    for name, values in groups.items():
+        got = sorted((r for r in rows if r.model == name), key=lambda r: r.bin)
+        if name == "same":
+            assert [(r.bin, r.n, r.left_edge, r.right_edge) for r in got] == [(0, 40, 3.0, 3.0)]
+        else:
+            want, edges = np.histogram(values, 60)
+            assert {r.bin: r.n for r in got} == {i: n for i, n in enumerate(want) if n}
+            assert all(r.left_edge == pytest.approx(edges[r.bin]) for r in got)
+        assert got[0].mean_km == pytest.approx(values.mean())
+        assert got[0].median_km == pytest.approx(np.median(values))
+        assert got[0].p90_km == pytest.approx(np.percentile(values, 90))
+    assert A.error_distribution(df.limit(0)).count() == 0

@@ -155,6 +155,24 @@ def test_rollout_of_constant_motion_is_a_straight_line(spark, tables):
     assert len(got) == 12 and max(r.ERROR_KM for r in got) < 1e-6
 
 
+@pytest.mark.parametrize("n_steps", [12, 4])
+def test_rollout_predicts_each_step_once(spark, tables, n_steps):
+    df = E.build_features(tables["clean"])
+    start = cut_lineage(T.first_usable_rows(df.na.drop(subset=["BEARING_CHANGE_2", "DELTA_LAT_MEAN_24H"])))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    predict = lambda d: d.withColumns({"PRED_Y_LAT": counted("DELTA_LAT"), "PRED_Y_LON": F.col("DELTA_LON")})
+    got = T.forecast_recursive(start, df, predict, n_steps)
+    assert got.count() == got.count() == 4 * n_steps and seen.value == 4 * n_steps
+    steps = {r.SID: r.s for r in got.groupBy("SID").agg(F.sort_array(F.collect_list("LEAD_HOURS")).alias("s")).collect()}
+    assert all(s == [6 * k for k in range(1, n_steps + 1)] for s in steps.values()) and len(steps) == 4
+
+
 def test_requests_are_scored(spark, forest):
     checked = V.validate_requests(requests(spark))
     live = E.live_features(checked.where("accepted"), F.lit("2024-09-01").cast("timestamp_ntz"))
