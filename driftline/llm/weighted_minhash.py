@@ -47,6 +47,10 @@ SLOTS = 1 << 12
 CHUNK = 512
 #: A member whose estimate to the head of its bucket is below this gets another head.
 UNRELATED = 0.35
+#: Least estimate of a pair at ``MIN_SIMILARITY`` that is provided for: with 100 samples, one pair in 10,000 is below.
+LEAST_ESTIMATE = 0.65
+#: A member at or above this cannot be so near to one below ``UNRELATED``; the others look for a further head as well.
+SETTLED = UNRELATED + 1 - LEAST_ESTIMATE
 BLOCK_ROWS = 1024
 BLOCK_WORDS = 2_000_000
 PACK_ROWS = 256
@@ -175,7 +179,10 @@ def candidate_links(reps: DataFrame, rounds: int = 3) -> DataFrame:
 
     Every member is linked to the head of its bucket if they seem related.
     Members that are not get a head among themselves; after some rounds the
-    rest is linked to its head as it is, so no candidate is lost.
+    rest is linked to its head as it is, so no candidate is lost. Two texts
+    differ in at least as many samples as one agrees more often with the head
+    than the other, so a pair that one head would part has its better member
+    below ``SETTLED``: such members are linked and get a further head too.
     """
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(F.slice("signature", i * ROWS + 1, ROWS)).alias("hash"))))
@@ -183,10 +190,15 @@ def candidate_links(reps: DataFrame, rounds: int = 3) -> DataFrame:
     found = None
     for turn in range(rounds):
         links = rows.filter("id <> head").select("id", "head").distinct()
-        near = written(estimated(links, reps).filter(F.col("estimate") >= UNRELATED).select("id", "head"), "near")
-        found = near if found is None else found.unionByName(near)
-        left = rows.filter("id <> head").join(near, ["id", "head"], "left_anti").select("band", "hash", "id")
-        rows = written(heads(left), "buckets")
+        near = written(estimated(links, reps).filter(F.col("estimate") >= UNRELATED), "near")
+        linked = near.select("id", "head")
+        found = linked if found is None else found.unionByName(linked)
+        settled = near.filter(F.col("estimate") >= SETTLED).select("id", "head")
+        open_rows = written(rows.filter("id <> head").join(settled, ["id", "head"], "left_anti"), "open")
+        # a bucket whose members are all linked to its head parts no pair
+        parted = open_rows.join(linked, ["id", "head"], "left_anti").select("band", "hash").distinct()
+        rows = written(heads(open_rows.join(parted, ["band", "hash"], "left_semi").select("band", "hash", "id")),
+                       "buckets")
         if rows.isEmpty():
             return found.distinct()
     return found.unionByName(rows.filter("id <> head").select("id", "head")).distinct()

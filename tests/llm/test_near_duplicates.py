@@ -83,6 +83,31 @@ def test_minhash_equals_brute_force(spark, monkeypatch, block_rows):
     assert all(r.kept == (i == r.class_id) for i, r in got.items())
 
 
+def test_minhash_parts_no_pair_that_shares_a_passage_with_many(spark):
+    """Texts around a common passage, in pairs that straddle the estimate to the head of their buckets."""
+    rng, texts = random.Random(15), {}
+    passage = [f"common{k}" for k in range(120)]
+    for own in range(40, 360, 8):
+        tail = [f"own{own}x{k}" for k in range(own)]
+        for share in (1.0, 0.9):  # the second is shorter, so it agrees more often with the passage
+            texts[len(texts)] = " ".join(passage + tail[:int(own * share)])
+    for _ in range(60):
+        texts[len(texts)] = " ".join(passage + [f"other{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))])
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(df).select("row.doc_id", "class_id").collect()}
+    want, links = brute_classes(texts)
+    assert len(links) > 30 and got == want
+
+
+def test_no_head_parts_a_similar_pair(spark):
+    """2 and 3 agree in 78 samples but meet only in buckets of head 0, to which 2 alone seems related."""
+    two = [-1] * 40 + list(range(60))
+    three = [-1] * 30 + list(range(100, 110)) + [k if k % 5 else 200 + k for k in range(60)]
+    reps = spark.createDataFrame([(0, [-1] * 100), (2, two), (3, three)], "id long, signature array<int>")
+    links = {tuple(r) for r in weighted_minhash.candidate_links(reps).select("id", "head").collect()}
+    assert links == {(2, 0), (3, 2)}
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(8)
     idf = np.ones(weighted_minhash.IDF_BUCKETS)
