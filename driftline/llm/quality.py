@@ -18,8 +18,8 @@ Defined results:
 * very long texts: linear in their length; repeated rows, empty tables: row by row;
 * columns of the input named like an output: kept inside ``row``.
 
-The fit reads at most ``MAX_PER_CLASS`` labelled documents of each class and
-``PAIRS`` opponents for each; everything else covers all rows.
+The fit reads every document whose label may be learned from, with ``PAIRS``
+opponents for each; the cut is an exact quantile over all of them.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.samples import agreed_labels, fold, labelled_sample
+from driftline.functions.order_stats import exact_percentiles, ordered_rank
+from driftline.llm.samples import fold, labelled_documents
 from driftline.llm.tables import packed, written
 
-MAX_PER_CLASS = 4000
 PAIRS = 4
 CUT_SCORE = 0.7
 SCALE = 4.0
@@ -89,12 +89,11 @@ def features(texts: pa.Array) -> pa.Array:
 def preference_pairs(sample: DataFrame) -> DataFrame:
     """(features, label) of pairs: the good less the bad document, every second one mirrored.
 
-    ``sample`` has (doc_id, label, features), bounded per class. Each document
-    meets ``PAIRS`` of the other class, at steps through their hash order.
+    ``sample`` has (doc_id, label, features). Each document of the larger class
+    meets ``PAIRS`` of the other, at steps through their hash order.
     """
-    place = F.row_number().over(Window.partitionBy("label").orderBy(
-        F.xxhash64(F.col("doc_id").cast("string")), "doc_id")) - 1
-    ranked = written(sample.withColumn("place", place), "ranked")
+    hashed = sample.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string")))
+    ranked = written(ordered_rank(hashed, "label", "_hash", "doc_id"), "ranked")
     n = {r.label: r.n for r in ranked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = n.get(1, 0), n.get(0, 0)
     most = max(good, bad)
@@ -106,33 +105,33 @@ def preference_pairs(sample: DataFrame) -> DataFrame:
         (F.col("id") % good).alias("good"), ((F.col("id") + F.col("k") * (most // PAIRS + 1)) % bad).alias("bad"),
         ((F.col("id") + F.col("k")) % 2).alias("mirror"))
     side = lambda label, name: ranked.filter(F.col("label") == label).select(
-        F.col("place").cast("long").alias(name), F.col("features").alias(f"x_{name}"))
-    pairs = rounds.join(F.broadcast(side(1, "good")), "good").join(F.broadcast(side(0, "bad")), "bad")
+        (F.col("rank") - label * bad).alias(name), F.col("features").alias(f"x_{name}"))  # bad ones come first
+    pairs = rounds.join(side(1, "good"), "good").join(side(0, "bad"), "bad")
     sign = F.when(F.col("mirror") == 1, -1.0).otherwise(1.0)
     return pairs.select((F.col("mirror") == 0).cast("double").alias("label"), array_to_vector(
         F.transform(F.arrays_zip("x_good", "x_bad"), lambda z: sign * (z["x_good"] - z["x_bad"]))).alias("features"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_per_class: int = MAX_PER_CLASS,
-        hold_out: bool = True) -> tuple[list[float], float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out: bool = True) -> tuple[list[float], float]:
     """Weights of the strength, and the strength at the cut."""
-    sample = labelled_sample(docs, labels, label, max_per_class, hold_out)
-    sample = written(sample.select("doc_id", "label", features("text").alias("features")), "sample")
-    pairs = preference_pairs(sample)
+    known = labelled_documents(docs, labels, label, hold_out)
+    known = written(known.select("doc_id", "label", features("text").alias("features")), "labelled")
+    pairs = preference_pairs(known)
     if pairs is None:
         return [0.0] * (BASE + len(PUNCTUATION)), 0.0
     model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=40).fit(written(pairs, "pairs"))
     weights = np.array(model.coefficients.toArray())
-    rows = sample.select("label", "features").collect()
-    strengths = np.array([np.dot(weights, r.features) for r in rows])
-    classes = np.array([r.label for r in rows])
-    usable = agreed_labels(labels, label, hold_out).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = usable.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    share = np.where(classes == 0, (1 - known) / (classes == 0).sum(), known / (classes == 1).sum())
-    order = np.argsort(strengths, kind="stable")
-    below = np.cumsum(share[order])
-    k = min(max(int(np.searchsorted(below, (1 - known) + 1e-9, side="right")), 1), len(order) - 1)
-    return weights.tolist(), float((strengths[order[k - 1]] + strengths[order[k]]) / 2)
+
+    @F.arrow_udf("double")
+    def strength(rows: pa.Array) -> pa.Array:
+        return pa.array([float(np.dot(weights, r)) for r in rows.flatten().to_numpy().reshape(len(rows), -1)], pa.float64())
+
+    strengths = written(known.select("label", strength("features").alias("strength")), "strengths")
+    n, bad = strengths.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()
+    # between the last of as many as are bad, and the next
+    at = (min(max(bad, 1), n - 1) - 0.5) / (n - 1)
+    cut = exact_percentiles(strengths, [], "strength", {"cut": at}).first()["cut"]
+    return weights.tolist(), float(cut)
 
 
 def score(df: DataFrame, weights: list[float], cut: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

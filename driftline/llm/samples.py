@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents to fit a classifier on."""
+"""Labelled documents to fit a classifier on: all of them, or bounded samples."""
 
 from __future__ import annotations
 
@@ -42,6 +42,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_clas
     return written(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, hold_out: bool) -> DataFrame:
+    """(doc_id, label, text) of every document whose labels agree on 0 or 1.
+
+    Of rows that share an id the smallest text is taken; ids without a document give no
+    row. Only the texts of ids that repeat are shuffled.
+    """
+    agreed = broadcast_if_small(written(agreed_labels(labels, label, hold_out), "agreed"))
+    repeated = written(docs.select("doc_id").join(agreed, "doc_id").groupBy("doc_id").count().where("count > 1").select(
+        "doc_id"), "repeated")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(agreed, "doc_id").select(
+        "doc_id", "label", "text")
+    if repeated.isEmpty():
+        return found
+    several = broadcast_if_small(repeated)
+    smallest = found.join(several, "doc_id", "left_semi").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.join(several, "doc_id", "left_anti").unionByName(smallest)
+
+
 def labelled_share(docs: DataFrame, labels: DataFrame, label: str, hold_out: bool) -> float | None:
     """Share of label 1 among all documents whose labels may be learned from; null if there are none."""
     agreed = broadcast_if_small(written(agreed_labels(labels, label, hold_out), "agreed"))

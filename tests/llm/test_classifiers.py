@@ -56,6 +56,24 @@ def test_quality_on_odd_documents(spark, odd_documents, no_documents):
     assert quality.score(no_documents, weights, cut).count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """More documents than any sample of 4,000 a class; of rows that share an id the smallest text counts."""
+    n = 4500
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 2 == 0, F.concat(F.lit("plain words "), "id")).otherwise(F.concat(F.lit("## !! "), "id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    seen, pairs_of = [], quality.preference_pairs
+    monkeypatch.setattr(quality, "preference_pairs", lambda known: (seen.append(known), pairs_of(known))[1])
+    twice = docs.unionByName(docs.where("doc_id < 10").withColumn("text", F.lit("zzz")))
+    weights, cut = quality.fit(twice, labels, hold_out=False)
+    assert seen[0].count() == seen[0].select("doc_id").distinct().count() == 2 * n
+    assert pairs_of(seen[0]).count() == quality.PAIRS * n
+    scores = quality.score(docs, weights, cut).select("row.doc_id", "predicted").toPandas()
+    assert ((scores.doc_id % 2 == 0) == (scores.predicted == 1)).all()
+    strengths = sorted(np.dot(weights, r.features) for r in seen[0].select("features").collect())
+    assert cut == pytest.approx((strengths[n - 1] + strengths[n]) / 2, abs=1e-9)
+
+
 def test_pairs_prefer_the_good_document(spark):
     sample = spark.createDataFrame([(i, i % 2, [float(i % 2), float(i)]) for i in range(40)],
                                    "doc_id long, label int, features array<double>")
