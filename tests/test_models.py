@@ -68,6 +68,37 @@ def test_leaf_values_without_penalty_are_the_ensembles_own(spark, rows, vectors)
     assert large.predict(rows).agg(F.max(F.abs("PRED_Y_LAT"))).first()[0] == 0
 
 
+def test_penalised_values_of_one_pass_equal_those_of_a_pass_a_round(spark, rows, vectors, monkeypatch):
+    fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 5, "max_depth": 3}, early_stopping=False).lat
+    shapes = [len(v) for v in X.leaf_values(spark, fitted)]
+    reached = X.reached_leaves(spark, fitted, vectors, "TARGET_DLAT_24H").repartition(5).persist()
+    passes, one = [], X.residual_sums
+    monkeypatch.setattr(X, "residual_sums", lambda *a: (passes.append(1), one(*a))[1])
+    found = X.penalised_values(reached, fitted, shapes, 0.5, 4.0)
+    assert not passes
+    monkeypatch.setattr(X, "MAX_SHARED", 0)
+    rounds = X.penalised_values(reached, fitted, shapes, 0.5, 4.0)
+    assert len(passes) == 5 and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(found, rounds))
+
+
+def test_a_fit_deals_its_rows_out_evenly(rows, monkeypatch):
+    given = rows.coalesce(1)
+    n = given.count()
+    assert L.evenly_dealt(given, n, K.FEATURES).rdd.getNumPartitions() == 1  # small tables stay as they are
+    monkeypatch.setattr(L, "DEALT_ROWS", 10)
+    monkeypatch.setattr(L, "ROWS_PER_TASK", n // 20)
+    dealt = L.evenly_dealt(given, n, K.FEATURES)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 20 and sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < n / 5
+
+
+def test_complete_rows_are_those_of_na_drop(spark):
+    df = spark.createDataFrame([(1.0, 2, "a"), (None, 2, "a"), (float("nan"), 2, "a"), (1.0, None, "a"),
+                                (float("inf"), 2, "a"), (1.0, 2, None)], "a double, b int, c string")
+    assert sorted(df.where(S.complete(df, ["a", "b", "c"])).collect()) == sorted(df.na.drop().collect())
+    assert df.where(S.complete(df, ["a", "b"])).count() == 3
+
+
 def test_ensembles_are_cut_not_fitted_again(spark, rows, vectors):
     fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 4, "max_depth": 2}, early_stopping=False).lat
     short = X.first_trees(spark, fitted, 2)
