@@ -64,3 +64,14 @@ def test_no_cross_joins_on_data(spark):
                  "check_target_alignment", "storm_lifecycle"):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SMALL)), name
         assert "BroadcastNestedLoopJoin" not in plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_partition_is_joined_before_a_row_becomes_one_a_horizon(spark):
+    from driftline.operators import split as S
+    from driftline.plans import tables as P
+    found = P.split_forecast_rows(spark, SMALL)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")  # from the top down
+    after = S.assign_split_rows(S.forecast_rows(P.feature_table(spark, SMALL)), P.split_table(spark, SMALL))
+    assert found.dtypes == after.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, after.collect()))
