@@ -83,12 +83,16 @@ class Capacity:
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+#: ASCII letters and a little punctuation after them (no apostrophe, which can begin a piece with letters).
+TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]{1,3})")
+
 
 class WordTokens:
     """Token ids of texts by a tokenizers file, through a memo of words.
 
     New words go to the library as one text, with a special string between them whose id
-    marks where a word ends. A full memo becomes the old generation, from which words that
+    marks where a word ends; words of letters with a space between them (see ``letters``). Punctuation
+    at the end of a word is a piece of its own, and its ids are taken from the memo as well. A full memo becomes the old generation, from which words that
     come again return.
     """
 
@@ -99,6 +103,12 @@ class WordTokens:
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end what the splitter gives
+        if suffix:
+            self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.apart: dict[str, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -118,6 +128,29 @@ class WordTokens:
                 yield data[4 * begin:4 * end]
                 begin = end + 1
 
+    def comes_apart(self, tail: str) -> bool:
+        """Whether the tokenizer ends a piece between letters and this punctuation."""
+        known = self.apart.get(tail)
+        if known is None:
+            known = self.apart[tail] = all(self.alone(s + tail) == self.alone(s) + self.alone(tail) for s in ("ab", "thE"))
+        return known
+
+    def letters(self, words: list[str]) -> Iterator[bytes]:
+        """``ids`` of words of letters only, joined by spaces, which costs the library less than marks.
+
+        A word gives one piece at least, and every piece ends in one closing token; so with as many
+        closing tokens as words, each word ends where its closing token is.
+        """
+        for start in range(0, len(words), WORDS_A_CALL):
+            part = words[start:start + WORDS_A_CALL]
+            found = np.array(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * np.flatnonzero(self.closing[found]) + 4).tolist()
+            if len(ends) != len(part) or ends[-1] != 4 * len(found):
+                yield from self.ids(part)
+                continue
+            data = found.tobytes()
+            yield from (data[a:b] for a, b in zip((0, *ends), ends))
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
@@ -126,8 +159,17 @@ class WordTokens:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.old, self.memo, new = self.memo, {}, words
         self.memo.update((w, self.old[w]) for w in new.intersection(self.old))
-        new = list(new.difference(self.memo))
-        self.memo.update(zip(new, self.ids(new)))
+        new.difference_update(self.memo)
+        tailed = {w: m.groups() for w in new if (m := TAILED.fullmatch(w)) and self.comes_apart(m[2])}
+        given = new.difference(tailed).union(*tailed.values())
+        self.memo.update((w, self.old[w]) for w in given.intersection(self.old))
+        given = list(given.difference(self.memo))
+        plain = [w for w in given if w.isalpha()] if self.closing.any() else []
+        mixed = [w for w in given if not w.isalpha()] if plain else given
+        self.memo.update(zip(plain, self.letters(plain)))
+        self.memo.update(zip(mixed, self.ids(mixed)))
+        self.memo.update((w, self.memo[stem] + self.memo[tail]) for w, (stem, tail) in tailed.items())
+        new.update(given)
         find = self.memo.__getitem__
         for own in split:
             yield b"".join(map(find, own))
