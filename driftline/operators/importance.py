@@ -16,8 +16,10 @@ from driftline.functions.order_stats import row_hash
 from driftline.operators import metrics as M
 from driftline.operators.features import columns_outside
 from driftline.operators.models import PairModel, fit, mean_error_km
+from driftline.session import tasks_for
 
 ROWS_PER_BUCKET = 2_000
+ROWS_PER_TASK = 100_000
 
 
 def impurity_importance(spark: SparkSession, model: PairModel) -> DataFrame:
@@ -44,6 +46,8 @@ def shuffled_copies(rows: DataFrame, repeats: int, seed: int, n_rows: int) -> Da
     copies = rows.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
     h = row_hash(["SID", "ISO_TIME", "repeat"], seed)
     copies = copies.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    tasks = tasks_for(rows.sparkSession, n_rows * repeats, ROWS_PER_TASK)  # more rows are more tasks, not larger ones
+    copies = copies.repartition(tasks, "repeat", "_bucket")
     group = Window.partitionBy("repeat", "_bucket")
     order = group.orderBy("_h", "SID", "ISO_TIME")
     first = F.first("_xa").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
