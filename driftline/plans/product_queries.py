@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline import constants as K
+from driftline.functions.joins import broadcast_if_small
 from driftline.operators import analysis as A
 from driftline.operators import forecast as T
 from driftline.operators import metrics as M
 from driftline.plans.metric_queries import PAIRED, evaluation, with_evaluation, with_weights
 from driftline.plans.registry import query, rounded
 from driftline.plans.sql import columns, diff, hav, r, seeded, with_clean, with_features, with_scored, wrap
+from driftline.plans.stages import stage
 from driftline.plans.tables import baseline_table, clean_table, feature_table, forecast_row_table
 
 PROD = """
@@ -105,9 +107,9 @@ def _(spark, sf):
 
 def start_rows(spark, sf):
     """The first complete test row of every storm, with all features."""
-    keys = T.first_usable_rows(forecast_row_table(spark, sf)
-                               .where("split = 'test' AND horizon = 6").select("SID", "ISO_TIME"))
-    return feature_table(spark, sf).join(keys, ["SID", "ISO_TIME"])
+    keys = stage(spark, sf, "start_keys", lambda: T.first_usable_rows(
+        forecast_row_table(spark, sf).where("split = 'test' AND horizon = 6").select("SID", "ISO_TIME")))
+    return feature_table(spark, sf).join(broadcast_if_small(keys), ["SID", "ISO_TIME"])
 
 
 # ------------------------------------------------------------------ the data set
