@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline import constants as K
 from driftline.functions import geo
 from driftline.functions.times import plus_hours
-from driftline.session import cut_lineage
+from driftline.session import cut_lineage, written
 
 PRODUCT = ("SID", "ISO_TIME", "LEAD_HOURS", "BASIN", "CURRENT_LAT", "CURRENT_LON", "PRED_LAT",
            "PRED_LON", "TRUE_LAT", "TRUE_LON", "ERROR_KM", "ALONG_TRACK_KM", "CROSS_TRACK_KM")
@@ -148,6 +148,8 @@ def score_requests(checked: DataFrame, features: DataFrame,
         "request_id", "n_observations", "short_history", "forecast_horizon",
         F.col("model").alias("model_key"))
     rows = accepted.join(features.withColumn("_found", F.lit(True)), "request_id", "left")
+    if len(predict) > 1:  # every model scans its own requests; else each scan would compute the features again
+        rows = written(rows, "request_rows")
     wanted = F.concat_ws("@", "model_key", F.col("forecast_horizon").cast("string"))
     answered = wanted.isin([f"{model}@{horizon}" for model, horizon in predict]) & F.col("_found").isNotNull()
     warning = F.when(F.col("short_history"), F.format_string(

@@ -109,6 +109,25 @@ def test_ensembles_are_cut_not_fitted_again(spark, rows, vectors):
     assert losses[1] == pytest.approx(made.agg(F.avg((F.col("p") - F.col("TARGET_DLAT_24H")) ** 2)).first()[0])
 
 
+def test_node_tables_are_stored_once(spark, rows):
+    fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 3, "max_depth": 2}, early_stopping=False).lat
+    path, values = X.saved(spark, fitted), X.leaf_values(spark, fitted)
+    short = X.first_trees(spark, fitted, 2)
+    assert X.saved(spark, fitted) == path != X.saved(spark, short)
+    assert [list(v) for v in X.leaf_values(spark, short)] == [list(v) for v in values[:2]]
+
+
+def test_rows_that_leaves_share_are_counted_by_pairs_of_trees(spark):
+    rng, shapes = np.random.default_rng(1), [3, 1, 4]
+    at = np.stack([rng.integers(0, n, 500) for n in shapes], 1)
+    y = rng.normal(size=500).round(3)
+    table = spark.createDataFrame([(float(v), row.tolist()) for v, row in zip(y, at)], "y double, leaves array<int>").repartition(3)
+    ones = np.zeros((500, 8))
+    np.put_along_axis(ones, at + [0, 3, 4], 1, axis=1)
+    y_sum, both = X.shared_rows(table, shapes)
+    assert (both == ones.T @ ones).all() and y_sum == pytest.approx(y @ ones)
+
+
 def test_nodes_of_few_rows_are_collapsed(spark, rows, vectors):
     params = {"n_estimators": 2, "max_depth": 5, "max_features": "all"}
     whole = L.fit(rows, "random_forest", 24, params).lat
@@ -146,6 +165,13 @@ def test_shuffling_keeps_every_value_once(rows):
         assert (part["_xa"].str[0] != part["_xs"].str[0]).mean() > 0.5
 
 
+def test_more_shuffled_copies_are_more_tasks(rows, monkeypatch):
+    base = rows.select("SID", "ISO_TIME", F.array("LAT").alias("_xa"))
+    monkeypatch.setattr(I, "ROWS_PER_TASK", 400)
+    plan = I.shuffled_copies(base, 2, 42, 4000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repeat" in plan and ", 20)" in plan and plan.count("Exchange hash") == 1
+
+
 def test_importance_finds_the_used_feature(spark, rows):
     easy = rows.withColumns({"TARGET_DLAT_24H": F.col("WMO_WIND") / 20, "TARGET_DLON_24H": F.lit(0.0)})
     model = L.fit(easy, "random_forest", 24, {"n_estimators": 10, "max_depth": 5, "max_features": "all"})
@@ -229,6 +255,26 @@ def test_no_accepted_request_is_lost(spark, forest):
         assert all(got[f"r{i}"].status == "no model" and got[f"r{i}"].predicted_lat is None for i in (1, 2, 3, 5))
 
 
+def test_features_of_requests_are_computed_once_for_all_models(spark, forest):
+    checked = V.validate_requests(requests(spark))
+    live = E.live_features(checked.where("accepted"), F.lit("2024-09-01").cast("timestamp_ntz"))
+    answer = lambda d: forest.predict(d, impute=True)
+    one = T.score_requests(checked, live, {("random_forest", 24): answer})
+    several = T.score_requests(checked, live, {("random_forest", 24): answer, ("xgboost", 48): answer})
+    assert "Window" not in several._jdf.queryExecution().executedPlan().toString()
+    assert sorted(several.collect()) == sorted(one.collect())
+
+
+def test_start_rows_do_not_shuffle_the_features(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = MQ.start_rows(spark, SMALL)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == found.select("SID").distinct().count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_parameters_without_effect_are_refused(rows):
     for params in ({**K.FOREST_PARAMS, "max_leaf_nodes": 9}, {**K.FOREST_PARAMS, "max_depth": 31}):
         with pytest.raises(ValueError):
