@@ -40,11 +40,15 @@ def public_vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+#: Pieces of a memo's generation, of which there are two: about 20 MB each.
+PIECES = 100_000
+
+
 @functools.cache
 def piece_encoder(path: str, pattern: str):
     """The splitter, and a memo from a piece to its ids as 32-bit integers."""
     encode = bpe.from_ranks(path).encode
-    return bpe.splitter(pattern), bpe.Memo(lambda piece: array("i", encode(piece.encode())).tobytes())
+    return bpe.splitter(pattern), bpe.Memo(lambda piece: array("i", encode(piece.encode())).tobytes(), PIECES)
 
 
 @functools.cache

@@ -247,6 +247,18 @@ def test_words_give_the_ids_of_the_library():
         assert list(tokens(texts)) == want
 
 
+def test_words_of_letters_need_no_marks(monkeypatch):
+    tokenizer, tokens = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
+    marked, ids = [], tokens.ids
+    monkeypatch.setattr(tokens, "ids", lambda words: (marked.extend(words), ids(words))[1])
+    texts = ["Some plain wörter und Σας 中文, more. (odd) end!!", "it's 12 don't. plain. x's", "w" * 100 + "..."]
+    want = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
+    assert list(tokens(texts)) == [want(t) for t in texts]
+    assert not {"Some", "plain", "more", "more.", "plain.", "end!!", "中文", "wörter"} & set(marked) and "(odd)" in marked
+    assert max(map(len, tokens.memo)) <= packing.MEMO_CHARS
+    assert list(tokens(["plain İstanbul two"])) == [want("plain İstanbul two")] and "İstanbul" in marked  # not one piece
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_WORDS", 50)
     tokenizer, tokens = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
