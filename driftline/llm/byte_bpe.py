@@ -89,13 +89,13 @@ def decoder(path: str):
 SLICE_BYTES = 1 << 21
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive parts of ``texts`` of about ``SLICE_BYTES``; a longer text is a part of its own."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of ``texts`` of about ``size`` bytes; a longer text is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
 

@@ -42,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ END_ID = 0
 MEMO_WORDS = 400_000
 MEMO_CHARS = 64
 WORDS_A_CALL = 256
+#: Text whose different words are looked up together.
+SLICE_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -79,8 +82,7 @@ class Capacity:
 
 
 # ---------------------------------------------------------------------- tokens
-#: What the splitter takes for white space; str.split() would also take these separators.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What the splitter takes for white space (not the separators \x1c to \x1f); the ASCII ones are Arrow's as well.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 #: ASCII letters and a little punctuation after them (no apostrophe, which can begin a piece with letters).
@@ -151,31 +153,54 @@ class WordTokens:
             data = found.tobytes()
             yield from (data[a:b] for a, b in zip((0, *ends), ends))
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.memo)
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; what is new goes through the memo."""
+        found = list(map(self.memo.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.old, self.memo, new = self.memo, {}, words
-        self.memo.update((w, self.old[w]) for w in new.intersection(self.old))
-        new.difference_update(self.memo)
-        tailed = {w: m.groups() for w in new if (m := TAILED.fullmatch(w)) and self.comes_apart(m[2])}
-        given = new.difference(tailed).union(*tailed.values())
-        self.memo.update((w, self.old[w]) for w in given.intersection(self.old))
-        given = list(given.difference(self.memo))
+        memo, old = self.memo, self.old
+        again = list(map(old.get, new))
+        memo.update((w, ids) for w, ids in zip(new, again) if ids is not None)
+        made, given = [], set()
+        for word in [w for w, ids in zip(new, again) if ids is None]:
+            if (m := TAILED.fullmatch(word)) and self.comes_apart(m[2]):
+                made.append((word, m.groups()))
+            elif not word.isascii() and SPACES.search(word):
+                made.append((word, [x for x in SPACES.split(word) if x]))
+            else:
+                given.add(word)
+        parts = {x for _, own in made for x in own if x not in memo}
+        memo.update([(x, old[x]) for x in parts if x in old])
+        given.update([x for x in parts if x not in old])
         plain = [w for w in given if w.isalpha()] if self.closing.any() else []
-        mixed = [w for w in given if not w.isalpha()] if plain else given
-        self.memo.update(zip(plain, self.letters(plain)))
-        self.memo.update(zip(mixed, self.ids(mixed)))
-        self.memo.update((w, self.memo[stem] + self.memo[tail]) for w, (stem, tail) in tailed.items())
-        new.update(given)
-        find = self.memo.__getitem__
-        for own in split:
-            yield b"".join(map(find, own))
-        for word in new:
+        mixed = [w for w in given if not w.isalpha()] if plain else list(given)
+        memo.update(zip(plain, self.letters(plain)))
+        memo.update(zip(mixed, self.ids(mixed)))
+        memo.update([(w, b"".join([memo[x] for x in own])) for w, own in made])
+        found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
+        for word in itertools.chain(new, parts):
             if len(word) > MEMO_CHARS:
-                del self.memo[word]
+                memo.pop(word, None)
+        return found
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: none) as little-endian 32-bit integers.
+
+        Arrow splits at ASCII white space, numbers the different words and puts the ids of all words
+        in a row; only different words become Python strings. Other white space is split in ``known``.
+        """
+        if not len(texts):
+            return
+        given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(given, ""))
+        words = split.values.dictionary_encode()
+        own = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, ends, data = pa.array(own, pa.large_binary()).take(words.indices).buffers()
+        bounds = np.frombuffer(ends, np.int64)[np.asarray(split.offsets)].tolist()
+        data = memoryview(data or b"")
+        for begin, end in zip(bounds, bounds[1:]):
+            yield data[begin:end].tobytes()
 
 
 @functools.cache
@@ -199,9 +224,9 @@ def pieces(df: DataFrame, path: str, longest: int = TOKENS, end_id: int = END_ID
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             done = 0
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE_BYTES):
                 owner, place, lengths, crcs, nth, ids = [], [], [], [], [], []
-                for k, own in enumerate(tokens([t or "" for t in texts.to_pylist()])):
+                for k, own in enumerate(tokens(texts)):
                     data = own + end
                     for piece, start in enumerate(range(0, len(data), 4 * longest)):
                         span = data[start:start + 4 * longest]

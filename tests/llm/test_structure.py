@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +260,18 @@ def test_words_of_letters_need_no_marks(monkeypatch):
     assert list(tokens(["plain İstanbul two"])) == [want("plain İstanbul two")] and "İstanbul" in marked  # not one piece
 
 
+def test_different_words_are_looked_up_once_a_slice(monkeypatch):
+    tokenizer, tokens = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
+    asked, known = [], tokens.known
+    monkeypatch.setattr(tokens, "known", lambda words: (asked.append(words), known(words))[1])
+    texts = ["plain plain\u2003plain, \xa0 (odd)\x1codd ", None, "", "plain\x85\u3000 odd." * 50, "\u2028", "wörter\u2003odd, a"]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    for given in (texts, pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1)):
+        assert list(tokens(given)) == want
+    assert len(asked) == 3 and all(len(words) == len(set(words)) for words in asked)
+    assert list(tokens([])) == [] and list(tokens([None])) == [b""]
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_WORDS", 50)
     tokenizer, tokens = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
