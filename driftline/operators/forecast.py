@@ -132,9 +132,22 @@ def first_usable_rows(rows: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- requests
+def request_rows(checked: DataFrame, features: DataFrame) -> DataFrame:
+    """Accepted requests with their feature row, if there is one (``_found``)."""
+    accepted = checked.where("accepted").select(
+        "request_id", "n_observations", "short_history", "forecast_horizon",
+        F.col("model").alias("model_key"))
+    return accepted.join(features.withColumn("_found", F.lit(True)), "request_id", "left")
+
+
+def written_request_rows(checked: DataFrame, features: DataFrame) -> DataFrame:
+    """``request_rows`` as a table in which each model and horizon finds its own rows."""
+    return written(request_rows(checked, features), "request_rows", ("model_key", "forecast_horizon"))
+
+
 def score_requests(checked: DataFrame, features: DataFrame,
                    predict: dict[tuple[str, int], Callable[[DataFrame], DataFrame]],
-                   published: DataFrame | None = None) -> DataFrame:
+                   published: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Forecast positions for a batch of accepted requests, one row for each.
 
     ``checked`` comes from ``validate_requests``, ``features`` from
@@ -142,14 +155,11 @@ def score_requests(checked: DataFrame, features: DataFrame,
     how they treat them. ``status`` is ``ok``, ``no features`` for a request
     without a feature row, or ``no model`` where ``predict`` has none for its
     model and horizon; positions are null then. ``published`` (model, horizon,
-    mean_km) adds the measured error of the model that answered.
+    mean_km) adds the measured error of the model that answered. ``rows`` takes
+    ``written_request_rows`` that were made before, while models were fitted, say.
     """
-    accepted = checked.where("accepted").select(
-        "request_id", "n_observations", "short_history", "forecast_horizon",
-        F.col("model").alias("model_key"))
-    rows = accepted.join(features.withColumn("_found", F.lit(True)), "request_id", "left")
-    if len(predict) > 1:  # every model scans its own requests; else each scan would compute the features again
-        rows = written(rows, "request_rows")
+    if rows is None:  # every model scans its own requests; else each scan would compute the features again
+        rows = (written_request_rows if len(predict) > 1 else request_rows)(checked, features)
     wanted = F.concat_ws("@", "model_key", F.col("forecast_horizon").cast("string"))
     answered = wanted.isin([f"{model}@{horizon}" for model, horizon in predict]) & F.col("_found").isNotNull()
     warning = F.when(F.col("short_history"), F.format_string(

@@ -1,3 +1,7 @@
+import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from helpers import SMALL
@@ -18,6 +22,7 @@ from driftline.operators import split as S
 from driftline.operators import tree_tables as X
 from driftline.operators import validate as V
 from driftline.plans import model_queries as MQ
+from driftline.plans import stages
 from driftline.plans import tables as P
 from driftline.session import cut_lineage
 from driftline.sources import models as store
@@ -265,6 +270,26 @@ def test_features_of_requests_are_computed_once_for_all_models(spark, forest):
     assert sorted(several.collect()) == sorted(one.collect())
 
 
+def test_each_model_reads_its_own_requests(spark, forest):
+    checked = V.validate_requests(requests(spark))
+    live = E.live_features(checked.where("accepted"), F.lit("2024-09-01").cast("timestamp_ntz"))
+    predict = {(m, h): lambda d: forest.predict(d, impute=True) for m in ("random_forest", "xgboost") for h in (24, 48)}
+    rows = T.written_request_rows(checked, live)
+    got = T.score_requests(checked, live, predict, rows=rows)
+    filters = re.findall(r"PartitionFilters: (.*)", got._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert len(filters) == 4 and sum("= xgboost" in f for f in filters) == sum("= random_forest" in f for f in filters) == 2
+    assert sorted(got.collect()) == sorted(T.score_requests(checked, live, predict).collect())
+    assert got.count() == checked.where("accepted").count()
+
+
+def test_different_tables_are_built_at_the_same_time(spark):
+    meet = threading.Barrier(2, timeout=30)
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(lambda name: stages.once(spark, "together", name, meet.wait), ("a", "b"))) == [0, 1]
+        assert len({*pool.map(lambda _: stages.once(spark, "together", "c", object), range(4))}) == 1
+
+
 def test_start_rows_do_not_shuffle_the_features(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
