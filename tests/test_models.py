@@ -97,6 +97,46 @@ def test_a_fit_deals_its_rows_out_evenly(rows, monkeypatch):
     assert len(sizes) >= 20 and sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < n / 5
 
 
+def test_fits_at_the_same_time_share_the_cores(rows, monkeypatch):
+    n = rows.count()
+    monkeypatch.setattr(L, "DEALT_ROWS", 10)
+    tasks = [L.evenly_dealt(rows, n, K.FEATURES, at_once).rdd.getNumPartitions() for at_once in (1, 4, 100)]
+    assert tasks == [8, 2, 1]  # of 8 cores
+    monkeypatch.setattr(L, "ROWS_PER_TASK", n // 6)
+    assert L.evenly_dealt(rows, n, K.FEATURES, 100).rdd.getNumPartitions() >= 6
+
+
+def test_long_fits_start_first_and_come_back_in_order(spark, rows, monkeypatch):
+    begun, done = [], []
+
+    def fit(rows, model, horizon, params, at_once):
+        begun.append((model, horizon, at_once))
+        return L.PairModel(model, horizon, (), None, None)
+
+    diagnosed = spark.createDataFrame([("train", 0.5)], "split string, rmse_deg double")
+    monkeypatch.setattr(L, "fit", fit)
+    monkeypatch.setattr(L, "as_predictions", lambda model, rows: diagnosed)
+    monkeypatch.setattr(L, "training_diagnostics", lambda made: made)
+    fits = L.train_grid(rows, None, horizons=(6, 24), params={"random_forest": MQ.FOREST, "xgboost": MQ.BOOSTED},
+                        threads=1, rows_of=lambda horizon: rows, then=done.append)
+    assert [(m, h) for m, h, _ in begun] == [(m, h) for m in ("xgboost", "random_forest") for h in (6, 24)]
+    assert {n for *_, n in begun} == {2}  # one fit at a time, two outputs
+    assert [(f.model, f.horizon) for f in fits] == [(m, h) for h in (6, 24) for m in ("random_forest", "xgboost")]
+    assert sorted(map(id, done)) == sorted(map(id, fits)) and fits[0].info["diagnostics"] == {"train_rmse_deg": 0.5}
+
+
+def test_changed_node_tables_start_no_python_worker(spark, rows, monkeypatch):
+    fitted = L.fit(rows, "xgboost", 24, {"n_estimators": 3, "max_depth": 2}, early_stopping=False).lat
+    values = [v + 0.5 for v in X.leaf_values(spark, fitted)]
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows of the driver went through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    changed = X.first_trees(spark, X.with_leaf_values(spark, fitted, values), 2)
+    assert [list(v) for v in X.leaf_values(spark, changed)] == [list(v) for v in values[:2]]
+
+
 def test_complete_rows_are_those_of_na_drop(spark):
     df = spark.createDataFrame([(1.0, 2, "a"), (None, 2, "a"), (float("nan"), 2, "a"), (1.0, None, "a"),
                                 (float("inf"), 2, "a"), (1.0, 2, None)], "a double, b int, c string")
