@@ -443,3 +443,12 @@ def test_linear_model_is_at_least_as_good_as_the_mean(rows):
     fitted = L.linear_regression(rows)
     train = L.as_predictions(fitted, rows.where("split = 'train'"))
     assert M.target_mae_r2(M.score(train)).first().r2 > 0
+
+
+def test_the_forest_query_fits_the_whole_forest(spark, rows, monkeypatch):
+    asked = []
+    monkeypatch.setattr(MQ, "prepared_rows", lambda spark, sf, horizon=24: rows)
+    monkeypatch.setattr(L, "fit", lambda rows, model, horizon, params=None, **options: asked.append(
+        {**K.DEFAULT_PARAMS[model], **(params or {})} | options) or "fitted")
+    assert MQ.forest(spark, "whole forest of a test") == "fitted"
+    assert asked == [K.FOREST_PARAMS]
