@@ -452,3 +452,12 @@ def test_the_forest_query_fits_the_whole_forest(spark, rows, monkeypatch):
         {**K.DEFAULT_PARAMS[model], **(params or {})} | options) or "fitted")
     assert MQ.forest(spark, "whole forest of a test") == "fitted"
     assert asked == [K.FOREST_PARAMS]
+
+
+def test_the_boosted_query_fits_the_whole_ensemble(spark, rows, monkeypatch):
+    asked = []
+    monkeypatch.setattr(MQ, "prepared_rows", lambda spark, sf, horizon=24: rows)
+    monkeypatch.setattr(L, "fit", lambda rows, model, horizon, params=None, **options: asked.append(
+        {**K.DEFAULT_PARAMS[model], **(params or {})} | options) or "fitted")
+    assert MQ.boosted(spark, "whole boosting of a test") == "fitted"
+    assert asked == [K.BOOSTED_PARAMS]
