@@ -461,3 +461,23 @@ def test_the_boosted_query_fits_the_whole_ensemble(spark, rows, monkeypatch):
         {**K.DEFAULT_PARAMS[model], **(params or {})} | options) or "fitted")
     assert MQ.boosted(spark, "whole boosting of a test") == "fitted"
     assert asked == [K.BOOSTED_PARAMS]
+
+
+def test_the_sweep_query_searches_all_candidates(spark, rows, monkeypatch):
+    fitted = []
+
+    class Fitted:
+        def __init__(self, params):
+            fitted.append(params)
+            self.info = {"best_iteration": None, "n_train_rows": 1, "fit_seconds": 0.0}
+
+    held = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
+    monkeypatch.setattr(MQ, "prepared_rows", lambda spark, sf, horizon=24: held)
+    monkeypatch.setattr(L, "fit", lambda data, model, horizon, params, **options: Fitted(params))
+    monkeypatch.setattr(L, "mean_error_km", lambda fitted, val: 1.0)
+    trials = MQ.sweep(spark, "sweep of a test")[0].collect()
+    n = len(L.candidates("xgboost", 27))
+    assert len(trials) == 10 * (n + n // 3 + n // 9) == len(fitted)
+    whole = {(t.model, t.params["n_estimators"]) for t in trials if t.train_share == 1.0}
+    assert ("xgboost", str(K.BOOSTED_TUNING_CEILING)) in whole
+    assert {int(trees) for model, trees in whole if model == "random_forest"} <= set(range(100, 501, 50))
