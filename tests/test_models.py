@@ -13,6 +13,7 @@ from driftline import constants as K
 from driftline.operators import baselines as B
 from driftline.operators import features as E
 from driftline.operators import forecast as T
+from driftline.operators import grown_trees as G
 from driftline.operators import halving as H
 from driftline.operators import importance as I
 from driftline.operators import least_squares as Q
@@ -481,3 +482,81 @@ def test_the_sweep_query_searches_all_candidates(spark, rows, monkeypatch):
     whole = {(t.model, t.params["n_estimators"]) for t in trials if t.train_share == 1.0}
     assert ("xgboost", str(K.BOOSTED_TUNING_CEILING)) in whole
     assert {int(trees) for model, trees in whole if model == "random_forest"} <= set(range(100, 501, 50))
+
+
+def by_hand(x, y, w, rows, depth, min_leaf):
+    """Predictions of a tree grown on all cuts, node by node."""
+    mean, best = np.average(y[rows], weights=w[rows]), (1e-9, None)
+    for f in range(x.shape[1]) if depth else ():
+        for cut in np.unique(x[rows, f])[:-1]:
+            sides = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+            if min(w[s].sum() for s in sides) >= min_leaf:
+                gain = sum((w[s] * y[s]).sum() ** 2 / w[s].sum() for s in sides) - (w[rows] * y[rows]).sum() ** 2 / w[rows].sum()
+                if gain > best[0] + 1e-9:
+                    best = gain, sides
+    if best[1] is None:
+        return dict.fromkeys(rows.tolist(), mean)
+    return {k: v for s in best[1] for k, v in by_hand(x, y, w, s, depth - 1, min_leaf).items()}
+
+
+@pytest.mark.parametrize("by_row", [True, False])
+@pytest.mark.parametrize("subtracted", [0, 2, 512])
+def test_a_grown_tree_is_that_of_an_exhaustive_search(by_row, subtracted, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, w = rng.integers(0, 9, (80, 3)).astype(float), rng.integers(0, 3, 80).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(size=80)
+    cuts = [np.unique(c)[:-1] for c in x.T]
+    bins = np.column_stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)]).astype(np.uint8)
+    monkeypatch.setattr(G, "SUBTRACTED", subtracted)
+    monkeypatch.setattr(G, "NODES_AT_ONCE", 3)
+    held = G.Bins(bins if by_row else np.ascontiguousarray(bins.T), by_row)
+    tree = G.grow(held, y, w, cuts, rng, max_depth=4, min_leaf=2)
+    at = tree.leaves(x)
+    assert (at == tree.binned_leaves(held, cuts)).all() and 10 < len(tree.value) <= 31
+    for row, value in by_hand(x, y, w, np.flatnonzero(w > 0), 4, 2).items():
+        assert tree.value[at[row]] == pytest.approx(value)
+
+
+def test_long_fits_are_grown_in_tasks(spark, rows, monkeypatch, tmp_path):
+    def refused(*args, **kwargs):
+        raise AssertionError("a job a level")
+
+    monkeypatch.setitem(L.ESTIMATORS, "random_forest", refused)
+    monkeypatch.setitem(L.ESTIMATORS, "xgboost", refused)
+    held = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
+    n = held.where("split = 'train'").count()
+    train = held.where("split = 'train'")
+    spread = train.agg(F.stddev_pop("TARGET_DLAT_24H")).first()[0]
+    forest = L.fit(held, "random_forest", 24, {**K.FOREST_PARAMS, "n_estimators": 6})
+    assert (forest.lat.getNumTrees, forest.info["n_train_rows"], forest.info["best_iteration"]) == (6, n, None)
+    boosted = L.fit(held, "xgboost", 24, {**K.BOOSTED_PARAMS, "learning_rate": 0.2})
+    assert boosted.lat.getNumTrees == boosted.lon.getNumTrees == boosted.info["best_iteration"] + 1
+    means = L.training_means(held, K.FEATURES)
+    for fitted in (forest, boosted):
+        assert fitted.means == pytest.approx(means)
+        assert fitted.lon.featureImportances.toArray().sum() == pytest.approx(1)
+        made = fitted.predict(train).agg(F.avg((F.col("PRED_Y_LAT") - F.col("TARGET_DLAT_24H")) ** 2)).first()[0]
+        assert made < 0.8 * spread ** 2
+        again = L.fit(held.repartition(3), fitted.model, 24, {**K.DEFAULT_PARAMS[fitted.model], **(
+            {"n_estimators": 6} if fitted is forest else {"learning_rate": 0.2})})
+        store.save_model(spark, again, str(tmp_path))
+        loaded = store.load_model(spark, str(tmp_path), fitted.model, 24)
+        assert loaded.lat.getNumTrees == fitted.lat.getNumTrees
+
+        def predictions(model):
+            out = model.predict(held.select("SID", "ISO_TIME", *K.FEATURES)).orderBy("SID", "ISO_TIME").toPandas()
+            return out[["PRED_Y_LAT", "PRED_Y_LON"]].to_numpy()
+
+        assert predictions(loaded) == pytest.approx(predictions(fitted), abs=1e-9)  # whatever the partitions
+
+
+def test_rounds_go_on_where_the_last_job_ended(spark, rows, monkeypatch):
+    held = rows.withColumn("split", F.when(F.col("SEASON") % 2 == 0, "val").otherwise("train"))
+    base = G.binned(held, K.FEATURES, K.target_columns(24))
+    params = {**K.BOOSTED_PARAMS, "n_estimators": 5, "max_depth": 3}
+    whole, _ = G.fit_boosted(spark, base, len(K.FEATURES), params, 1, None)
+    monkeypatch.setattr(G, "ROUNDS_A_JOB", 2)
+    parts, _ = G.fit_boosted(spark, base, len(K.FEATURES), params, 1, None)
+    for a, b in zip(whole, parts):
+        one, other = ([t.value.tolist() for t in sorted(G.trees(m.path), key=lambda t: t.value.tolist())] for m in (a, b))
+        assert len(one) == 5 and one == other
