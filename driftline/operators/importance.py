@@ -123,7 +123,7 @@ def group_ablation(rows: DataFrame, model: str, horizon: int = K.DEFAULT_HORIZON
     kept = {"(none)": K.FEATURES, **{group: columns_outside([group]) for group in groups}}
 
     def error(features):
-        fitted = fit(rows, model, horizon, params, features, early_stopping=False)
+        fitted = fit(rows, model, horizon, params, features, early_stopping=False, at_once=2 * threads)
         return mean_error_km(fitted, test)
 
     with ThreadPoolExecutor(threads) as pool:

@@ -560,3 +560,21 @@ def test_rounds_go_on_where_the_last_job_ended(spark, rows, monkeypatch):
     for a, b in zip(whole, parts):
         one, other = ([t.value.tolist() for t in sorted(G.trees(m.path), key=lambda t: t.value.tolist())] for m in (a, b))
         assert len(one) == 5 and one == other
+
+
+def test_large_fits_at_the_same_time_are_grown_in_tasks(spark, rows, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("a job a level")
+
+    monkeypatch.setattr(L, "DEALT_ROWS", 10)
+    monkeypatch.setitem(L.ESTIMATORS, "random_forest", refused)
+    monkeypatch.setitem(L.ESTIMATORS, "xgboost", refused)
+    small = {"random_forest": {**MQ.FOREST, "n_estimators": 2}, "xgboost": {**MQ.BOOSTED, "n_estimators": 2}}
+    fits = L.train_grid(rows, None, horizons=(24,), params=small, rows_of=lambda horizon: rows)
+    assert [f.model for f in fits] == ["random_forest", "xgboost"] and all("train_rmse_deg" in f.info["diagnostics"] for f in fits)
+    gaps = rows.limit(20).withColumn("LAT_LAG_1", F.lit(None).cast("double"))
+    assert all(f.predict(gaps, impute=True).where("PRED_Y_LAT IS NOT NULL").count() == 20 for f in fits)
+    table = I.group_ablation(rows, "random_forest", 24, small["random_forest"], groups=("turning",)).collect()
+    assert {(r.removed_group, r.n_features) for r in table} == {("(none)", len(K.FEATURES)), ("turning", len(K.FEATURES) - 3)}
+    with pytest.raises(AssertionError, match="a job a level"):
+        L.fit(rows, "random_forest", 24, small["random_forest"])  # a small ensemble alone stays with MLlib
